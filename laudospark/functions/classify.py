@@ -38,7 +38,7 @@ def classify_exam(
         F.struct(exam_score(low, pats, compat).alias("score"), F.lit(-i).alias("rank"), F.lit(name).alias("name"))
         for i, (name, pats) in enumerate(rules.items())
     ]
-    return F.array_max(F.array(nothing, *ranked))["name"]
+    return F.coalesce(F.array_max(F.array(nothing, *ranked))["name"], F.lit(default))
 
 
 def exam_label(exam_type: Column, labels: Mapping[str, str] = R.EXAM_LABELS) -> Column:

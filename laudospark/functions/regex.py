@@ -10,7 +10,7 @@ import re
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 _TOKEN = re.compile(r"\\.|\[(?:\\.|[^\]\\])*\]|\{[^}]*\}|.", re.S)
 
@@ -35,6 +35,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column so that it is computed once per row.
+
+    A filter or join on a projected column is pushed below the projection together with a copy of its
+    expression, which then runs twice. A generated column is not copied.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def literal_runs(pattern: str) -> list[tuple[list[str], bool]]:
     """For each top-level alternative: strings that every match contains, and whether it is one literal.
 

@@ -8,6 +8,7 @@ from ..functions.classify import classify_exam, exam_label
 from ..functions.entities import extract_entities
 from ..functions.header import exam_date, exam_date_as_date, patient_data, patient_token, split_header
 from ..functions.redact import strip_pii
+from ..functions.regex import compute_once
 from ..functions.text import strip
 from ..operators.gates import is_pdf, is_valid_answer, text_snippet
 from ..rules import patterns as R
@@ -21,15 +22,14 @@ def split_and_redact(df: DataFrame, compat: bool = True, with_patient_data: bool
         "patient_token": patient_token(header, F.col("report_id")),
         "raw_text_length": F.length(F.coalesce("text", F.lit(""))),
         "was_raster_engine_used": F.col("is_raster") if "is_raster" in df.columns else ~is_pdf(F.col("filename")),
-        "safe_body": strip_pii(body, R.PII_RULES if compat else R.PII_RULES_FIXED),
     }
     if with_patient_data:
         columns["patient_data"] = patient_data(header)
     if not compat:
         columns["exam_date_d"] = exam_date_as_date(columns["exam_date"])
+    dated = split_header(df).withColumns(columns)
     return (
-        split_header(df)
-        .withColumns(columns)
+        compute_once(dated, "safe_body", strip_pii(body, R.PII_RULES if compat else R.PII_RULES_FIXED))
         .drop("header", "body", "text", "is_raster")
         .withColumn("safe_chars", F.length(strip(F.col("safe_body"))))
         .withColumn("low_confidence", F.col("safe_chars") < R.CONFIDENT_MIN_CHARS)
@@ -41,7 +41,7 @@ def classify_reports(df: DataFrame, compat: bool = True) -> DataFrame:
     gate = F.col("low_confidence")
     kind = F.when(gate, F.lit(R.UNDEFINED_EXAM)).otherwise(classify_exam(F.col("__low"), compat=compat))
     label = F.when(gate, F.lit(R.UNDEFINED_LABEL)).otherwise(exam_label(F.col("exam_type")))
-    return df.withColumn("__low", F.lower("safe_body")).withColumn("exam_type", kind).withColumn("exam_label", label)
+    return compute_once(df.withColumn("__low", F.lower("safe_body")), "exam_type", kind).withColumn("exam_label", label)
 
 
 def run_pipeline(df: DataFrame, compat: bool = True, with_patient_data: bool = False) -> DataFrame:

@@ -139,6 +139,19 @@ SELECT o_orderkey AS row_no,
 FROM orders
 """
 
+RAW_DATES = """
+SELECT o_orderkey AS report_id, CASE o_orderkey % 8
+  WHEN 0 THEN CAST(day(o_orderdate) AS STRING) || '/' || CAST(month(o_orderdate) AS STRING) || '/' || CAST(year(o_orderdate) AS STRING)
+  WHEN 1 THEN CAST(year(o_orderdate) AS STRING) || '-' || CAST(month(o_orderdate) AS STRING) || '-' || CAST(day(o_orderdate) AS STRING)
+  WHEN 2 THEN CAST(month(o_orderdate) AS STRING) || '.' || CAST(day(o_orderdate) AS STRING) || '.' || CAST(year(o_orderdate) % 100 AS STRING)
+  WHEN 3 THEN CAST(day(o_orderdate) AS STRING) || '-' || CAST(month(o_orderdate) AS STRING) || '/' || CAST(year(o_orderdate) AS STRING)
+  WHEN 4 THEN CAST(day(o_orderdate) AS STRING) || '/' || CAST(month(o_orderdate) AS STRING) || '/1' || CAST(o_orderkey % 100 AS STRING)
+  WHEN 5 THEN ''
+  WHEN 6 THEN 'sem data'
+  ELSE CAST(month(o_orderdate) AS STRING) || '/' || CAST(10 + day(o_orderdate) AS STRING) || '/' || CAST(year(o_orderdate) AS STRING) END AS raw
+FROM orders
+"""
+
 UPLOADED_FILES = """
 SELECT '/up/' || CAST(doc_id AS STRING) || '_' || source || '.pdf' AS path,
   TIMESTAMP '2026-01-01 00:00:00' + doc_id % 20 * INTERVAL '1' DAY AS modified_at
@@ -155,6 +168,7 @@ VIEWS = {
     "llm_answers": (LLM_ANSWERS, ["orders"]),
     "vision_outputs": (VISION_OUTPUTS, ["orders"]),
     "case_bank": (CASE_BANK, ["orders"]),
+    "raw_dates": (RAW_DATES, ["orders"]),
     "uploaded_files": (UPLOADED_FILES, ["documents"]),
     "documents": ("SELECT doc_id, text, lang, source FROM documents", ["documents"]),
 }
@@ -167,10 +181,10 @@ def load(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
     for table in tables:
         frame = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*COLUMNS[table])
         frames[table] = frame if table == "customer" else ensure_parallelism(frame)
-    return spark.sql(_qualified(sql, tables), **frames)
+    return spark.sql(qualified(sql, tables), **frames)
 
 
-def _qualified(sql: str, tables: list[str]) -> str:
+def qualified(sql: str, tables: list[str]) -> str:
     """Put DataFrame placeholders where the table names stand; literal braces are doubled."""
     sql = sql.replace("{", "{{").replace("}", "}}")
     for table in tables:
