@@ -1,4 +1,4 @@
-"""Compare every catalog query with its oracle: ``python tools_check.py [sf_dir] [query ...]``."""
+"""Compare every catalog query with its oracle: ``python check_oracles.py [sf_dir] [query ...]``."""
 
 import sys
 import time

@@ -45,9 +45,10 @@ def number(column: str, pattern: str) -> str:
 
 
 def with_views(names: str, *steps: str) -> str:
-    """WITH clause of derived tables and further steps."""
+    """WITH clause of derived tables and further steps, each computed once."""
     views = [f"{n} AS ({VIEWS[n][0]})" for n in names.split()]
-    return "WITH " + ",\n".join([*views, *steps]) + "\n"
+    parts = [part.replace(" AS (", " AS MATERIALIZED (", 1) for part in [*views, *steps]]
+    return "WITH " + ",\n".join(parts) + "\n"
 
 
 # ------------------------------------------------------------------ shared steps
@@ -92,6 +93,7 @@ def first_date(where: str) -> str:
 
 
 _WHERE = "header || chr(10) || substr(body, 1, 800)"
+_BIRTH = r"(?i)(?:data\s+(?:de\s+)?)?(?:nascimento|nasc\.?|d\.\s*n\.)[:\s]+\d{1,2}[/\-\.]\d{1,2}[/\-\.]\d{2,4}"
 DATED = (
     f"d0 AS (SELECT *, {first_date(_WHERE)} AS raw_date FROM hb)",
     f"dated AS (SELECT *, {normalized('raw_date')} AS exam_date, 'pt-' || substr(CASE WHEN length(header) > 3 "
@@ -113,7 +115,8 @@ def redacted(column: str, rule: tuple[str, str, str]) -> str:
         name = clean(group(column, _LABELLED, 2))
         stand_in = f"CASE WHEN {name} = '' THEN '[NOME PROTEGIDO]' ELSE '[Paciente_' || upper(substr(sha256({name}), 1, 6)) || ']' END"
         return f"regexp_replace({column}, {q(_LABELLED)}, '\\1 ' || {stand_in} || '\\3')"
-    pattern, replacement = _RE2_RULES.get(key, ("(?i)" + pattern, replacement.replace("$1", r"\1")))
+    plain = ("(?i)" + pattern, replacement.replace("$1", r"\1"))
+    pattern, replacement = _RE2_RULES.get(key, plain) if rule in R.PII_RULES else plain
     return swap(column, pattern, replacement)
 
 
@@ -264,6 +267,30 @@ O["entities_json"] = REPORTS_PIPELINE + (
     f"{findings('safe_body', 'low')} IS NULL AND {sides('safe_body', 'low')} IS NULL) AS empty FROM final GROUP BY ALL"
 )
 
+_DOCUMENTS = "reports AS (SELECT doc_id AS report_id, source || '.pdf' AS filename, text FROM documents)"
+O["split_header_documents"] = with_views("", _DOCUMENTS, *SPLIT) + (
+    "SELECT report_id AS doc_id, length(header) AS header_chars, length(body) AS body_chars FROM hb"
+)
+O["pipeline_documents"] = with_views("", _DOCUMENTS, *PIPELINE) + (
+    "SELECT exam_type, status, count(*) AS documents, CAST(sum(raw_text_length) AS BIGINT) AS chars FROM final GROUP BY ALL"
+)
+_FIXED_DATES = (
+    f"w AS (SELECT *, {swap(_WHERE, _BIRTH, '')} AS w FROM hb)",
+    f"f0 AS (SELECT *, {first_date('w')} AS raw_date FROM w)",
+    f"fixed AS (SELECT *, {normalized('raw_date')} AS exam_date FROM f0)",
+)
+O["pipeline_fixed"] = with_views(
+    "reports",
+    *SPLIT,
+    *_FIXED_DATES,
+    *redaction_steps("fixed", "body", R.PII_RULES_FIXED),
+    *GATED,
+    *classified("gated", "safe_body", compat=False),
+) + (
+    "SELECT CASE WHEN low_confidence THEN 'indefinido' ELSE exam_type END AS exam_type, "
+    "CAST(year(TRY_CAST(exam_date AS DATE)) AS INTEGER) AS exam_year, count(*) AS reports FROM typed GROUP BY ALL"
+)
+
 # ------------------------------------------------------------------ sources
 
 O["scan_reports"] = with_views("reports") + (
@@ -311,12 +338,6 @@ O["retention_filter"] = with_views("uploaded_files") + (
 HEADERS = with_views("reports", *SPLIT)
 O["split_header"] = HEADERS + "SELECT report_id, header, body FROM hb"
 O["exam_date"] = with_views("reports", *SPLIT, *DATED) + "SELECT report_id, exam_date FROM dated"
-_BIRTH = r"(?i)(?:data\s+(?:de\s+)?)?(?:nascimento|nasc\.?|d\.\s*n\.)[:\s]+\d{1,2}[/\-\.]\d{1,2}[/\-\.]\d{2,4}"
-_FIXED_DATES = (
-    f"w AS (SELECT report_id, {swap(_WHERE, _BIRTH, '')} AS w FROM hb)",
-    f"f0 AS (SELECT report_id, {first_date('w')} AS raw_date FROM w)",
-    f"fixed AS (SELECT report_id, {normalized('raw_date')} AS exam_date FROM f0)",
-)
 O["exam_date_fixed"] = with_views("reports", *SPLIT, *_FIXED_DATES) + (
     "SELECT report_id, exam_date, CAST(TRY_CAST(exam_date AS DATE) AS VARCHAR) AS exam_day FROM fixed"
 )
@@ -348,17 +369,8 @@ O["strip_pii"] = with_views("reports", *redaction_steps("reports", "text", R.PII
 )
 
 
-def _fixed_rule(column: str, rule: tuple[str, str, str]) -> str:
-    if rule in R.PII_RULES:
-        return redacted(column, rule)
-    return swap(column, "(?i)" + rule[1], rule[2].replace("$1", r"\1"))
-
-
-_fixed = "text"
-for _rule in R.PII_RULES_FIXED[4:]:
-    _fixed = _fixed_rule(_fixed, _rule)
-O["strip_pii_fixed"] = with_views("reports", *redaction_steps("reports", "text", R.PII_RULES[:4])) + (
-    f"SELECT report_id, {_fixed.replace('(text,', '(safe_body,')} AS safe_text FROM safe"
+O["strip_pii_fixed"] = with_views("reports", *redaction_steps("reports", "text", R.PII_RULES_FIXED)) + (
+    "SELECT report_id, safe_body AS safe_text FROM safe"
 )
 
 
@@ -391,7 +403,7 @@ O["exam_scores"] = with_views("reports") + (
 TYPED_REPORTS = with_views("reports", *TYPED)
 O["classify_exam"] = TYPED_REPORTS + "SELECT report_id, exam_type FROM typed"
 O["classify_exam_fixed"] = with_views("reports", *classified("reports", "text", compat=False)) + "SELECT report_id, exam_type FROM typed"
-O["classify_documents"] = "WITH " + ", ".join(classified("documents", "text")) + (
+O["classify_documents"] = with_views("", *classified("documents", "text")) + (
     " SELECT lang, exam_type, count(*) AS documents FROM typed GROUP BY ALL"
 )
 O["exam_label"] = with_views("job_events") + f"SELECT seq, exam_type, {label_of('exam_type')} AS exam_label FROM job_events"
