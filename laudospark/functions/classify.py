@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from ..rules import patterns as R
-from .regex import found
+from .regex import found, per_application
 
 Rules = Mapping[str, Sequence[str]]
 
@@ -41,6 +41,12 @@ def classify_exam(
     return F.coalesce(F.array_max(F.array(nothing, *ranked))["name"], F.lit(default))
 
 
+@per_application
+def exam_type_of(low: str, compat: bool = True) -> Column:
+    """``classify_exam`` with the built-in rules over the named lower-cased column."""
+    return classify_exam(F.col(low), compat=compat)
+
+
 def exam_label(exam_type: Column, labels: Mapping[str, str] = R.EXAM_LABELS) -> Column:
     """Display label of an exam type; the label of the unknown type for any other value."""
     table = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
-from functools import reduce
+from functools import lru_cache, reduce, wraps
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _TOKEN = re.compile(r"\\.|\[(?:\\.|[^\]\\])*\]|\{[^}]*\}|.", re.S)
 
@@ -35,6 +35,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def per_application(build: Callable[..., Column]) -> Callable[..., Column]:
+    """Keep the Columns a function builds from column names and flags.
+
+    A rule set becomes thousands of expression nodes, made one by one from Python; a session that runs
+    the same rules again takes the finished (still unresolved) expression.
+    """
+    kept = lru_cache(maxsize=32)(lambda application, *args: build(*args))
+    return wraps(build)(lambda *args: kept(SparkSession.active().sparkContext.applicationId, *args))
+
+
 def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a costly column so that it is computed once per row.
 

@@ -64,7 +64,7 @@ def split_reports(spark: SparkSession, sf: str) -> DataFrame:
 def typed_reports(spark: SparkSession, sf: str) -> DataFrame:
     """Reports with the exam type of their whole text."""
     low = load(spark, sf, "reports").withColumn("low", F.lower("text"))
-    return compute_once(low, "exam_type", C.classify_exam(F.col("low")))
+    return compute_once(low, "exam_type", C.exam_type_of("low"))
 
 
 def pipeline(spark: SparkSession, sf: str, compat: bool = True) -> DataFrame:
@@ -360,13 +360,13 @@ def classify_exam(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def classify_exam_fixed(spark: SparkSession, sf: str) -> DataFrame:
     low = load(spark, sf, "reports").withColumn("low", F.lower("text"))
-    return low.select("report_id", C.classify_exam(F.col("low"), compat=False).alias("exam_type"))
+    return low.select("report_id", C.exam_type_of("low", False).alias("exam_type"))
 
 
 @query
 def classify_documents(spark: SparkSession, sf: str) -> DataFrame:
     low = load(spark, sf, "documents").select("lang", F.lower("text").alias("low"))
-    return low.groupBy("lang", C.classify_exam(F.col("low")).alias("exam_type")).agg(F.count("*").alias("documents"))
+    return low.groupBy("lang", C.exam_type_of("low").alias("exam_type")).agg(F.count("*").alias("documents"))
 
 
 @query

@@ -4,21 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.classify import classify_exam, exam_label
+from ..functions.classify import exam_label, exam_type_of
 from ..functions.entities import extract_entities
 from ..functions.header import exam_date, exam_date_as_date, patient_data, patient_token, split_header
 from ..functions.redact import strip_pii
-from ..functions.regex import compute_once
+from ..functions.regex import compute_once, per_application
 from ..functions.text import strip
 from ..operators.gates import is_pdf, is_valid_answer, text_snippet
 from ..rules import patterns as R
 
 
+@per_application
+def _exam_date(compat: bool) -> Column:
+    return exam_date(F.col("header"), F.col("body"), compat=compat)
+
+
+@per_application
+def _safe_body(compat: bool) -> Column:
+    return strip_pii(F.col("body"), R.PII_RULES if compat else R.PII_RULES_FIXED)
+
+
+@per_application
+def _entities(compat: bool) -> Column:
+    """Entities of completed rows; an empty struct for the others."""
+    exam_type = F.when(F.col("status") == "completed", F.col("exam_type"))
+    return extract_entities(F.col("safe_body"), exam_type, F.col("__low"), compat)
+
+
 def split_and_redact(df: DataFrame, compat: bool = True, with_patient_data: bool = False) -> DataFrame:
     """``report_id, filename, text`` plus date, token, redacted body and the quality gate."""
-    header, body = F.col("header"), F.col("body")
+    header = F.col("header")
     columns = {
-        "exam_date": exam_date(header, body, compat=compat),
+        "exam_date": _exam_date(compat),
         "patient_token": patient_token(header, F.col("report_id")),
         "raw_text_length": F.length(F.coalesce("text", F.lit(""))),
         "was_raster_engine_used": F.col("is_raster") if "is_raster" in df.columns else ~is_pdf(F.col("filename")),
@@ -29,7 +46,7 @@ def split_and_redact(df: DataFrame, compat: bool = True, with_patient_data: bool
         columns["exam_date_d"] = exam_date_as_date(columns["exam_date"])
     dated = split_header(df).withColumns(columns)
     return (
-        compute_once(dated, "safe_body", strip_pii(body, R.PII_RULES if compat else R.PII_RULES_FIXED))
+        compute_once(dated, "safe_body", _safe_body(compat))
         .drop("header", "body", "text", "is_raster")
         .withColumn("safe_chars", F.length(strip(F.col("safe_body"))))
         .withColumn("low_confidence", F.col("safe_chars") < R.CONFIDENT_MIN_CHARS)
@@ -39,7 +56,7 @@ def split_and_redact(df: DataFrame, compat: bool = True, with_patient_data: bool
 def classify_reports(df: DataFrame, compat: bool = True) -> DataFrame:
     """Add ``exam_type`` and ``exam_label``; texts that failed the gate are not searched."""
     gate = F.col("low_confidence")
-    kind = F.when(gate, F.lit(R.UNDEFINED_EXAM)).otherwise(classify_exam(F.col("__low"), compat=compat))
+    kind = F.when(gate, F.lit(R.UNDEFINED_EXAM)).otherwise(exam_type_of("__low", compat))
     label = F.when(gate, F.lit(R.UNDEFINED_LABEL)).otherwise(exam_label(F.col("exam_type")))
     return compute_once(df.withColumn("__low", F.lower("safe_body")), "exam_type", kind).withColumn("exam_label", label)
 
@@ -62,18 +79,15 @@ def run_pipeline(df: DataFrame, compat: bool = True, with_patient_data: bool = F
         .when(rejected, F.lit("Texto recusado pela análise."))
         .otherwise(F.lit("Processamento finalizado."))
     )
-    entities = extract_entities(
-        F.col("safe_body"), F.when(~low & ~rejected, F.col("exam_type")), F.col("__low"), compat
-    )
-    return safe.withColumns(
+    judged = safe.withColumns(
         {
             "status": F.when(low | rejected, F.lit("low_confidence")).otherwise(F.lit("completed")),
             "message": message,
             "safe_text_snippet": text_snippet(F.col("safe_body"), low),
-            "entities": entities,
             "rejected": rejected,
         }
-    ).drop("__low", "safe_chars")
+    )
+    return judged.withColumn("entities", _entities(compat)).drop("__low", "safe_chars")
 
 
 def result_document(df: DataFrame) -> Column:
