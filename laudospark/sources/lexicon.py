@@ -63,7 +63,8 @@ def read_lexicon(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], TERM_SCHEMA), spark.createDataFrame([], COMPOUND_SCHEMA)
-    exams = lines.select(F.explode(F.from_json("value", JSON_SCHEMA)).alias("exam_type", "kb"))
+    entries = lines.select(F.posexplode(F.map_entries(F.from_json("value", JSON_SCHEMA))).alias("pos", "e"))
+    exams = entries.groupBy(F.col("e.key").alias("exam_type")).agg(F.max_by("e.value", "pos").alias("kb"))
     return kb_terms(exams), kb_compounds(exams)
 
 
