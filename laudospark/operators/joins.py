@@ -25,14 +25,15 @@ def hot_keys(df: DataFrame, key: str, max_keys: int = MAX_HOT_KEYS) -> DataFrame
 def skew_join(facts: DataFrame, lookup: DataFrame, key: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
     """Equi-join of a large, possibly skewed table with a table that is unique on ``key``.
 
-    Rows of hot keys are spread over ``salts`` sub-keys, and the lookup rows of those keys (fewer than
-    ``MAX_HOT_KEYS`` rows) are repeated once per salt. All other keys join as usual, so neither table is
-    blown up and no group lands in one task. ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``.
+    Rows of hot keys are spread over ``salts`` sub-keys by a hash of the whole row, and the lookup rows of
+    those keys (fewer than ``MAX_HOT_KEYS`` rows) are repeated once per salt. Rows without a key match
+    nothing and are spread too. All other keys join as usual, so neither table is blown up and no group
+    lands in one task. ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``.
     """
     hot = F.broadcast(hot_keys(facts, key))  # fewer than MAX_HOT_KEYS rows, see hot_keys
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in facts.columns]), F.lit(salts)).cast("int")
     salted_facts = facts.join(hot, key, "left").withColumn(
-        "__salt", F.when(F.col("__hot"), spread).otherwise(F.lit(0))
+        "__salt", F.when(F.col("__hot") | F.col(key).isNull(), spread).otherwise(F.lit(0))
     )
     all_salts = F.sequence(F.lit(0), F.lit(salts - 1))
     salted_lookup = lookup.join(hot, key, "left").withColumn(

@@ -635,7 +635,7 @@ def validation_listing(spark: SparkSession, sf: str) -> DataFrame:
 
 def _retrain(spark: SparkSession, sf: str, files: DataFrame | None = None) -> DataFrame:
     jobs, enriched = jobs_and_validations(spark, sf)
-    return FB.retrain_set(S.validation_status(jobs, enriched), enriched, files)
+    return FB.retrain_set(S.validation_status(jobs, load(spark, sf, "validations")), enriched, files)
 
 
 @query
@@ -692,8 +692,7 @@ def export_seed(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def export_tables(spark: SparkSession, sf: str) -> DataFrame:
     """The tables of the full export, unchanged."""
-    jobs, enriched = jobs_and_validations(spark, sf)
-    jobs = S.validation_status(jobs, enriched)
+    jobs = S.validation_status(load(spark, sf, "jobs"), load(spark, sf, "validations"))
     return jobs.select("job_id", "patient_token", "filename", "exam_type", "status", "message", "result_json", "file_path", "validation_status")
 
 

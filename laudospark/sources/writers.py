@@ -1,4 +1,4 @@
-"""Sinks. None of them shuffles: every task writes its own rows."""
+"""Sinks. By default none of them shuffles: every task writes its own rows."""
 
 from __future__ import annotations
 
@@ -17,9 +17,16 @@ def result_rows(pipeline_rows: DataFrame) -> DataFrame:
     )
 
 
-def write_results(pipeline_rows: DataFrame, path: str, mode: str = "error") -> None:
-    """Parquet by exam type; a frequent type only gets more files, not one big writer."""
-    writer = result_rows(pipeline_rows).write.mode(mode).option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+def write_results(pipeline_rows: DataFrame, path: str, mode: str = "error", compact: bool = False) -> None:
+    """Parquet by exam type; a frequent type only gets more files, not one big writer.
+
+    With very many tasks each would write a small file per type. ``compact`` lets adaptive execution
+    gather the rows of a type into well-sized partitions and split those of a frequent type.
+    """
+    rows = result_rows(pipeline_rows)
+    if compact:
+        rows = rows.hint("rebalance", "exam_type")
+    writer = rows.write.mode(mode).option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
     writer.partitionBy("exam_type").parquet(path)
 
 

@@ -54,6 +54,8 @@ def test_sinks(spark, tmp_path):
     back = {r.report_id: r for r in spark.read.parquet(str(tmp_path / "results")).collect()}
     assert json.loads(back[1].result_json)["entities_found"]["achados"] == ["espessamento_mucoso"]
     assert back[2].exam_type == "indefinido"
+    writers.write_results(run_pipeline(df), str(tmp_path / "compact"), compact=True)
+    assert spark.read.parquet(str(tmp_path / "compact")).count() == 2
     jobs, checks, enriched = tables(spark)
     rows = FB.retrain_set(S.validation_status(jobs, checks), enriched)
     writers.export_retrain_set(rows, str(tmp_path / "retrain"))
