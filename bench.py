@@ -11,13 +11,13 @@ from laudospark.session import build_session
 
 HEADLINE = [
     "exams_by_month",
-    "pipeline_rows",
+    "report_results",
     "classify_exam",
     "strip_pii",
     "extract_entities",
     "split_header",
     "patient_data",
-    "pipeline_documents",
+    "document_results",
     "strip_pii_documents",
     "kb_term_hits",
     "compound_diagnoses",

@@ -21,7 +21,8 @@ def split_header(
     Without such a line the body is the whole text and the header its first five lines. One multi-line
     search takes everything from that line on, so long reports are not exploded into arrays of lines.
     """
-    opening = rf"(?:[^\S\n]|\x1f)*(?:{'|'.join(one_line(m) for m in markers)})"
+    # One character class, not a repeated group: Java recurses per round of a repeated group.
+    opening = rf"[\x1f[^\S\n]]*(?:{'|'.join(one_line(m) for m in markers)})"
     raw = F.coalesce(F.col(text), F.lit(""))
     lines, rest = F.col("__lines"), F.col("__rest")
     first_lines = F.substring_index(chomp(lines), "\n", HEADER_LINES_WITHOUT_MARKER)

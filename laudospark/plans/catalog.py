@@ -7,6 +7,7 @@ them value by value.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -94,7 +95,7 @@ def exams_by_month(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query
-def pipeline_rows(spark: SparkSession, sf: str) -> DataFrame:
+def report_results(spark: SparkSession, sf: str) -> DataFrame:
     rows = pipeline(spark, sf)
     e = F.col("entities")
     return rows.select(
@@ -115,7 +116,7 @@ def pipeline_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query
-def pipeline_documents(spark: SparkSession, sf: str) -> DataFrame:
+def document_results(spark: SparkSession, sf: str) -> DataFrame:
     """The pipeline over free documents of any length."""
     docs = load(spark, sf, "documents").select(
         F.col("doc_id").alias("report_id"), F.concat("source", F.lit(".pdf")).alias("filename"), "text"
@@ -126,7 +127,7 @@ def pipeline_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query
-def pipeline_fixed(spark: SparkSession, sf: str) -> DataFrame:
+def report_results_fixed(spark: SparkSession, sf: str) -> DataFrame:
     """The pipeline with the known quirks mended."""
     return pipeline(spark, sf, compat=False).groupBy("exam_type", F.year("exam_date_d").alias("exam_year")).agg(
         F.count("*").alias("reports")
@@ -704,8 +705,7 @@ def _work_dir(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         return tempfile.mkdtemp(prefix="laudospark-")
-    run = spark.range(1).select(F.uuid()).first()[0]
-    return f"{shared.rstrip('/')}/laudospark-{run}"
+    return f"{shared.rstrip('/')}/laudospark-{uuid.uuid4().hex}"
 
 
 def _stream_table(spark: SparkSession, sf: str, table: str) -> DataFrame:

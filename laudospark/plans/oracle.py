@@ -236,7 +236,7 @@ REPORTS_PIPELINE = with_views("reports", *PIPELINE)
 O["exams_by_month"] = REPORTS_PIPELINE + (
     "SELECT exam_type, substr(exam_date, 1, 7) AS exam_month, count(*) AS reports FROM final GROUP BY ALL"
 )
-O["pipeline_rows"] = REPORTS_PIPELINE + (
+O["report_results"] = REPORTS_PIPELINE + (
     "SELECT report_id, status, exam_date, patient_token, exam_type, exam_label, was_raster_engine_used, raw_text_length, "
     f"safe_text_snippet, low_confidence, {by_type({'audiometria': entity('decibeis', 'safe_body', 'low')})} AS decibeis, "
     f"{sides('safe_body', 'low')} AS lateralidade, {findings('safe_body', 'low')} AS achados FROM final"
@@ -271,7 +271,7 @@ _DOCUMENTS = "reports AS (SELECT doc_id AS report_id, source || '.pdf' AS filena
 O["split_header_documents"] = with_views("", _DOCUMENTS, *SPLIT) + (
     "SELECT report_id AS doc_id, length(header) AS header_chars, length(body) AS body_chars FROM hb"
 )
-O["pipeline_documents"] = with_views("", _DOCUMENTS, *PIPELINE) + (
+O["document_results"] = with_views("", _DOCUMENTS, *PIPELINE) + (
     "SELECT exam_type, status, count(*) AS documents, CAST(sum(raw_text_length) AS BIGINT) AS chars FROM final GROUP BY ALL"
 )
 _FIXED_DATES = (
@@ -279,7 +279,7 @@ _FIXED_DATES = (
     f"f0 AS (SELECT *, {first_date('w')} AS raw_date FROM w)",
     f"fixed AS (SELECT *, {normalized('raw_date')} AS exam_date FROM f0)",
 )
-O["pipeline_fixed"] = with_views(
+O["report_results_fixed"] = with_views(
     "reports",
     *SPLIT,
     *_FIXED_DATES,

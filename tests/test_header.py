@@ -27,6 +27,9 @@ def split(spark, text):
         ("tcx\nTC de face\nz", "tcx", "TC de face\nz"),
         ("indicação\nclínica\nlaudo", "indicação\nclínica", "laudo"),
         ("sem achados\nqueixa principal", "sem achados", "queixa principal"),
+        ("a\n" + " " * 30000 + "achados b", "a", " " * 30000 + "achados b"),
+        ("a\n \x1f Laudo", "a", " \x1f Laudo"),
+        (" " * 30000 + "x\ny", " " * 30000 + "x\ny", " " * 30000 + "x\ny"),
         ("", "", ""),
         (None, "", ""),
         ("\n", "", "\n"),
