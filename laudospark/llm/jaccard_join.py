@@ -1,14 +1,17 @@
 """Near duplicates: an exact Jaccard self-join of word n-gram sets by vertical partitioning.
 
-N-grams have a global order: by frequency class (from a counting sketch of fixed size), then by hash. The order is cut
-into fragments, and so is every set. Two sets that are similar enough share an n-gram among the first
+N-grams have a global order: first those that few documents hold, then the frequent ones, by hash within either. (What
+is frequent is counted; a bitmap of fixed size carries it, whose rare false marks only change the order.) The order is
+cut into fragments, and so is every set. Two sets that are similar enough share an n-gram among the first
 ``n - ceil(t * n) + 1`` of either, so candidates are the sets that meet in such a prefix; for each candidate pair the
 fragments' overlaps are counted separately and summed, which gives the exact size of the intersection.
 
-Equal sets are one class. Of the classes that meet under an n-gram, all are first compared with one of them (the hub
-that most of their n-grams name), then connected; only classes that still lie in different components are compared
-pairwise, those outside of the list's largest component with all others. So a group of thousands of near copies costs
-one comparison each, and no link between components is missed.
+Equal sets are one class. Of the classes that meet under an n-gram, all name one as their hub, at first the one most of
+whose n-grams are shared, then others; each class is compared with the hub that most of its n-grams name, and what is
+similar is connected. What was compared in these ``ROUNDS`` rounds, similar or not, forms regions, and only classes that
+still lie in different components are compared further: within a region those outside of its largest component with all
+of it, block by block; across regions those whose prefixes share enough for the similarity. So a group of thousands of
+near copies costs a few comparisons each, no pair is emitted but for links, and no link between components is missed.
 
 N-grams and classes are 64-bit hashes of the words and of the whole set.
 
@@ -26,68 +29,111 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, ship, written
 
 N = 5
 THRESHOLD = 75  # per cent
-SKETCH_BITS = 18
 CELLS = 1 << 10
-#: Fragments of the unremarkable n-grams, equal ranges of hashes; the frequent ones are one more.
+#: Fragments of the rare n-grams, equal ranges of hashes; the frequent ones are one more.
 FRAGMENTS = 16
-#: N-grams of cells this many doublings above the mean are hot: they may meet in very many classes.
-HOT_CLASS = 3
+#: Documents from which an n-gram is frequent.
+FREQUENT = 48
+#: N-grams are counted in prefixes longer by this factor, as frequent ones leave their place to later ones.
+MARGIN = 1.3
+#: Bits of the bitmap of frequent n-grams, and least and most bits of the filter of wanted classes.
+FREQUENT_BITS = 24
 BLOOM_BITS = (16, 27)
-MOST_KEPT = 400_000
-_ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3]
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MOST_KEPT:
-            self.clear()
-        self[word] = h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return h
-
-
-_words = WordHashes()
+#: N-grams that one bucket of the counting and meeting steps holds on average, and that a task sends at once.
+BUCKET_GRAMS = 1_000_000
+SEND_GRAMS = 400_000
+#: Bytes of a text that are hashed at once.
+SPAN = 1 << 20
+ROUNDS = 3
+#: Classes on either side of a block.
+BLOCK = 192
+
+_rng = np.random.default_rng(20)
+_BYTE = _rng.integers(1, 1 << 63, 256, np.uint64)
+_BYTE[65:91] = _BYTE[97:123]  # A-Z are read as a-z
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BASE = 0x9E3779B97F4A7C15
+_ODD = [int(x) | 1 for x in _rng.integers(1, 1 << 63, 8, np.uint64)]
+_powers: list[np.ndarray] = []
+
+
+def powers(length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2**64."""
+    if not _powers or len(_powers[0]) < length:
+        size = max(length, 1 << 15)
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _powers.append(np.multiply.accumulate(steps))
+        del _powers[:-2]
+    return _powers[0], _powers[1]
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(32))
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xA0761D6478BD642F)
+    return h ^ (h >> np.uint64(32))
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A hash of each word: its bytes' values as digits of a number modulo 2**64, then mixed."""
+    b = np.frombuffer(data, np.uint8)
+    edge = np.diff(np.concatenate(([True], _SPACE[b], [True])).view(np.int8))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    up, down = powers(len(b) + 1)
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_BYTE[b] * up[: len(b)], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * down[starts])
+
+
+def parts(data: bytes) -> Iterator[bytes]:
+    """The text in parts of about ``SPAN`` bytes, cut before white space."""
+    start = 0
+    while len(data) - start > SPAN:
+        end = start + SPAN
+        while end < len(data) and not _SPACE[data[end]]:
+            end += 1
+        yield data[start:end]
+        start = end
+    yield data[start:]
 
 
 def ngram_set(text: str | None, n: int = N) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word n-grams."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    known = _words
-    h = np.fromiter((known[w] for w in words), np.uint64, len(words))
-    size = min(n, len(words))
-    out = np.full(len(words) - size + 1, size, np.uint64)
+    data = (text or "").encode("utf-8", "replace")
+    h = word_hashes(data) if len(data) <= SPAN else np.concatenate([word_hashes(p) for p in parts(data)])
+    if not len(h):
+        return h
+    size = min(n, len(h))
+    out = np.full(len(h) - size + 1, size, np.uint64)
     for k in range(size):
         out += h[k : len(h) - size + 1 + k] * np.uint64(_ODD[k % len(_ODD)] + 2 * (k // len(_ODD)))
-    out ^= out >> np.uint64(32)
-    out *= np.uint64(0xD6E8FEB86659FD93)
-    out ^= out >> np.uint64(29)
-    return np.unique(out)
+    out = mixed(out)
+    out.sort()
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 def class_of(grams: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def cell(grams: np.ndarray) -> np.ndarray:
-    return (grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-
-
 def prefix_length(n: int, threshold: int = THRESHOLD) -> int:
     return n - -(-threshold * n // 100) + 1
 
 
-def frequency_classes(sketch: np.ndarray) -> np.ndarray:
-    """0 for cells up to twice the mean, one more for each doubling."""
-    mean = max(1.0, sketch.mean())
-    return np.maximum(0, np.floor(np.log2(np.maximum(sketch, 1) / mean))).astype(np.uint8)
+def marked(bitmap: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    at = grams & np.uint64(8 * len(bitmap) - 1)
+    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
 
 def combined(rows: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], np.ndarray], join: Callable, size: int, dtype: str) -> np.ndarray:
@@ -133,75 +179,164 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def bucketed(texts: DataFrame, grams_of: Callable, buckets: int) -> DataFrame:
+    """``bucket`` and binary columns ``s``, ``cls``, ``n``: what ``grams_of`` gives of each text, dealt by ranges of hashes.
+
+    A task sends arrays, one row per bucket and ``SEND_GRAMS`` n-grams, not a row per n-gram.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            s = np.concatenate([h[0] for h in held])
+            lengths = [len(h[0]) for h in held]
+            cls = np.repeat(np.array([h[1] for h in held], np.int64), lengths)
+            n = np.repeat(np.array([h[2] for h in held], np.int32), lengths)
+            to = (s >> np.uint64(40)).astype(np.int64) * buckets >> 24
+            order = np.argsort(to, kind="stable")
+            s, cls, n = s[order], cls[order], n[order]
+            ends = np.searchsorted(to[order], np.arange(buckets + 1))
+            full = np.flatnonzero(ends[1:] > ends[:-1])
+            cut = lambda a: pa.array([a[ends[b] : ends[b + 1]].tobytes() for b in full], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), cut(s), cut(cls), cut(n)], names=["bucket", "s", "cls", "n"])
+
+        seen: set[int] = set()
+        for batch in batches:
+            for t in batch.column(0):
+                found = grams_of(t.as_py(), seen)
+                if found is not None and len(found[0]):
+                    held.append(found)
+                    size += len(found[0])
+                    if size >= SEND_GRAMS:
+                        yield flush()
+                        held, size = [], 0
+        if held:
+            yield flush()
+
+    return texts.mapInArrow(send, "bucket int, s binary, cls binary, n binary")
+
+
+def arrays(table: pa.Table, *columns: tuple[str, str]) -> list[np.ndarray]:
+    return [np.concatenate([np.frombuffer(x, kind) for x in table[c].to_pylist()]) for c, kind in columns]
+
+
+def frequent_bitmap(texts: DataFrame, n: int, threshold: int, buckets: int) -> np.ndarray:
+    """Marks of the n-grams that ``FREQUENT`` documents or more hold, among those that can come into a prefix."""
+
+    def grams_of(t: str, seen: set) -> tuple:
+        grams = ngram_set(t, n)
+        return grams[: int(MARGIN * prefix_length(len(grams), threshold)) + 1], 0, 0
+
+    def frequent(table: pa.Table) -> pa.Table:
+        (s,) = arrays(table, ("s", "u8"))
+        values, times = np.unique(s, return_counts=True)
+        return pa.table({"s": pa.array(values[times >= FREQUENT].view(np.int64))})
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros(1 << FREQUENT_BITS, bool)
+        for batch in batches:
+            s = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            out[(s & np.uint64(len(out) - 1)).astype(np.int64)] = True
+        return np.packbits(out)
+
+    found = bucketed(texts, grams_of, buckets).groupBy("bucket").applyInArrow(frequent, "s long")
+    return combined(found, mark, np.bitwise_or, (1 << FREQUENT_BITS) // 8, "uint8")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, threshold: int = THRESHOLD) -> DataFrame:
     """Key, ``n_shingles``, ``component_id`` of every row."""
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col(text).alias("text"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    words = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = int(np.clip(words // 6 // 3 // BUCKET_GRAMS, 2 * partitions, 1 << 20))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
-            grams = [ngram_set(t, n) for t in batch.column(0).to_pylist()]
-            total += np.bincount(cell(np.concatenate(grams)), minlength=len(total)) if grams else 0
-        return total
-
-    sketch = combined(texts, count, np.add, 1 << SKETCH_BITS, "int64")
-    classes = frequency_classes(sketch)
-    shared = spark.sparkContext.broadcast(classes)
+    bitmap = spark.sparkContext.broadcast(frequent_bitmap(texts, n, threshold, buckets))
 
-    def ordered(grams: np.ndarray) -> np.ndarray:
-        rank = shared.value[cell(grams)]
-        return grams[np.argsort(rank, kind="stable")] if rank.any() else grams
+    def prefix(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rare and the frequent n-grams of a set's prefix."""
+        frequent = marked(bitmap.value, grams)
+        rare, rest = grams[~frequent], grams[frequent]
+        size = prefix_length(len(grams), threshold)
+        return rare[:size], rest[: max(0, size - len(rare))]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            sizes, names, cold, hot = [], [], [], []
-            for t in batch.column("text").to_pylist():
-                grams = ngram_set(t, n)
+            sizes, names, hot = [], [], []
+            for t in batch.column("text"):
+                grams = ngram_set(t.as_py(), n)
                 name = class_of(grams) if len(grams) else None
                 sizes.append(len(grams))
                 names.append(name)
-                if name is None or name in seen:
-                    cold.append(None)
-                    hot.append(None)
-                    continue
+                rest = None if name is None or name in seen else prefix(grams)[1]
+                hot.append(rest.view(np.int64) if rest is not None and len(rest) else None)
                 seen.add(name)
-                prefix = ordered(grams)[: prefix_length(len(grams), threshold)]
-                is_hot = shared.value[cell(prefix)] >= HOT_CLASS
-                cold.append(prefix[~is_hot].view(np.int64))
-                hot.append(prefix[is_hot].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sizes, pa.int32()), pa.array(names, pa.int64()), pa.array(cold, pa.list_(pa.int64())), pa.array(hot, pa.list_(pa.int64()))], names=["key", "n", "cls", "cold", "hot"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sizes, pa.int32()), pa.array(names, pa.int64()), pa.array(hot, pa.list_(pa.int64()))], names=["key", "n", "cls", "hot"])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    rows = written(rows.mapInArrow(sets, "key long, n int, cls long, cold array<long>, hot array<long>"), "ngram-sets")
+    rows = written(rows.mapInArrow(sets, "key long, n int, cls long, hot array<long>"), "ngram-sets")
+
+    def rare_of(t: str, seen: set) -> tuple | None:
+        grams = ngram_set(t, n)
+        if not len(grams) or (name := class_of(grams)) in seen:
+            return None
+        seen.add(name)
+        return prefix(grams)[0], name, len(grams)
 
-    met = written(meetings(rows), "ngram-meetings")
+    rare = bucketed(texts, rare_of, buckets).groupBy("bucket").applyInArrow(meet, "s long, cls long, n int")
+    met = written(rare.unionByName(meet_frequent(rows)), "ngram-meetings")
     release(spark)
-    classes_met = met.select("cls").distinct()
-    wanted = written(classes_met, "ngram-classes")
-    segments = written(fragments(texts, wanted, ordered, classes, n), "ngram-fragments")
+    shared = met.groupBy("cls", "n").agg(F.count("*").alias("met"))
+    shared = shared.withColumn("likely", 2 * F.col("met") >= least_shared("n", "n", threshold))
+    segments = fragments(texts, shared.where("likely").select("cls"), bitmap, n)
+    met = met.join(shared, ["cls", "n"]).select("s", "cls", "n", "likely", (F.col("met") / F.col("n")).alias("share"))
+    met = written(met, "ngram-shares")
     release(spark)
 
-    # Each class against the hub that most of its n-grams name.
-    named = met.where("cls <> hub").where(alike("n", "hub_n", threshold)).groupBy("cls", "n", "hub", "hub_n").agg(F.count("*").alias("votes"))
-    best = named.groupBy("cls", "n").agg(F.max(F.struct("votes", "hub", "hub_n")).alias("x"))
-    star = checkpointed(best.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("x.hub").alias("b"), F.col("x.hub_n").alias("nb")))
-    edges = checkpointed(linked(star, segments, threshold))
-    labels = components(edges)
-
-    # What meets across components.
-    placed = met.select("s", "cls", "n").join(labels.withColumnRenamed("v", "cls"), "cls", "left")
-    placed = written(placed.select("s", "cls", "n", F.coalesce("label", "cls").alias("label")), "ngram-placed")
+    labels = spark.createDataFrame([], "v long, label long")
+    edges = spark.createDataFrame([], "a long, b long")
+    tried = edges
+    for step in range(ROUNDS):
+        placed = place(met.where("likely"), labels)
+        order = F.struct("share", "cls") if step == 0 else F.struct(F.xxhash64("cls", F.lit(step)), "cls")
+        hub = F.max(F.struct(order.alias("order"), "cls", "n", "label")).alias("hub")
+        hubs = placed.groupBy("s").agg(hub, F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+        hubs = hubs.select("s", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.label").alias("hub_label"))
+        named = placed.join(hubs, "s").where("label <> hub_label").where(alike("n", "hub_n", threshold))
+        # Too few n-grams in common make no likely link; what is left out here is looked at in the end.
+        named = named.groupBy("cls", "n", "hub", "hub_n").agg(F.count("*").alias("votes")).where(2 * F.col("votes") >= least_shared("n", "hub_n", threshold))
+        best = named.groupBy("cls", "n").agg(F.max(F.struct("votes", "hub", "hub_n")).alias("x"))
+        star = best.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("x.hub").alias("b"), F.col("x.hub_n").alias("nb"))
+        star = written(star.join(tried, ["a", "b"], "left_anti"), "ngram-star")
+        if star.isEmpty():
+            break
+        tried = tried.unionByName(star.select("a", "b")).unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        edges = checkpointed(edges.unionByName(linked(star, segments, threshold)))
+        labels = components(edges)
+        release(spark)
+
+    regions = components(tried).withColumnRenamed("label", "region")
+    edges = checkpointed(edges.unionByName(within(regions, labels, segments, threshold)))
+
+    # What meets across regions. A pair is counted under every n-gram that both prefixes hold.
+    placed = place(met, regions.withColumnRenamed("region", "label"))
     counted = placed.groupBy("s", "label").agg(F.count("*").alias("m"))
-    mixed = counted.groupBy("s").agg(F.max(F.struct("m", "label")).alias("x"), F.count("*").alias("labels")).where("labels > 1").select("s", F.col("x.label").alias("main"))
-    left = placed.join(mixed, "s").where("label <> main").select("s", "main", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    main = counted.groupBy("s").agg(F.max(F.struct("m", "label")).alias("x"), F.count("*").alias("labels")).where("labels > 1").select("s", F.col("x.label").alias("main"))
+    left = placed.join(main, "s").where("label <> main").select("s", "main", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
     right = placed.select("s", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    across = left.join(right, "s").where("la <> lb and (lb = main or a < b)").where(alike("na", "nb", threshold)).select("a", "na", "b", "nb").distinct()
-    tried = star.select("a", "b").unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = linked(across.join(tried, ["a", "b"], "left_anti"), segments, threshold)
-    labels = components(edges.unionByName(more))
+    across = left.join(right, "s").where("la <> lb and (lb = main or a < b)").where(alike("na", "nb", threshold))
+    first = F.col("a") < F.col("b")
+    across = across.select(*[F.when(first, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("na", "nb"), ("b", "a"), ("nb", "na"))])
+    across = across.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("shared")).where(F.col("shared") >= least_shared("na", "nb", threshold))
+    across = written(across.drop("shared"), "ngram-across")
+    release(spark)
+    if not across.isEmpty():
+        again = fragments(texts, across.select(F.explode(F.array("a", "b")).alias("cls")), bitmap, n)
+        edges = edges.unionByName(linked(across, again, threshold))
+    labels = components(edges)
 
     own = rows.where("cls is not null").groupBy("cls").agg(F.min("key").alias("least"))
     joined = own.join(labels.withColumnRenamed("v", "cls"), "cls", "left").select("cls", "least", F.coalesce("label", "cls").alias("label"))
@@ -211,29 +346,53 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     return rows.select("key", "n", "cls").join(final, "cls", "left").select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
 
 
+def place(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """Meetings with the component that each class is in so far."""
+    placed = met.join(labels.withColumnRenamed("v", "cls"), "cls", "left")
+    return written(placed.select("s", "cls", "n", "likely", "share", F.coalesce("label", "cls").alias("label")), "ngram-placed")
+
+
+def least_shared(a: str, b: str, threshold: int) -> Column:
+    """N-grams that the prefixes of two similar sets share at least.
+
+    The prefix that ends first in the global order holds whatever both share up to there, and so does the other one; the
+    rest of the intersection lies in the rest of that set.
+    """
+    overlap = F.ceil(F.lit(threshold) * (F.col(a) + F.col(b)) / (100 + threshold))
+    rest = F.greatest(*[F.ceil(F.lit(threshold) * F.col(x) / 100) - 1 for x in (a, b)])
+    return F.greatest(F.lit(1), overlap - rest)
+
+
 def alike(a: str, b: str, threshold: int):
     """Sizes that allow the similarity."""
     return 100 * F.least(a, b) >= threshold * F.greatest(a, b)
 
 
-def meetings(rows: DataFrame) -> DataFrame:
-    """``s``, ``cls``, ``n``, ``hub``, ``hub_n``: prefix n-grams under which at least two classes meet.
+def meet(table: pa.Table) -> pa.Table:
+    """``s``, ``cls``, ``n`` of the n-grams of a bucket under which at least two classes meet."""
+    s, cls, n = arrays(table, ("s", "u8"), ("cls", "i8"), ("n", "i4"))
+    order = np.lexsort((cls, s))
+    s, cls, n = s[order], cls[order], n[order]
+    once = np.concatenate(([True], (s[1:] != s[:-1]) | (cls[1:] != cls[:-1])))
+    s, cls, n = s[once], cls[once], n[once]
+    starts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+    sizes = np.diff(np.append(starts, len(s)))
+    shared = np.repeat(sizes > 1, sizes)
+    return pa.table([pa.array(s[shared].view(np.int64)), pa.array(cls[shared]), pa.array(n[shared])], names=["s", "cls", "n"])
 
-    The many ordinary n-grams are shuffled once and both grouped and joined where they lie. Hot ones are combined before
-    their shuffle and joined in a way that adaptive execution can split.
-    """
-    def grouped(postings: DataFrame) -> DataFrame:
-        found = postings.groupBy("s").agg(F.min("cls").alias("hub"), F.max("cls").alias("last"), F.min_by("n", "cls").alias("hub_n")).where("hub <> last")
-        return postings.join(found, "s").select("s", "cls", "n", "hub", "hub_n").distinct()
 
-    cold = rows.where("cold is not null").select(F.explode("cold").alias("s"), "cls", "n").repartition("s")
-    hot = rows.where("hot is not null").select(F.explode("hot").alias("s"), "cls", "n")
-    return grouped(cold).unionByName(grouped(hot))
+def meet_frequent(rows: DataFrame) -> DataFrame:
+    """The same for frequent n-grams, which may have very many classes each: combined before they are shuffled, and
+    joined in a way that adaptive execution can split."""
+    postings = rows.where("hot is not null").select(F.explode("hot").alias("s"), "cls", "n")
+    found = postings.groupBy("s").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("s")
+    return postings.join(found, "s").distinct()
 
 
-def fragments(texts: DataFrame, wanted: DataFrame, ordered: Callable, classes: np.ndarray, n: int) -> DataFrame:
-    """``cls``, ``fragment``, ``grams`` of the wanted classes. A Bloom filter of bounded size keeps most others from the shuffle."""
+def fragments(texts: DataFrame, classes: DataFrame, bitmap, n: int) -> DataFrame:
+    """``cls``, ``fragment``, ``grams`` of the classes. A Bloom filter of bounded size keeps most others from the shuffle."""
     spark = texts.sparkSession
+    wanted = written(classes.distinct(), "ngram-wanted")
     low, high = BLOOM_BITS
     bits = int(np.clip(int(16 * max(1, wanted.count())).bit_length(), low, high))
 
@@ -246,15 +405,14 @@ def fragments(texts: DataFrame, wanted: DataFrame, ordered: Callable, classes: n
         return np.packbits(out)
 
     bloom = spark.sparkContext.broadcast(combined(wanted, mark, np.bitwise_or, (1 << bits) // 8, "uint8"))
-    shared = spark.sparkContext.broadcast(classes)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         has = lambda at: bloom.value[at >> 3] >> (7 - (at & 7)) & 1
         for batch in batches:
-            names, parts, grams_of = [], [], []
-            for t in batch.column(0).to_pylist():
-                grams = ngram_set(t, n)
+            names, places, grams_of = [], [], []
+            for t in batch.column(0):
+                grams = ngram_set(t.as_py(), n)
                 if not len(grams):
                     continue
                 name = class_of(grams)
@@ -262,18 +420,18 @@ def fragments(texts: DataFrame, wanted: DataFrame, ordered: Callable, classes: n
                 if name in seen or not (has(u & (1 << bits) - 1) and has(u >> (64 - bits))):
                     continue
                 seen.add(name)
-                part = np.where(shared.value[cell(grams)] > 0, FRAGMENTS, (grams >> np.uint64(60)).astype(np.int64) * FRAGMENTS // 16)
+                part = np.where(marked(bitmap.value, grams), FRAGMENTS, (grams >> np.uint64(60)).astype(np.int64) * FRAGMENTS // 16)
                 order = np.argsort(part, kind="stable")
                 ends = np.searchsorted(part[order], np.arange(FRAGMENTS + 2))
                 for f in range(FRAGMENTS + 1):
                     if ends[f] < ends[f + 1]:
                         names.append(name)
-                        parts.append(f)
+                        places.append(f)
                         grams_of.append(grams[order[ends[f] : ends[f + 1]]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(parts, pa.int32()), pa.array(grams_of, pa.list_(pa.int64()))], names=["cls", "fragment", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(places, pa.int32()), pa.array(grams_of, pa.list_(pa.int64()))], names=["cls", "fragment", "grams"])
 
     found = texts.mapInArrow(cut, "cls long, fragment int, grams array<long>")
-    return found.join(wanted, "cls", "left_semi").dropDuplicates(["cls", "fragment"])
+    return written(found.join(wanted, "cls", "left_semi").dropDuplicates(["cls", "fragment"]), "ngram-fragments")
 
 
 def linked(pairs: DataFrame, segments: DataFrame, threshold: int) -> DataFrame:
@@ -285,6 +443,59 @@ def linked(pairs: DataFrame, segments: DataFrame, threshold: int) -> DataFrame:
     return total.where(100 * F.col("both") >= threshold * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
+def compared(left: pd.DataFrame, right: pd.DataFrame, threshold: int) -> pd.DataFrame:
+    """Links of a block: of each class on the left, one to every other component on the right."""
+    a, b = (list(f.groupby("cls")["label"].first().items()) for f in (left, right))
+    both = np.zeros((len(a), len(b)), np.int64)
+    sizes = [np.zeros(len(x), np.int64) for x in (a, b)]
+    at = [{cls: i for i, (cls, _) in enumerate(x)} for x in (a, b)]
+    for _, of in right.groupby("fragment"):
+        grams = np.unique(np.concatenate(of["grams"].tolist()))
+        rows = of["cls"].map(at[1]).to_numpy()
+        lengths = of["grams"].map(len).to_numpy()
+        sizes[1][rows] += lengths
+        places = np.searchsorted(grams, np.concatenate(of["grams"].tolist()))
+        starts = np.cumsum(lengths) - lengths
+        mine = left[left["fragment"] == of["fragment"].iloc[0]]
+        for cls, x in zip(mine["cls"], mine["grams"]):
+            marks = np.zeros(len(grams), np.int64)
+            found = np.searchsorted(grams, x)
+            inside = found < len(grams)
+            marks[found[inside][grams[found[inside]] == x[inside]]] = 1
+            both[at[0][cls], rows] += np.add.reduceat(marks[places], starts)
+    np.add.at(sizes[0], left["cls"].map(at[0]).to_numpy(), left["grams"].map(len).to_numpy())
+    total = sizes[0][:, None] + sizes[1][None, :] - both
+    labels = [np.array([x for _, x in y]) for y in (a, b)]
+    i, k = np.nonzero((100 * both >= threshold * total) & (labels[0][:, None] != labels[1][None, :]))
+    links = pd.DataFrame({"a": np.array([x for x, _ in a], np.int64)[i], "b": np.array([x for x, _ in b], np.int64)[k], "label": labels[1][k]})
+    return links.groupby(["a", "label"], as_index=False)["b"].min()[["a", "b"]]
+
+
+def within(regions: DataFrame, labels: DataFrame, segments: DataFrame, threshold: int) -> DataFrame:
+    """Links inside regions that join components: classes outside a region's largest component against all of it.
+
+    Both sides are dealt into blocks of about ``BLOCK`` classes; a class goes to as many blocks as the other side has.
+    """
+    members = regions.withColumnRenamed("v", "cls").join(labels.withColumnRenamed("v", "cls"), "cls", "left")
+    members = checkpointed(members.select("cls", "region", F.coalesce("label", "cls").alias("label")))
+    counted = members.groupBy("region", "label").agg(F.count("*").alias("m"))
+    counted = counted.groupBy("region").agg(F.max(F.struct("m", "label")).alias("x"), F.sum("m").alias("all")).where(F.col("all") > F.col("x.m"))
+    blocks = counted.select("region", F.col("x.label").alias("main"), F.ceil((F.col("all") - F.col("x.m")) / BLOCK).alias("rows"), F.ceil(F.col("all") / BLOCK).alias("columns"))
+    members = members.join(blocks, "region").join(segments, "cls")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    key, kept = ["region", "row", "column"], ["cls", "label", "fragment", "grams"]
+    left = members.where("label <> main").select("region", F.pmod(F.xxhash64("cls"), "rows").alias("row"), every("columns").alias("column"), *kept)
+    right = members.select("region", every("rows").alias("row"), F.pmod(F.xxhash64("cls", F.lit(1)), "columns").alias("column"), *kept)
+    left = left.select(*[F.col(c).alias(c) for c in left.columns])  # columns of its own beside the other side's
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        return compared(a, b, threshold)
+
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(compare, "a long, b long")
+
+
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The row of each component whose identifier is smallest, unchanged; rows that share it stay together."""
     stays = near_duplicates(docs, key, text, **options).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__key")).distinct()
