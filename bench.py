@@ -48,6 +48,7 @@ def main() -> None:
         "laudospark-bench",
         **{
             "spark.sql.shuffle.partitions": cpus,
+            "laudospark.spreadSmallScans": "true",
             "spark.driver.memory": "16g",
             "spark.driver.host": "127.0.0.1",
             "spark.ui.enabled": "false",

@@ -19,7 +19,8 @@ def strip_code_fence(c: Column) -> Column:
 
 
 def parse_llm_output(c: Column) -> Column:
-    """Typed answer with its defaults; ``error`` is set when the answer is missing or no JSON object."""
+    """Typed answer with its defaults; ``error`` is set when the answer is missing, no JSON object, or lacks a field that
+    has no default (``summary``, ``findings``, ``diagnostics``). An answer in error is not marked invalid."""
     parsed = F.from_json(
         c, ANALYSIS_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
     )
@@ -27,9 +28,16 @@ def parse_llm_output(c: Column) -> Column:
 
     def fill(p: Column) -> Column:
         broken = p.isNull() | p["_bad"].isNotNull()
-        error = F.when(c.isNull(), F.lit("no answer")).when(broken, F.lit("unreadable answer")).otherwise(p["error"])
+        lacking = p["summary"].isNull() | p["findings"].isNull() | p["diagnostics"].isNull()
+        error = (
+            F.when(c.isNull(), F.lit("no answer"))
+            .when(broken, F.lit("unreadable answer"))
+            .when(p["error"].isNotNull(), p["error"])
+            .when(lacking, F.lit("missing field"))
+        )
+        valid = F.when(lacking, F.lit(True)).otherwise(F.coalesce(p["is_valid_exam"], F.lit(True)))
         return F.struct(
-            F.coalesce(p["is_valid_exam"], F.lit(True)).alias("is_valid_exam"),
+            F.coalesce(valid, F.lit(True)).alias("is_valid_exam"),
             p["summary"].alias("summary"),
             F.coalesce(p["findings"], empty).alias("findings"),
             p["normal_standards"].alias("normal_standards"),

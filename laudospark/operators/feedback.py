@@ -5,52 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..rules import patterns as R
-from .joins import skew_join
 
+def validation_totals(validations: DataFrame, jobs: DataFrame) -> DataFrame:
+    """``exam_type, validations, wrong, pairs``: counts of validations, of wrong results, and of feedback pairs.
 
-def validations_by_exam(validations: DataFrame) -> DataFrame:
-    """Number of validations per known exam type."""
+    Validations are counted per job before they meet the jobs: both sides then have one row per key.
+    """
+    wrong = F.col("is_correct").cast("int") == 0
+    per_job = validations.groupBy("job_id").agg(
+        F.count("*").alias("n"), F.count_if(wrong).alias("w"), F.count_if(wrong & (F.col("corrections") != "")).alias("p")
+    )
+    snippet = F.get_json_object("result_json", "$.safe_text_snippet")
+    kinds = jobs.select("job_id", "exam_type", F.coalesce(~snippet.isin("", "..."), F.lit(False)).alias("has_snippet"))
     return (
-        validations.filter(F.col("exam_type").isNotNull()).groupBy("exam_type").agg(F.count("*").alias("validations"))
+        per_job.join(kinds, "job_id", "left")
+        .groupBy("exam_type")
+        .agg(F.sum("n").alias("validations"), F.sum("w").alias("wrong"), F.sum(F.when(F.col("has_snippet"), F.col("p")).otherwise(0)).alias("pairs"))
     )
 
 
-def lexical_stats(jobs: DataFrame, validations: DataFrame, feedback: DataFrame) -> DataFrame:
-    """One row of totals plus a map of validations per exam type.
+def validations_by_exam(validations: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Number of validations per known exam type."""
+    return validation_totals(validations, jobs).filter(F.col("exam_type").isNotNull()).select("exam_type", "validations")
 
-    Every part is an aggregate of its own; only one-row results and the per-type counts are combined.
-    """
+
+def lexical_stats(jobs: DataFrame, validations: DataFrame) -> DataFrame:
+    """One row of totals plus a map of validations per exam type; only one-row results are combined."""
     done = jobs.agg(F.count_if(F.col("status") == "completed").alias("total_completed_jobs"))
-    by_exam = (
-        validations.groupBy("exam_type")
-        .agg(
-            F.count("*").alias("n"),
-            F.count_if(F.col("is_correct").cast("int") == 0).alias("wrong"),
-        )
-        .agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("total_validations"),
-            F.coalesce(F.sum("wrong"), F.lit(0)).alias("corrections_submitted"),
-            F.map_from_entries(
-                F.array_sort(
-                    F.collect_list(F.when(F.col("exam_type").isNotNull(), F.struct("exam_type", "n")))
-                )
-            ).alias("validations_by_exam"),
-        )
-    )
-    entries = feedback.agg(F.count("*").alias("lexical_feedback_entries"))
-    return done.crossJoin(by_exam).crossJoin(entries).select(
-        "total_completed_jobs",
-        "total_validations",
-        "corrections_submitted",
-        "lexical_feedback_entries",
-        "validations_by_exam",
+    known = F.when(F.col("exam_type").isNotNull(), F.struct("exam_type", F.col("validations").alias("n")))
+    totals = validation_totals(validations, jobs).agg(
+        F.coalesce(F.sum("validations"), F.lit(0)).alias("total_validations"),
+        F.coalesce(F.sum("wrong"), F.lit(0)).alias("corrections_submitted"),
+        F.coalesce(F.sum("pairs"), F.lit(0)).alias("lexical_feedback_entries"),
+        F.map_from_entries(F.array_sort(F.collect_list(known))).alias("validations_by_exam"),
     )
+    return done.crossJoin(totals)
 
 
 def corrections_report(validations: DataFrame, jobs: DataFrame) -> DataFrame:
     """Wrong results with their file name, newest first (``id`` breaks ties)."""
     wrong = validations.filter(F.col("is_correct").cast("int") == 0)
-    named = skew_join(wrong, jobs.select("job_id", "filename"), "job_id", "left")
+    named = wrong.join(jobs.select("job_id", "filename"), "job_id", "left")
     return named.select("id", "exam_type", "corrections", "validated_at", "filename").orderBy(
         F.desc("validated_at"), F.desc("id")
     )
@@ -81,16 +76,17 @@ def validation_listing(validations: DataFrame) -> DataFrame:
 def retrain_set(jobs: DataFrame, validations: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """One row per validation of a job whose last validation found errors and whose file is kept.
 
-    ``jobs`` holds ``validation_status``. With ``files`` (a listing with ``path``) only rows whose file
+    ``jobs`` holds ``validation_status``; the exam type is the validation's own, if it has one, else the job's. With ``files`` (a listing with ``path``) only rows whose file
     is there remain; ``retrain_missing`` gives the others.
     """
     wanted = jobs.filter(
         (F.col("validation_status") == "validated_with_errors") & F.col("file_path").isNotNull()
-    ).select("job_id", "filename", "file_path")
+    ).select("job_id", "filename", "file_path", "exam_type")
     if files is not None:
         wanted = wanted.join(files.select(F.col("path").alias("file_path")), "file_path", "left_semi")
-    marks = validations.select("id", "job_id", "corrections", "exam_type")
-    return skew_join(marks, wanted, "job_id", "inner").select(
+    own = "exam_type" in validations.columns
+    marks = validations.select("id", "job_id", "corrections", *(["exam_type"] if own else []))
+    return marks.join(wanted.drop("exam_type") if own else wanted, "job_id").select(
         "id",
         "job_id",
         "filename",

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-MAX_HOT_KEYS = 100
-SALTS = 64
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def hot_keys(df: DataFrame, key: str, max_keys: int = MAX_HOT_KEYS) -> DataFrame:
+def hot_keys(df: DataFrame, key: str, max_keys: int) -> DataFrame:
     """Keys that hold more than ``1 / max_keys`` of the rows: by counting, fewer than ``max_keys``.
 
     One pass over the key column with partial counts per task; nothing is collected.
@@ -22,15 +22,17 @@ def hot_keys(df: DataFrame, key: str, max_keys: int = MAX_HOT_KEYS) -> DataFrame
     )
 
 
-def skew_join(facts: DataFrame, lookup: DataFrame, key: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
+def skew_join(facts: DataFrame, lookup: DataFrame, key: str, how: str = "inner", salts: int | None = None) -> DataFrame:
     """Equi-join of a large, possibly skewed table with a table that is unique on ``key``.
 
-    Rows of hot keys are spread over ``salts`` sub-keys by a hash of the whole row, and the lookup rows of
-    those keys (fewer than ``MAX_HOT_KEYS`` rows) are repeated once per salt. Rows without a key match
+    For joins whose result must not depend on adaptive execution. A key is hot if it would fill more than one shuffle
+    partition's even share; its rows are spread over ``salts`` sub-keys (as many as shuffle partitions, if not given) by
+    a hash of the whole row, and the lookup rows of hot keys, fewer than shuffle partitions, are repeated once per salt. Rows without a key match
     nothing and are spread too. All other keys join as usual, so neither table is blown up and no group
     lands in one task. ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``.
     """
-    hot = F.broadcast(hot_keys(facts, key))  # fewer than MAX_HOT_KEYS rows, see hot_keys
+    salts = salts or shuffle_partitions(facts)
+    hot = F.broadcast(hot_keys(facts, key, max(2, shuffle_partitions(facts))))  # fewer rows than shuffle partitions
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in facts.columns]), F.lit(salts)).cast("int")
     salted_facts = facts.join(hot, key, "left").withColumn(
         "__salt", F.when(F.col("__hot") | F.col(key).isNull(), spread).otherwise(F.lit(0))
@@ -46,24 +48,10 @@ def skew_join(facts: DataFrame, lookup: DataFrame, key: str, how: str = "inner",
     )
 
 
-MAX_BROADCAST_ROWS = 20_000
-
-
-def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """Counts at most ``max_rows + 1`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def lookup_join(
-    df: DataFrame, table: DataFrame, key: str, how: str = "inner", max_rows: int = MAX_BROADCAST_ROWS, salts: int = SALTS
-) -> DataFrame:
+def lookup_join(df: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Join with a rule table on a key of few values (an exam type may hold a third of all rows).
 
-    The rule table is counted first. Up to ``max_rows`` it is broadcast and ``df`` is not moved; a larger
-    one is repeated per salt and joined by shuffle on key and salt.
+    A plain equi-join: the optimizer broadcasts a rule table whose size in bytes is below its limit, so ``df`` is not
+    moved; beyond it adaptive execution splits the partitions of frequent keys. Nothing runs while the plan is made.
     """
-    if is_small(table, max_rows):
-        return df.join(F.broadcast(table), key, how)
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salts)).cast("int")
-    repeated = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return df.withColumn("__salt", spread).join(repeated, [key, "__salt"], how).drop("__salt")
+    return df.join(table, key, how)

@@ -27,7 +27,9 @@ def kb_term_hits(
     Terms are packed per exam type into arrays of bounded length, so a report meets a few rows instead of
     one copy of its text per term.
     """
-    forms = F.transform(F.array_append(F.col("variantes"), F.col("termo")), F.lower)
+    named = F.array_distinct(F.transform(F.array_append(F.col("variantes"), F.col("termo")), F.lower))
+    # A text that holds a form also holds every form inside it, so only the innermost ones are searched.
+    forms = F.filter(named, lambda f: ~F.exists(named, lambda g: (g != f) & F.contains(f, g)))
     packed = (
         terms.filter(F.col("peso").isin(*weights))
         .select("exam_type", F.floor(F.col("ord") / FORMS_PER_CHUNK).alias("chunk"), "termo", "peso", forms.alias("forms"))
@@ -52,14 +54,22 @@ def compound_diagnoses(
     findings: str = "achados",
     key: str = "report_id",
     aliases: Mapping[str, str] = L.TOKEN_ALIASES,
+    text: str | None = None,
+    patterns: Mapping[str, Sequence[tuple[str, str]]] = L.TOKEN_PATTERNS,
 ) -> DataFrame:
-    """``(key, exam_type, condicao, diagnostico)`` for every rule whose tokens are all among the findings."""
+    """``(key, exam_type, condicao, diagnostico)`` for every rule whose tokens are all among the findings.
+
+    With ``text``, tokens that no parser reports are found in it by ``patterns`` of the row's exam type.
+    """
     required = F.split("condicao", r" \+ ")
     if aliases:
         names = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
         required = F.transform(required, lambda t: F.coalesce(F.try_element_at(names, t), t))
     rules = compounds.select("exam_type", "condicao", "diagnostico", required.alias("__required"))
-    found = reports.select(key, "exam_type", F.col(findings).alias("__found"))
+    known = F.coalesce(F.col(findings), F.array().cast("array<string>"))
+    if text is not None:
+        known = F.array_union(known, found_tokens(F.col(text), F.col("exam_type"), patterns))
+    found = reports.select(key, "exam_type", known.alias("__found"))
     return (
         lookup_join(found, rules, "exam_type")
         .filter(F.size(F.array_except("__required", "__found")) == 0)
@@ -67,6 +77,16 @@ def compound_diagnoses(
     )
 
 
+def found_tokens(text: Column, exam_type: Column, patterns: Mapping[str, Sequence[tuple[str, str]]] = L.TOKEN_PATTERNS) -> Column:
+    """Tokens of the exam type whose pattern occurs in the text."""
+    low = F.lower(text)
+    out = F.array().cast("array<string>")
+    for kind, rules in patterns.items():
+        hits = F.array_compact(F.array(*[F.when(F.rlike(low, F.lit(p)), F.lit(token)) for token, p in rules]))
+        out = F.when(exam_type == kind, hits).otherwise(out)
+    return out
+
+
 def kb_patch_suggestions(
     feedback: DataFrame, terms: DataFrame, watch: Sequence[str] = R.WATCH_WORDS
 ) -> DataFrame:

@@ -5,12 +5,12 @@ Event and validation tables carry a monotone ``seq``/``id``: timestamps of one s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..rules import patterns as R
-from .joins import skew_join
-
 KEPT_WHEN_NULL = ("result_json", "patient_token", "exam_type")
+#: Columns of a job's first event that later ones do not change.
+KEPT_FROM_FIRST = ("filename", "file_path", "created_at")
 
 
 def insert_or_ignore(new: DataFrame, existing: DataFrame | None = None, key: str = "job_id", order: str = "seq") -> DataFrame:
@@ -27,7 +27,9 @@ def insert_or_ignore(new: DataFrame, existing: DataFrame | None = None, key: str
 def fold_job_events(events: DataFrame, key: str = "job_id", order: str = "seq") -> DataFrame:
     """Current state per job: the last status and message, the last non-null result, token and type.
 
-    An empty result document (``{}``) counts as no result.
+    An empty result document (``{}``) counts as no result. Where events carry them, file name, path and creation time
+    are those of the first event that has them, and ``updated_at`` is the time of the last event (``at``); so the
+    result has all columns of a jobs table.
     """
     result = F.when(F.trim("result_json") != "{}", F.col("result_json"))
     source = events.withColumn("result_json", result)
@@ -40,13 +42,17 @@ def fold_job_events(events: DataFrame, key: str = "job_id", order: str = "seq")
         F.max_by("status", order).alias("status"),
         F.max_by("message", order).alias("message"),
         *[last_known(c) for c in KEPT_WHEN_NULL],
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in KEPT_FROM_FIRST if c in events.columns],
+        *[F.max("at").alias("updated_at") for c in ["at"] if c in events.columns],
     )
 
 
 def merge_state(state: DataFrame, batch: DataFrame, key: str = "job_id", order: str = "seq") -> DataFrame:
     """Fold a batch of events into an earlier state; the state row is one more event."""
-    columns = [key, order, "status", "message", *KEPT_WHEN_NULL]
-    return fold_job_events(state.select(*columns).unionByName(batch.select(*columns)), key, order)
+    columns = [key, order, "status", "message", *KEPT_WHEN_NULL, *[c for c in KEPT_FROM_FIRST if c in batch.columns]]
+    timed = "at" in batch.columns
+    earlier = state.select(*columns, *([F.col("updated_at").alias("at")] if timed else []))
+    return fold_job_events(earlier.unionByName(batch.select(*columns, *(["at"] if timed else []))), key, order)
 
 
 def validation_status(jobs: DataFrame, validations: DataFrame) -> DataFrame:
@@ -62,8 +68,27 @@ def validation_status(jobs: DataFrame, validations: DataFrame) -> DataFrame:
 
 
 def enrich_validations(validations: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Validations with the token and exam type of their job; NULL where there is no such job."""
-    return skew_join(validations, jobs.select("job_id", "patient_token", "exam_type"), "job_id", "left")
+    """Validations with the token and exam type of their job; NULL where there is no such job.
+
+    Jobs are unique, so adaptive execution can split the validations of a frequent job.
+    """
+    return validations.join(jobs.select("job_id", "patient_token", "exam_type"), "job_id", "left")
+
+
+def enrich_validations_as_of(validations: DataFrame, events: DataFrame, at: str = "seq") -> DataFrame:
+    """Validations with the token and exam type their job had when they were made.
+
+    ``validations`` carry in ``at`` the number of the last event before them. Both kinds of rows go through one window
+    per job in order of number, so there is no join of every event with every validation.
+    """
+    columns = [F.col(c) for c in validations.columns]
+    empty = [F.lit(None).cast(events.schema[c].dataType).alias(c) for c in ("patient_token", "exam_type")]
+    asked = validations.select("job_id", F.col(at).alias("__at"), F.lit(1).alias("__kind"), F.struct(*columns).alias("__row"), *empty)
+    row = F.lit(None).cast(asked.schema["__row"].dataType)
+    told = events.select("job_id", F.col("seq").alias("__at"), F.lit(0).alias("__kind"), row.alias("__row"), "patient_token", "exam_type")
+    order = Window.partitionBy("job_id").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    known = [F.last(c, ignorenulls=True).over(order).alias(c) for c in ("patient_token", "exam_type")]
+    return asked.unionByName(told).select("__row", *known).where("__row is not null").select("__row.*", "patient_token", "exam_type")
 
 
 def lexical_feedback(validations: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -72,7 +97,7 @@ def lexical_feedback(validations: DataFrame, jobs: DataFrame) -> DataFrame:
     with_result = jobs.filter(F.col("result_json").isNotNull()).select(
         "job_id", "exam_type", F.get_json_object("result_json", "$.safe_text_snippet").alias("__snippet")
     )
-    pairs = skew_join(wrong, with_result.filter(~F.col("__snippet").isin("", "...")), "job_id", "inner")
+    pairs = wrong.join(with_result.filter(~F.col("__snippet").isin("", "...")), "job_id")
     return pairs.select(
         "id",
         "exam_type",

@@ -6,8 +6,6 @@ them value by value.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -17,7 +15,8 @@ from ..functions.regex import compute_once
 from ..operators import cases, feedback as FB, gates as G, knowledge as K, prompts as PR, state as S
 from ..rules import patterns as R
 from ..sources import readers, writers
-from ..sources.lexicon import builtin_lexicon
+from ..sources.lexicon import builtin_lexicon, kb_compounds as lexicon_compounds, kb_terms as lexicon_terms
+from ..session import work_folder
 from ..streaming import jobs as ST
 from .pipeline import run_pipeline
 from .views import COLUMNS, JOB_EVENTS, REPORTS, VALIDATIONS, load, qualified
@@ -121,17 +120,13 @@ def document_results(spark: SparkSession, sf: str) -> DataFrame:
     docs = load(spark, sf, "documents").select(
         F.col("doc_id").alias("report_id"), F.concat("source", F.lit(".pdf")).alias("filename"), "text"
     )
-    return run_pipeline(docs).groupBy("exam_type", "status").agg(
-        F.count("*").alias("documents"), F.sum("raw_text_length").alias("chars")
-    )
+    return run_pipeline(docs).select(F.col("report_id").alias("doc_id"), "exam_type", "status", "raw_text_length")
 
 
 @query
 def report_results_fixed(spark: SparkSession, sf: str) -> DataFrame:
     """The pipeline with the known quirks mended."""
-    return pipeline(spark, sf, compat=False).groupBy("exam_type", F.year("exam_date_d").alias("exam_year")).agg(
-        F.count("*").alias("reports")
-    )
+    return pipeline(spark, sf, compat=False).select("report_id", "exam_type", F.year("exam_date_d").alias("exam_year"))
 
 
 @query
@@ -146,11 +141,12 @@ def result_struct(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def write_results(spark: SparkSession, sf: str) -> DataFrame:
-    """The rows of the results sink."""
-    rows = writers.result_rows(pipeline(spark, sf))
-    return rows.groupBy("exam_type", "status").agg(
-        F.count("*").alias("reports"), F.count("result_json").alias("documents")
-    )
+    """The rows of the results sink, as read back from it."""
+    out = work_folder(spark, "results")
+    writers.write_results(pipeline(spark, sf), out)
+    rows = readers.read_state(spark, out)
+    fields = ["exam_date", "raw_text_length"]
+    return rows.select("report_id", "exam_type", "status", "patient_token", *[F.get_json_object("result_json", f"$.{f}").alias(f) for f in fields])
 
 
 @query
@@ -164,18 +160,48 @@ def distinct_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def scan_reports(spark: SparkSession, sf: str) -> DataFrame:
-    df = load(spark, sf, "reports")
+    out = work_folder(spark, "reports")
+    load(spark, sf, "reports").write.parquet(out)
+    df = readers.read_reports(spark, out, report_id="report_id")
     return df.select("report_id", "filename", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_hash"))
 
 
+@query
+def scan_reports_json(spark: SparkSession, sf: str) -> DataFrame:
+    """The same reports from JSON lines with a given schema: nothing is read to infer one."""
+    out = work_folder(spark, "reports")
+    load(spark, sf, "reports").write.json(out)
+    df = readers.read_reports(spark, out, "json", report_id="report_id", schema="report_id long, filename string, text string")
+    return df.select("report_id", "filename", F.sha2("text", 256).alias("text_hash"))
+
+
+def _state(spark: SparkSession, sf: str, view: str) -> DataFrame:
+    out = work_folder(spark, view)
+    load(spark, sf, view).write.parquet(out)
+    return readers.read_state(spark, out)
+
+
 @query
 def scan_jobs(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "jobs").withColumn("created_at", F.col("created_at").cast("string"))
+    return _state(spark, sf, "jobs").withColumn("created_at", F.col("created_at").cast("string"))
 
 
 @query
 def scan_validations(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "validations").withColumn("validated_at", F.col("validated_at").cast("string"))
+    return _state(spark, sf, "validations").withColumn("validated_at", F.col("validated_at").cast("string"))
+
+
+@query
+def scan_kb(spark: SparkSession, sf: str) -> DataFrame:
+    """The lexicon as flat rows, from documents with one exam type each, and the reports of each type."""
+    counts = typed_reports(spark, sf).groupBy("exam_type").agg(F.count("*").alias("reports"))
+    terms, _ = builtin_lexicon(spark)
+    term = F.struct("termo", "variantes", "peso", "significado").alias("t")
+    packed = terms.groupBy("exam_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", term))), lambda x: x["t"]).alias("a"))
+    out = work_folder(spark, "kb")
+    packed.select("exam_type", F.struct(F.col("a").alias("achados_discriminativos")).alias("kb")).write.json(out)
+    exams = spark.read.schema("exam_type string, kb struct<achados_discriminativos: array<struct<termo: string, variantes: array<string>, peso: string, significado: string>>>").json(out)
+    return lexicon_terms(exams).join(counts, "exam_type", "left").select("exam_type", "ord", "termo", joined(F.col("variantes")).alias("variantes"), "peso", "reports")
 
 
 @query
@@ -185,14 +211,16 @@ def scan_feedback(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def scan_llm_outputs(spark: SparkSession, sf: str) -> DataFrame:
-    rows = readers.explode_outputs(load(spark, sf, "vision_outputs"), "document")
-    return rows.select("batch_id", "filename", F.length("answer").alias("n_chars"))
+    out = work_folder(spark, "answers")
+    load(spark, sf, "vision_outputs").select("document").write.text(out)
+    return readers.read_vision_outputs(spark, out, wholetext=False).select("filename", F.length("answer").alias("n_chars"))
 
 
 @query
 def scan_case_bank(spark: SparkSession, sf: str) -> DataFrame:
-    docs = load(spark, sf, "case_bank").select(F.from_json("document", readers.CASE_SCHEMA).alias("c")).select("c.*")
-    return readers.flatten_cases(docs).select(
+    out = work_folder(spark, "cases")
+    load(spark, sf, "case_bank").select("document").write.text(out)
+    return readers.read_case_bank(spark, out, multiline=False).select(
         "id", "filename", "idade", "parecer_audiologico", F.col("valores_exame")["LRF_OD"].alias("lrf_od")
     )
 
@@ -256,7 +284,7 @@ def retention_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def display_truncate(spark: SparkSession, sf: str) -> DataFrame:
-    return FB.feedback_report(feedback(spark, sf), 40).select("id", "original_text", "corrected_text")
+    return FB.feedback_report(feedback(spark, sf)).select("id", "original_text", "corrected_text")
 
 
 # ------------------------------------------------------------------ header
@@ -523,10 +551,44 @@ def kb_term_hits(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def compound_diagnoses(spark: SparkSession, sf: str) -> DataFrame:
     _, compounds = builtin_lexicon(spark)
-    rows = pipeline(spark, sf).select("report_id", "exam_type", F.col("entities.achados").alias("achados"))
-    return K.compound_diagnoses(rows, compounds)
+    rows = pipeline(spark, sf).select("report_id", "exam_type", "safe_body", F.col("entities.achados").alias("achados"))
+    return K.compound_diagnoses(rows, compounds, text="safe_body")
 
 
+@query
+def compound_diagnoses_every_rule(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports of which each fulfils one of the eleven rules."""
+    _, compounds = builtin_lexicon(spark)
+    rows = load(spark, sf, "rule_reports")
+    rows = rows.select("report_id", "exam_type", "text", E.extract_entities(F.col("text"), F.col("exam_type"))["achados"].alias("achados"))
+    return K.compound_diagnoses(rows, compounds, text="text")
+
+
+@query
+def kb_variant_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms of every weight in reports that use other forms than the term itself."""
+    terms, _ = builtin_lexicon(spark)
+    return K.kb_term_hits(load(spark, sf, "rule_reports"), terms, weights=("ALTO", "MÉDIO", "BAIXO"))
+
+
+@query
+def enrich_validations_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Type and token of the job as of each validation; validations are made after some of the job's events."""
+    events = load(spark, sf, "job_events")
+    made = events.where("seq % 3 = 0").select(F.col("seq").alias("id"), "job_id", "seq")
+    return S.enrich_validations_as_of(made, events).select("id", "job_id", "patient_token", "exam_type")
+
+
+@query
+def job_full_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Folded jobs with their creation columns, as the listings and exports take them."""
+    events = load(spark, sf, "job_events").withColumns(
+        {"filename": F.concat("message", F.lit(".pdf")), "file_path": F.concat(F.lit("/up/"), F.col("seq").cast("string")), "created_at": F.col("at")}
+    )
+    jobs = S.fold_job_events(events)
+    rows = FB.job_listing(jobs).join(jobs.select("job_id", "file_path", "updated_at"), "job_id")
+    return rows.withColumns({"created_at": text("created_at"), "updated_at": text("updated_at")})
+
 @query
 def kb_patch_suggestions(spark: SparkSession, sf: str) -> DataFrame:
     terms, _ = builtin_lexicon(spark)
@@ -600,16 +662,14 @@ def lexical_feedback(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def lexical_stats(spark: SparkSession, sf: str) -> DataFrame:
-    jobs, enriched = jobs_and_validations(spark, sf)
-    stats = FB.lexical_stats(jobs, enriched, feedback(spark, sf))
+    stats = FB.lexical_stats(load(spark, sf, "jobs"), load(spark, sf, "validations"))
     pairs = F.transform(F.map_entries("validations_by_exam"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return stats.withColumn("validations_by_exam", joined(pairs))
 
 
 @query
 def validations_by_exam(spark: SparkSession, sf: str) -> DataFrame:
-    _, enriched = jobs_and_validations(spark, sf)
-    return FB.validations_by_exam(enriched)
+    return FB.validations_by_exam(load(spark, sf, "validations"), load(spark, sf, "jobs"))
 
 
 @query
@@ -635,8 +695,12 @@ def validation_listing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _retrain(spark: SparkSession, sf: str, files: DataFrame | None = None) -> DataFrame:
-    jobs, enriched = jobs_and_validations(spark, sf)
-    return FB.retrain_set(S.validation_status(jobs, load(spark, sf, "validations")), enriched, files)
+    jobs, validations = load(spark, sf, "jobs"), load(spark, sf, "validations")
+    return FB.retrain_set(S.validation_status(jobs, validations), validations, files)
+
+
+def _present_files(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "uploaded_files").where("present")
 
 
 @query
@@ -646,19 +710,21 @@ def retrain_set(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def retrain_set_existing(spark: SparkSession, sf: str) -> DataFrame:
-    return _retrain(spark, sf, load(spark, sf, "uploaded_files"))
+    return _retrain(spark, sf, _present_files(spark, sf))
 
 
 @query
 def retrain_missing(spark: SparkSession, sf: str) -> DataFrame:
     jobs = S.validation_status(load(spark, sf, "jobs"), load(spark, sf, "validations"))
-    return FB.retrain_missing(jobs, load(spark, sf, "uploaded_files"))
+    return FB.retrain_missing(jobs, _present_files(spark, sf))
 
 
 @query
 def export_retrain_set(spark: SparkSession, sf: str) -> DataFrame:
-    """The metadata rows of the retraining export."""
-    return writers.retrain_metadata(_retrain(spark, sf, load(spark, sf, "uploaded_files")))
+    """The metadata rows of the retraining export, as read back from it."""
+    out = work_folder(spark, "retrain")
+    writers.export_retrain_set(_retrain(spark, sf, _present_files(spark, sf)), out)
+    return spark.read.schema("job_id long, filename string, exam_type string, corrections string, image_file string").json(out)
 
 
 @query
@@ -676,47 +742,50 @@ def redact_seed_feedback(spark: SparkSession, sf: str) -> DataFrame:
     return FB.redact_seed_feedback(feedback(spark, sf)).drop("created_at")
 
 
+def _exported(spark: SparkSession, out: str, name: str, columns: list[str]) -> DataFrame:
+    """One exported table as rows of text."""
+    values = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns])
+    return spark.read.parquet(f"{out}/{name}").select(F.lit(name).alias("table_name"), values.alias("row_text"))
+
+
+STATE_COLUMNS = {
+    "jobs": ["job_id", "patient_token", "filename", "exam_type", "status", "message", "result_json", "file_path"],
+    "validations": ["id", "job_id", "patient_token", "exam_type", "is_correct", "corrections"],
+    "lexical_feedback": ["id", "exam_type", "original_text", "corrected_text", "source_job_id"],
+}
+
+
 @query
 def export_seed(spark: SparkSession, sf: str) -> DataFrame:
-    """Row counts and redacted texts of the three tables of the seed export."""
+    """The three tables of the seed export, as read back from it."""
     jobs, enriched = jobs_and_validations(spark, sf)
-    safe_jobs, safe_feedback = FB.redact_seed_jobs(jobs), FB.redact_seed_feedback(feedback(spark, sf))
-    hidden = F.count_if(F.col("original_text") == R.REDACTED)
-    parts = [
-        safe_jobs.agg(F.lit("jobs").alias("table_name"), F.count("*").alias("n"), F.count_if(F.col("filename") == R.REDACTED).alias("redacted")),
-        enriched.agg(F.lit("validations").alias("table_name"), F.count("*").alias("n"), F.lit(0).cast("long").alias("redacted")),
-        safe_feedback.agg(F.lit("lexical_feedback").alias("table_name"), F.count("*").alias("n"), hidden.alias("redacted")),
-    ]
+    out = work_folder(spark, "seed")
+    writers.export_seed(jobs, enriched, feedback(spark, sf), out)
+    parts = [_exported(spark, out, name, columns) for name, columns in STATE_COLUMNS.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query
 def export_tables(spark: SparkSession, sf: str) -> DataFrame:
-    """The tables of the full export, unchanged."""
-    jobs = S.validation_status(load(spark, sf, "jobs"), load(spark, sf, "validations"))
-    return jobs.select("job_id", "patient_token", "filename", "exam_type", "status", "message", "result_json", "file_path", "validation_status")
+    """The three tables of the full export, as read back from it."""
+    jobs, enriched = jobs_and_validations(spark, sf)
+    out = work_folder(spark, "tables")
+    writers.export_tables({"jobs": jobs, "validations": enriched, "lexical_feedback": feedback(spark, sf)}, out)
+    parts = [_exported(spark, out, name, columns) for name, columns in STATE_COLUMNS.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 # ------------------------------------------------------------------ streams
 
 
-def _work_dir(spark: SparkSession) -> str:
-    """New folder for a stream's output: under the session's shared checkpoint folder where one is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        return tempfile.mkdtemp(prefix="laudospark-")
-    return f"{shared.rstrip('/')}/laudospark-{uuid.uuid4().hex}"
-
-
 def _stream_table(spark: SparkSession, sf: str, table: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf}/{table}.parquet").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-    return source.parquet(sf).select(*COLUMNS[table])
+    path = f"{sf}/{table}.parquet"
+    return readers.stream_parquet(spark, path).select(*COLUMNS[table])
 
 
 @query
 def stream_reports(spark: SparkSession, sf: str) -> DataFrame:
-    out = _work_dir(spark)
+    out = work_folder(spark, "stream")
     orders = _stream_table(spark, sf, "orders")
     customer = spark.read.parquet(f"{sf}/customer.parquet").select(*COLUMNS["customer"])
     reports = spark.sql(qualified(REPORTS, ["orders", "customer"]), orders=orders, customer=customer)
@@ -729,7 +798,7 @@ def stream_reports(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stream_job_state(spark: SparkSession, sf: str) -> DataFrame:
-    out = _work_dir(spark)
+    out = work_folder(spark, "stream")
     events = spark.sql(qualified(JOB_EVENTS, ["events"]), events=_stream_table(spark, sf, "events"))
     ST.stream_job_state(events, f"{out}/state", f"{out}/checkpoint").awaitTermination()
     return ST.read_job_state(spark, f"{out}/state")
@@ -737,7 +806,7 @@ def stream_job_state(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stream_validations(spark: SparkSession, sf: str) -> DataFrame:
-    out = _work_dir(spark)
+    out = work_folder(spark, "stream")
     validations = spark.sql(qualified(VALIDATIONS, ["labels"]), labels=_stream_table(spark, sf, "labels"))
     jobs = load(spark, sf, "jobs")
     ST.stream_validations(validations, jobs, f"{out}/counts", f"{out}/checkpoint").awaitTermination()

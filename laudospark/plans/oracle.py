@@ -6,6 +6,8 @@ back, and same-separator dates are tested one separator at a time. Line ends in
 
 from __future__ import annotations
 
+import re
+
 from ..rules import lexicon as L, patterns as R, prompts as PT
 from ..sources.lexicon import compound_rows, term_rows
 from .views import VIEWS
@@ -34,6 +36,11 @@ def ladder(low: str, steps: list[tuple[str, str]]) -> str:
     return "CASE " + " ".join(f"WHEN {has(low, p)} THEN {q(v)}" for p, v in steps) + " END"
 
 
+def re2(pattern: str) -> str:
+    """A pattern without what only Java has: it finds the same, leftmost longest run of a class either way."""
+    return re.sub(r"\(\?<![^)]*\)", "", pattern).replace("]++", "]+")
+
+
 def labels(low: str, rules: list[tuple[str, str]]) -> str:
     """Labels that occur, joined; NULL when none does."""
     parts = ", ".join(f"CASE WHEN {has(low, p)} THEN {q(v)} END" for p, v in rules)
@@ -246,7 +253,11 @@ O["result_struct"] = REPORTS_PIPELINE + (
     "exam_label, CAST(raw_text_length AS VARCHAR) AS raw_text_length, safe_text_snippet, "
     "CASE WHEN low_confidence THEN 'true' END AS low_confidence FROM final"
 )
-O["write_results"] = O["stream_reports"] = REPORTS_PIPELINE + (
+O["write_results"] = REPORTS_PIPELINE + (
+    "SELECT report_id, exam_type, status, patient_token, CASE WHEN NOT low_confidence THEN exam_date END AS exam_date, "
+    "CAST(raw_text_length AS VARCHAR) AS raw_text_length FROM final"
+)
+O["stream_reports"] = REPORTS_PIPELINE + (
     "SELECT exam_type, status, count(*) AS reports, count(*) AS documents FROM final GROUP BY ALL"
 )
 O["confidence_gate"] = REPORTS_PIPELINE + (
@@ -272,7 +283,7 @@ O["split_header_documents"] = with_views("", _DOCUMENTS, *SPLIT) + (
     "SELECT report_id AS doc_id, length(header) AS header_chars, length(body) AS body_chars FROM hb"
 )
 O["document_results"] = with_views("", _DOCUMENTS, *PIPELINE) + (
-    "SELECT exam_type, status, count(*) AS documents, CAST(sum(raw_text_length) AS BIGINT) AS chars FROM final GROUP BY ALL"
+    "SELECT report_id AS doc_id, exam_type, status, raw_text_length FROM final"
 )
 _FIXED_DATES = (
     f"w AS (SELECT *, {swap(_WHERE, _BIRTH, '')} AS w FROM hb)",
@@ -287,8 +298,8 @@ O["report_results_fixed"] = with_views(
     *GATED,
     *classified("gated", "safe_body", compat=False),
 ) + (
-    "SELECT CASE WHEN low_confidence THEN 'indefinido' ELSE exam_type END AS exam_type, "
-    "CAST(year(TRY_CAST(exam_date AS DATE)) AS INTEGER) AS exam_year, count(*) AS reports FROM typed GROUP BY ALL"
+    "SELECT report_id, CASE WHEN low_confidence THEN 'indefinido' ELSE exam_type END AS exam_type, "
+    "CAST(year(TRY_CAST(exam_date AS DATE)) AS INTEGER) AS exam_year FROM typed"
 )
 
 # ------------------------------------------------------------------ sources
@@ -296,13 +307,14 @@ O["report_results_fixed"] = with_views(
 O["scan_reports"] = with_views("reports") + (
     "SELECT report_id, filename, length(text) AS n_chars, sha256(text) AS text_hash FROM reports"
 )
+O["scan_reports_json"] = with_views("reports") + "SELECT report_id, filename, sha256(text) AS text_hash FROM reports"
 O["scan_jobs"] = with_views("jobs") + "SELECT * REPLACE (CAST(created_at AS VARCHAR) AS created_at) FROM jobs"
 O["scan_validations"] = with_views("validations") + (
     "SELECT * REPLACE (CAST(validated_at AS VARCHAR) AS validated_at) FROM validations"
 )
 _FENCED = "outputs AS (SELECT batch_id, unnest(json_keys(document)) AS filename, CAST(document AS JSON) AS doc FROM vision_outputs), answers AS (SELECT batch_id, filename, doc ->> filename AS answer FROM outputs)"
 O["scan_llm_outputs"] = with_views("vision_outputs", _FENCED) + (
-    "SELECT batch_id, filename, length(answer) AS n_chars FROM answers"
+    "SELECT filename, length(answer) AS n_chars FROM answers"
 )
 O["scan_case_bank"] = with_views("case_bank") + (
     "SELECT document ->> '$.id' AS id, document ->> '$.filename' AS filename, "
@@ -386,12 +398,12 @@ O["pii_counts"] = with_views("reports") + (
 )
 O["pii_counts_documents"] = (
     "SELECT source, "
-    + ", ".join(f"{_count('text', '(?i)' + p)} AS n_{k}" for k, p, _ in R.GENERIC_PII_RULES)
+    + ", ".join(f"{_count('text', '(?i)' + re2(p))} AS n_{k}" for k, p, _ in R.GENERIC_PII_RULES)
     + " FROM documents GROUP BY source"
 )
 _generic = "text"
 for _k, _p, _r in R.GENERIC_PII_RULES:
-    _generic = swap(_generic, "(?i)" + _p, _r)
+    _generic = swap(_generic, "(?i)" + re2(_p), _r)
 O["strip_pii_documents"] = f"SELECT doc_id, sha256({_generic}) AS safe_hash FROM documents"
 
 # ------------------------------------------------------------------ classification
@@ -488,6 +500,7 @@ COUNTS = "counts AS (SELECT exam_type, count(*) AS reports FROM typed GROUP BY e
 O["kb_terms"] = with_views("reports", *TYPED, *KB, COUNTS) + (
     "SELECT exam_type, ord, termo, array_to_string(variantes, '|') AS variantes, peso, reports FROM terms LEFT JOIN counts USING (exam_type)"
 )
+O["scan_kb"] = O["kb_terms"]
 O["kb_compounds"] = with_views("reports", *TYPED, *KB, COUNTS) + (
     "SELECT exam_type, ord, condicao, diagnostico, reports FROM compounds LEFT JOIN counts USING (exam_type)"
 )
@@ -504,16 +517,29 @@ O["kb_stats"] = with_views("reports", *TYPED, *KB, _HITS) + (
     "count(*) FILTER (WHERE peso = 'BAIXO') AS baixo FROM hits GROUP BY exam_type"
 )
 _TOKEN = "CASE tok " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in L.TOKEN_ALIASES.items()) + " ELSE tok END"
-O["compound_diagnoses"] = with_views(
-    "reports",
-    *PIPELINE,
-    *KB,
-    f"found AS (SELECT report_id, exam_type, string_split({findings('safe_body', 'low')}, '|') AS achados FROM final)",
-    f"needed AS (SELECT exam_type, condicao, diagnostico, list_transform(string_split(condicao, ' + '), lambda tok: {_TOKEN}) AS need FROM compounds)",
-) + (
+_NEEDED = f"needed AS (SELECT exam_type, condicao, diagnostico, list_transform(string_split(condicao, ' + '), lambda tok: {_TOKEN}) AS need FROM compounds)"
+_RULE_TOKENS = ", ".join(
+    f"CASE WHEN exam_type = {q(kind)} AND {has('low', p)} THEN {q(token)} END" for kind, rules in L.TOKEN_PATTERNS.items() for token, p in rules
+)
+
+
+def found_tokens(source: str, body: str) -> str:
+    known = f"coalesce(string_split({findings(body, 'low')}, '|'), [])"
+    return f"found AS (SELECT report_id, exam_type, list_concat({known}, list_filter([{_RULE_TOKENS}], lambda t: t IS NOT NULL)) AS achados FROM {source})"
+
+
+_FIRING = (
     "SELECT f.report_id, f.exam_type, n.condicao, n.diagnostico FROM found f JOIN needed n ON f.exam_type = n.exam_type "
     "AND list_has_all(f.achados, n.need)"
 )
+O["compound_diagnoses"] = with_views("reports", *PIPELINE, *KB, found_tokens("final", "safe_body"), _NEEDED) + _FIRING
+_RULES_LOW = "rule_low AS (SELECT *, lower(text) AS low FROM rule_reports)"
+O["compound_diagnoses_every_rule"] = with_views("rule_reports", _RULES_LOW, *KB, found_tokens("rule_low", "text"), _NEEDED) + _FIRING
+O["kb_variant_hits"] = with_views("rule_reports", _RULES_LOW, *KB) + (
+    "SELECT DISTINCT r.report_id, r.exam_type, t.termo, t.peso FROM rule_low r JOIN "
+    "(SELECT exam_type, termo, peso, unnest(list_append(variantes, termo)) AS form FROM terms) t "
+    "ON r.exam_type = t.exam_type AND contains(r.low, lower(t.form))"
+)
 _NUMBER = r"(?i)" + R.AHI
 O["severity_by_range"] = with_views(
     "reports", f"idx AS (SELECT report_id, TRY_CAST(replace({group('text', _NUMBER)}, ',', '.') AS DOUBLE) AS iah FROM reports)"
@@ -548,11 +574,12 @@ O["batch_prompts"] = with_views("reports", *PIPELINE, *KB, *BLOCKS) + (
     f"SELECT report_id, exam_type, {prompt('safe_body')} AS prompt FROM final LEFT JOIN blocks USING (exam_type) WHERE NOT low_confidence"
 )
 O["parse_llm_output"] = with_views("llm_answers", "p AS (SELECT *, TRY_CAST(answer AS JSON) AS j FROM llm_answers)") + (
-    "SELECT report_id, coalesce(j ->> 'is_valid_exam' <> 'false', true) AS is_valid_exam, j ->> 'summary' AS summary, "
+    "SELECT report_id, coalesce(j ->> 'is_valid_exam' <> 'false', true) OR (j ->> 'summary') IS NULL OR (j ->> 'findings') IS NULL OR (j ->> 'diagnostics') IS NULL AS is_valid_exam, j ->> 'summary' AS summary, "
     "coalesce(array_to_string(CAST(j ->> 'findings' AS VARCHAR[]), '|'), '') AS findings, j ->> 'normal_standards' AS normal_standards, "
     "coalesce(array_to_string(CAST(j ->> 'diagnostics' AS VARCHAR[]), '|'), '') AS diagnostics, "
     "coalesce(j ->> 'succinct_insight', '') AS succinct_insight, CASE WHEN answer IS NULL THEN 'no answer' "
-    "WHEN j IS NULL THEN 'unreadable answer' ELSE j ->> 'error' END AS error FROM p"
+    "WHEN j IS NULL THEN 'unreadable answer' WHEN (j ->> 'error') IS NOT NULL THEN j ->> 'error' "
+    "WHEN (j ->> 'summary') IS NULL OR (j ->> 'findings') IS NULL OR (j ->> 'diagnostics') IS NULL THEN 'missing field' END AS error FROM p"
 )
 
 # ------------------------------------------------------------------ drifting JSON
@@ -594,7 +621,7 @@ O["create_job_new"] = with_views("job_events validations") + (
 O["job_current_state"] = O["stream_job_state"] = with_views("job_events") + (
     "SELECT DISTINCT job_id, max(seq) OVER w AS seq, last_value(status) OVER w AS status, last_value(message) OVER w AS message, "
     "last_value(nullif(result_json, '{}') IGNORE NULLS) OVER w AS result_json, last_value(patient_token IGNORE NULLS) OVER w AS patient_token, "
-    "last_value(exam_type IGNORE NULLS) OVER w AS exam_type FROM job_events "
+    "last_value(exam_type IGNORE NULLS) OVER w AS exam_type, max(\"at\") OVER w AS updated_at FROM job_events "
     "WINDOW w AS (PARTITION BY job_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
 )
 ENRICHED = (
@@ -612,7 +639,7 @@ ENRICHED = (
 FEEDBACK = with_views("jobs validations", *ENRICHED)
 O["scan_feedback"] = FEEDBACK + "SELECT id, exam_type, original_text, corrected_text, source_job_id FROM feedback"
 O["display_truncate"] = FEEDBACK + (
-    "SELECT id, substr(original_text, 1, 40) AS original_text, substr(corrected_text, 1, 40) AS corrected_text FROM feedback"
+    "SELECT id, substr(original_text, 1, 120) AS original_text, substr(corrected_text, 1, 120) AS corrected_text FROM feedback"
 )
 O["update_validation_status"] = FEEDBACK + "SELECT job_id, status, validation_status FROM status"
 O["save_validation"] = FEEDBACK + "SELECT id, job_id, patient_token, exam_type, is_correct, corrections FROM enriched"
@@ -646,14 +673,14 @@ O["kb_patch_suggestions"] = with_views("jobs validations", *ENRICHED, *KB) + (
     "ON contains(lower(f.corrected_text), w.word) WHERE NOT EXISTS (SELECT 1 FROM terms t WHERE t.exam_type = f.exam_type AND contains(t.termo, w.word))"
 )
 O["retrain_set"] = FEEDBACK + "SELECT * FROM retrain"
-WITH_FILES = with_views("jobs validations uploaded_files", *ENRICHED)
-O["retrain_set_existing"] = WITH_FILES + "SELECT * FROM retrain WHERE file_path IN (SELECT path FROM uploaded_files)"
+WITH_FILES = with_views("jobs validations uploaded_files", *ENRICHED, "present AS (SELECT path FROM uploaded_files WHERE present)")
+O["retrain_set_existing"] = WITH_FILES + "SELECT * FROM retrain WHERE file_path IN (SELECT path FROM present)"
 O["export_retrain_set"] = WITH_FILES + (
-    "SELECT job_id, filename, exam_type, corrections, image_file FROM retrain WHERE file_path IN (SELECT path FROM uploaded_files)"
+    "SELECT job_id, filename, exam_type, corrections, image_file FROM retrain WHERE file_path IN (SELECT path FROM present)"
 )
 O["retrain_missing"] = WITH_FILES + (
     "SELECT job_id, file_path FROM status WHERE validation_status = 'validated_with_errors' AND file_path IS NOT NULL "
-    "AND file_path NOT IN (SELECT path FROM uploaded_files)"
+    "AND file_path NOT IN (SELECT path FROM present)"
 )
 _SEED_JOBS = "SELECT * REPLACE (NULL::VARCHAR AS result_json, '[redacted]' AS filename, CAST(created_at AS VARCHAR) AS created_at{0}) FROM jobs"
 O["redact_seed_jobs"] = with_views("jobs") + _SEED_JOBS.format("")
@@ -661,10 +688,32 @@ O["redact_seed_jobs_strict"] = with_views("jobs") + _SEED_JOBS.format(", NULL::V
 O["redact_seed_feedback"] = FEEDBACK + (
     "SELECT id, exam_type, CASE WHEN length(original_text) > 100 THEN '[redacted]' ELSE original_text END AS original_text, corrected_text, source_job_id FROM feedback"
 )
-O["export_seed"] = FEEDBACK + (
-    "SELECT 'jobs' AS table_name, count(*) AS n, count(*) AS redacted FROM jobs UNION ALL SELECT 'validations', count(*), 0 FROM enriched "
-    "UNION ALL SELECT 'lexical_feedback', count(*), count(*) FILTER (WHERE length(original_text) > 100) FROM feedback"
+
+
+def exported(name: str, source: str, columns: str) -> str:
+    values = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '-')" for c in columns.split())
+    return f"SELECT '{name}' AS table_name, concat_ws('|', {values}) AS row_text FROM {source}"
+
+
+_JOB_COLUMNS = "job_id patient_token filename exam_type status message result_json file_path"
+_VALIDATION_ROWS = exported("validations", "enriched", "id job_id patient_token exam_type is_correct corrections")
+_FEEDBACK_COLUMNS = "id exam_type original_text corrected_text source_job_id"
+O["export_seed"] = FEEDBACK + " UNION ALL ".join(
+    [
+        exported("jobs", "(SELECT * REPLACE (NULL::VARCHAR AS result_json, '[redacted]' AS filename) FROM jobs)", _JOB_COLUMNS),
+        _VALIDATION_ROWS,
+        exported("lexical_feedback", "(SELECT * REPLACE (CASE WHEN length(original_text) > 100 THEN '[redacted]' ELSE original_text END AS original_text) FROM feedback)", _FEEDBACK_COLUMNS),
+    ]
+)
+O["export_tables"] = FEEDBACK + " UNION ALL ".join([exported("jobs", "jobs", _JOB_COLUMNS), _VALIDATION_ROWS, exported("lexical_feedback", "feedback", _FEEDBACK_COLUMNS)])
+O["enrich_validations_as_of"] = with_views("job_events") + (
+    "SELECT id, job_id, patient_token, exam_type FROM (SELECT seq AS id, job_id, last_value(patient_token IGNORE NULLS) OVER w AS patient_token, "
+    "last_value(exam_type IGNORE NULLS) OVER w AS exam_type FROM job_events "
+    "WINDOW w AS (PARTITION BY job_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE id % 3 = 0"
 )
-O["export_tables"] = FEEDBACK + (
-    "SELECT job_id, patient_token, filename, exam_type, status, message, result_json, file_path, validation_status FROM status"
+O["job_full_rows"] = with_views("job_events") + (
+    "SELECT job_id, arg_min(message, seq) || '.pdf' AS filename, arg_max(exam_type, seq) FILTER (WHERE exam_type IS NOT NULL) AS exam_type, "
+    "arg_max(status, seq) AS status, arg_max(patient_token, seq) FILTER (WHERE patient_token IS NOT NULL) AS patient_token, "
+    "CAST(arg_min(\"at\", seq) AS VARCHAR) AS created_at, '/up/' || CAST(min(seq) AS VARCHAR) AS file_path, CAST(max(\"at\") AS VARCHAR) AS updated_at "
+    "FROM job_events GROUP BY job_id"
 )

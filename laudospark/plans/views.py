@@ -154,8 +154,28 @@ FROM orders
 
 UPLOADED_FILES = """
 SELECT '/up/' || CAST(doc_id AS STRING) || '_' || source || '.pdf' AS path,
-  TIMESTAMP '2026-01-01 00:00:00' + doc_id % 20 * INTERVAL '1' DAY AS modified_at
-FROM documents WHERE length(text) % 3 <> 0
+  TIMESTAMP '2026-01-01 00:00:00' + doc_id % 20 * INTERVAL '1' DAY AS modified_at, length(text) % 3 <> 0 AS present
+FROM documents
+"""
+
+# Each row fulfils one compound rule, in forms that are not the term's own name.
+RULE_REPORTS = """
+SELECT o_orderkey AS report_id,
+  CASE WHEN o_custkey % 11 < 4 THEN 'tomografia' WHEN o_custkey % 11 < 7 THEN 'tomografia_mastoide' WHEN o_custkey % 11 < 9 THEN 'tomografia_pescoco' ELSE 'audiometria' END AS exam_type,
+  'Laudo ' || CAST(o_orderkey AS STRING) || '. ' || CASE o_custkey % 11
+    WHEN 0 THEN 'Espessamento da mucosa em seio maxilar, com nivel liquido.'
+    WHEN 1 THEN 'Infundibulo obliterado a direita, com septo desviado.'
+    WHEN 2 THEN 'Curvatura paradoxal do corneto e obliteracao do infundibulo.'
+    WHEN 3 THEN 'Velamento total do seio frontal, com nivel hidroaereo.'
+    WHEN 4 THEN 'Colesteatoma com erosao da bigorna.'
+    WHEN 5 THEN 'Mastoide velada, com falha no tegmen.'
+    WHEN 6 THEN 'Massa de partes moles e fistula do canal lateral.'
+    WHEN 7 THEN 'Adenopatia cervical com centro necrotico.'
+    WHEN 8 THEN 'Tumor de parotida e paralisia facial.'
+    WHEN 9 THEN 'Entalhe em 4 kHz, com exposicao ao ruido no trabalho.'
+    ELSE 'Gap aereo-osseo em graves, com carhart notch.' END
+  || CASE o_orderkey % 4 WHEN 0 THEN ' Recesso infundibular livre, vias de drenagem obliteradas.' WHEN 1 THEN ' Conteúdo líquido e crista óssea septal.' WHEN 2 THEN ' Rebaixamento descendente, anacusia.' ELSE '' END AS text
+FROM orders
 """
 
 VIEWS = {
@@ -170,17 +190,23 @@ VIEWS = {
     "case_bank": (CASE_BANK, ["orders"]),
     "raw_dates": (RAW_DATES, ["orders"]),
     "uploaded_files": (UPLOADED_FILES, ["documents"]),
+    "rule_reports": (RULE_REPORTS, ["orders"]),
     "documents": ("SELECT doc_id, text, lang, source FROM documents", ["documents"]),
 }
 
 
 def load(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
-    """One derived table over all rows of the parquet tables in ``sf_dir``."""
+    """One derived table over all rows of the parquet tables in ``sf_dir``.
+
+    ``laudospark.spreadSmallScans=true`` in the session spreads tables of one row group over the cores; off by default,
+    as it shuffles what it spreads.
+    """
+    spread = spark.conf.get("laudospark.spreadSmallScans", "false") == "true"
     sql, tables = VIEWS[view]
     frames = {}
     for table in tables:
         frame = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*COLUMNS[table])
-        frames[table] = frame if table == "customer" else ensure_parallelism(frame)
+        frames[table] = ensure_parallelism(frame) if spread and table != "customer" else frame
     return spark.sql(qualified(sql, tables), **frames)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -21,3 +24,17 @@ def build_session(master: str | None = None, app_name: str = "laudospark", **con
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for intermediate tables, below the shared folder that ``spark.checkpoint.dir`` names.
+
+    Only a local session, whose driver is its executor, may go without one; it then gets a temporary folder.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="laudospark-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

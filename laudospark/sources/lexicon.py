@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -18,31 +16,18 @@ JSON_SCHEMA = (
 )
 
 
-def _plain(text: str) -> str:
-    return unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode()
-
-
-def _rows(tables: dict[str, str], fields: int) -> list[tuple]:
-    out = []
-    for exam_type, block in tables.items():
-        for i, line in enumerate(block.strip().splitlines(), 1):
-            out.append((exam_type, i, *[part.strip() for part in line.split("|", fields - 1)]))
-    return out
-
-
 def term_rows() -> list[tuple]:
-    """Rows of the built-in terms; forms without accents are added by rule."""
-    rows = []
-    for exam_type, i, term, weight, forms, meaning in _rows(L.TERMS, 4):
-        listed = [f.strip() for f in forms.split(";") if f.strip()]
-        plain = [_plain(f) for f in [term, *listed]]
-        variants = [f for f in dict.fromkeys([*listed, *plain]) if f != term]
-        rows.append((exam_type, i, term, variants, weight, meaning))
-    return rows
+    """Rows of the built-in terms."""
+    return [
+        (exam_type, i, term, list(forms), weight, note)
+        for exam_type, rows in L.TERMS.items()
+        for i, (term, forms, weight, note) in enumerate(rows, 1)
+    ]
 
 
 def compound_rows() -> list[tuple]:
-    return _rows(L.COMPOUNDS, 3)
+    """Rows of the built-in compound rules."""
+    return [(exam_type, i, *row) for exam_type, rows in L.COMPOUNDS.items() for i, row in enumerate(rows, 1)]
 
 
 def builtin_lexicon(spark: SparkSession) -> tuple[DataFrame, DataFrame]:

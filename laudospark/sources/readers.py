@@ -3,6 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
+
+
+def stream_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """A stream over a Parquet folder of part files, or over a table that is one file."""
+    schema = spark.read.parquet(path).schema
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.getFileStatus(where).isDirectory():
+        return spark.readStream.schema(schema).parquet(path)
+    return spark.readStream.schema(schema).option("pathGlobFilter", where.getName()).parquet(where.getParent().toString())
 
 
 def ensure_parallelism(df: DataFrame) -> DataFrame:
@@ -16,21 +27,28 @@ def ensure_parallelism(df: DataFrame) -> DataFrame:
 
 
 def read_reports(
-    spark: SparkSession, path: str, fmt: str = "parquet", text: str = "text", report_id: str | None = None
+    spark: SparkSession,
+    path: str,
+    fmt: str = "parquet",
+    text: str = "text",
+    report_id: str | None = None,
+    schema: str | StructType | None = None,
 ) -> DataFrame:
-    """Reports as ``(report_id, filename, text)``.
+    """Reports as ``(report_id, filename, text)``. Give ``schema`` for JSON, or all of it is read once more to infer one.
 
-    ``fmt`` is ``parquet``, ``orc``, ``json``, or ``text`` (one report per file). Text files, and tables
-    without a key column, get an id from the hash of the path or row, so a second read gives the same ids.
+    ``fmt`` is ``parquet``, ``orc``, ``json``, or ``text`` (one report per file). Text files get an id from the hash of
+    their path. Without ``report_id`` a row's id is the hash of name and text, so equal uploads share it: name the key
+    column where uploads must stay apart.
     """
     if fmt == "text":
         raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-        return ensure_parallelism(raw).select(
+        return raw.select(
             F.sha2("path", 256).alias("report_id"),
             F.element_at(F.split("path", "[/\\\\]"), -1).alias("filename"),
             F.col("value").alias("text"),
         )
-    df = ensure_parallelism(spark.read.format(fmt).load(path))
+    reader = spark.read.format(fmt)
+    df = (reader.schema(schema) if schema is not None else reader).load(path)
     name = F.col("filename") if "filename" in df.columns else F.lit(None).cast("string")
     key = F.col(report_id) if report_id else F.sha2(F.concat_ws("\x1f", name, F.col(text)), 256)
     return df.select(key.alias("report_id"), name.alias("filename"), F.col(text).alias("text"))
@@ -60,18 +78,18 @@ CASE_SCHEMA = (
 )
 
 
-def read_case_bank(spark: SparkSession, path: str) -> DataFrame:
-    """Case records of a JSON array file, flattened; the identifying block is left out."""
-    return flatten_cases(spark.read.schema(CASE_SCHEMA).json(path, multiLine=True))
+def read_case_bank(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """Case records of a JSON array file (or of JSON lines), flattened; the identifying block is left out."""
+    return flatten_cases(spark.read.schema(CASE_SCHEMA).json(path, multiLine=multiline))
 
 
 def flatten_cases(cases: DataFrame) -> DataFrame:
     return cases.select("id", "filename", "clinical_data_anonymized.*")
 
 
-def read_vision_outputs(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of the form ``{file: fenced JSON}`` as ``(filename, answer)`` rows."""
-    return explode_outputs(spark.read.text(path, wholetext=True), "value")
+def read_vision_outputs(spark: SparkSession, path: str, wholetext: bool = True) -> DataFrame:
+    """Documents of the form ``{file: fenced JSON}``, one per file or line, as ``(filename, answer)`` rows."""
+    return explode_outputs(spark.read.text(path, wholetext=wholetext), "value")
 
 
 def explode_outputs(documents: DataFrame, column: str) -> DataFrame:

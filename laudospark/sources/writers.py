@@ -1,4 +1,4 @@
-"""Sinks. By default none of them shuffles: every task writes its own rows."""
+"""Sinks."""
 
 from __future__ import annotations
 
@@ -17,11 +17,11 @@ def result_rows(pipeline_rows: DataFrame) -> DataFrame:
     )
 
 
-def write_results(pipeline_rows: DataFrame, path: str, mode: str = "error", compact: bool = False) -> None:
+def write_results(pipeline_rows: DataFrame, path: str, mode: str = "error", compact: bool = True) -> None:
     """Parquet by exam type; a frequent type only gets more files, not one big writer.
 
-    With very many tasks each would write a small file per type. ``compact`` lets adaptive execution
-    gather the rows of a type into well-sized partitions and split those of a frequent type.
+    ``compact`` lets adaptive execution gather the rows of a type into well-sized partitions and split those of a
+    frequent type; without it there is no shuffle, and each task writes a small file per type.
     """
     rows = result_rows(pipeline_rows)
     if compact:

@@ -6,10 +6,11 @@ query. The default trigger processes what is there and stops; pass ``processing_
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from ..operators.feedback import validations_by_exam
 from ..operators.state import fold_job_events
 from ..plans.pipeline import run_pipeline
 from ..sources.writers import result_rows
@@ -28,41 +29,80 @@ def stream_reports(
     return _start(rows.writeStream.format("parquet").option("path", path), checkpoint, processing_time)
 
 
-def _write_version(path: str):
+#: Versions after which they are folded into one snapshot.
+COMPACT_AFTER = 16
+
+
+def _entries(spark: SparkSession, path: str) -> dict[str, list[int]]:
+    """Numbers of the finished snapshots and versions below a folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    found: dict[str, list[int]] = {"snapshot": [], "version": []}
+    if system.exists(where):
+        for status in system.listStatus(where):
+            kind, _, number = status.getPath().getName().partition("=")
+            if kind in found and system.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+                found[kind].append(int(number))
+    return {k: sorted(v) for k, v in found.items()}
+
+
+def _versions(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """The newest snapshot and the versions after it, with their numbers, and how many versions those are."""
+    found = _entries(spark, path)
+    start = max(found["snapshot"], default=-1)
+    later = [v for v in found["version"] if v > start]
+    names = ([f"snapshot={start}"] if start >= 0 else []) + [f"version={v}" for v in later]
+    parts = [spark.read.parquet(f"{path}/{n}").withColumn("version", F.lit(int(n.partition("=")[2]))) for n in names]
+    return reduce(DataFrame.unionByName, parts), len(later)
+
+
+def _newest(versions: DataFrame, key: str) -> DataFrame:
+    columns = [c for c in versions.columns if c not in (key, "version")]
+    return versions.groupBy(key).agg(F.max_by(F.struct(*columns), F.col("version")).alias("row")).select(key, "row.*")
+
+
+def _write_version(path: str, key: str, compact_after: int, make=lambda batch: batch):
     def write(batch: DataFrame, batch_id: int) -> None:
         # A batch that is run again writes the same folder again.
-        batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        make(batch).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        versions, n = _versions(batch.sparkSession, path)
+        if n >= compact_after:
+            _newest(versions, key).write.mode("overwrite").parquet(f"{path}/snapshot={batch_id}")
 
     return write
 
 
 def stream_job_state(
-    events: DataFrame, path: str, checkpoint: str, processing_time: str | None = None
+    events: DataFrame, path: str, checkpoint: str, processing_time: str | None = None, compact_after: int = COMPACT_AFTER
 ) -> StreamingQuery:
-    """Fold job events into current state. Spark's state store keeps it; a batch writes only changed jobs."""
-    writer = fold_job_events(events).writeStream.outputMode("update").foreachBatch(_write_version(path))
-    return _start(writer, checkpoint, processing_time)
+    """Fold job events into current state. Spark's state store keeps it; a batch writes only changed jobs, and every
+    ``compact_after`` batches one snapshot takes the place of the versions before it."""
+    write = _write_version(path, "job_id", compact_after)
+    return _start(fold_job_events(events).writeStream.outputMode("update").foreachBatch(write), checkpoint, processing_time)
 
 
 def read_job_state(spark: SparkSession, path: str) -> DataFrame:
-    """Newest row per job over all written versions."""
-    versions = spark.read.parquet(path)
-    columns = [c for c in versions.columns if c not in ("job_id", "version")]
-    newest = F.max_by(F.struct(*columns), F.col("version")).alias("row")
-    return versions.groupBy("job_id").agg(newest).select("job_id", "row.*")
+    """Newest row per job over the last snapshot and the versions after it."""
+    return _newest(_versions(spark, path)[0], "job_id")
 
 
 def stream_validations(
     validations: DataFrame, jobs: DataFrame, path: str, checkpoint: str, processing_time: str | None = None
 ) -> StreamingQuery:
-    """Validations joined to the (static) jobs and counted per exam type; every batch writes all counts."""
-    enriched = validations.join(jobs.select("job_id", "patient_token", "exam_type"), "job_id", "left")
-    writer = validations_by_exam(enriched).writeStream.outputMode("complete").foreachBatch(_write_version(path))
-    return _start(writer, checkpoint, processing_time)
+    """Validations counted per job by the stream and per exam type by each batch, which writes all counts.
+
+    The (static) jobs meet one row per job, so a job with very many validations is no hot key.
+    """
+
+    def by_exam(counts: DataFrame) -> DataFrame:
+        kinds = counts.join(jobs.select("job_id", "exam_type"), "job_id").filter(F.col("exam_type").isNotNull())
+        return kinds.groupBy("exam_type").agg(F.sum("n").alias("validations"))
+
+    counts = validations.groupBy("job_id").agg(F.count("*").alias("n"))
+    write = _write_version(path, "exam_type", 1, by_exam)
+    return _start(counts.writeStream.outputMode("complete").foreachBatch(write), checkpoint, processing_time)
 
 
 def read_validation_counts(spark: SparkSession, path: str) -> DataFrame:
     """Counts of the newest version."""
-    versions = spark.read.parquet(path)
-    newest = versions.groupBy("exam_type").agg(F.max_by("validations", "version").alias("validations"))
-    return newest
+    return _newest(_versions(spark, path)[0], "exam_type")

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from laudospark.operators import feedback as FB, gates as G, state as S
@@ -21,6 +22,8 @@ def test_read_reports(spark, tmp_path):
     assert len({r.report_id for r in rows}) == 2
     spark.createDataFrame([(5, "x.pdf", "t")], "k int, filename string, text string").write.json(str(tmp_path / "j"))
     assert readers.read_reports(spark, str(tmp_path / "j"), "json", report_id="k").first().report_id == 5
+    given = readers.read_reports(spark, str(tmp_path / "j"), "json", report_id="k", schema="k long, text string")
+    assert given.first().report_id == 5 and given.first().filename is None
     spark.createDataFrame([("t",)], "text string").write.parquet(str(tmp_path / "p"))
     assert len(readers.read_reports(spark, str(tmp_path / "p")).first().report_id) == 64
     spark.createDataFrame([("t",)], "body string").write.orc(str(tmp_path / "o"))
@@ -80,13 +83,41 @@ def test_stream_job_state_equals_batch(spark, tmp_path):
     rows = make_events()
     spark.createDataFrame(rows, EVENT).repartition(6).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
-    ST.stream_job_state(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    ST.stream_job_state(stream, str(tmp_path / "out"), str(tmp_path / "ck"), compact_after=2).awaitTermination()
+    snapshots = sorted(p.name for p in (tmp_path / "out").glob("snapshot=*"))
+    assert snapshots and ST._versions(spark, str(tmp_path / "out"))[1] < len(list((tmp_path / "out").glob("version=*")))
     assert as_state(ST.read_job_state(spark, str(tmp_path / "out"))) == folded(rows)
 
 
+def test_streams_read_a_folder_of_part_files_or_one_file(spark, tmp_path):
+    df = spark.createDataFrame([(i, str(i)) for i in range(20)], "id int, t string")
+    df.repartition(3).write.parquet(str(tmp_path / "folder.parquet"))
+    df.toPandas().to_parquet(tmp_path / "file.parquet", index=False)
+    for name in ("folder", "file"):
+        rows = readers.stream_parquet(spark, str(tmp_path / f"{name}.parquet"))
+        query = rows.writeStream.format("parquet").option("path", str(tmp_path / f"{name}-out")).option("checkpointLocation", str(tmp_path / f"{name}-ck"))
+        query.trigger(availableNow=True).start().awaitTermination()
+        assert spark.read.parquet(str(tmp_path / f"{name}-out")).count() == 20
+
+
+def test_work_folder_must_be_shared():
+    from types import SimpleNamespace
+
+    from laudospark.session import work_folder
+
+    def session(folder, master):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=context)
+
+    assert work_folder(session("s3a://b/shared/", "yarn"), "x").startswith("s3a://b/shared/x-")
+    assert "laudospark-" in work_folder(session(None, "local[4]"), "x")
+    with pytest.raises(ValueError):
+        work_folder(session(None, "yarn"), "x")
+
+
 def test_stream_validations_equals_batch(spark, tmp_path):
     jobs, checks, enriched = tables(spark)
     checks.repartition(4).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(checks.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     ST.stream_validations(stream, jobs, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    assert dict(map(tuple, ST.read_validation_counts(spark, str(tmp_path / "out")).collect())) == dict(map(tuple, FB.validations_by_exam(enriched).collect()))
+    assert dict(map(tuple, ST.read_validation_counts(spark, str(tmp_path / "out")).collect())) == dict(map(tuple, FB.validations_by_exam(checks, jobs).collect()))

@@ -16,6 +16,9 @@ LEXICON = """{
 }"""
 
 
+FORMS = {"tomografia": 59, "tomografia_mastoide": 38, "tomografia_pescoco": 30, "audiometria": 43, "bera": 15, "videolaringoscopia": 19, "endoscopia_nasal": 20, "polissonografia": 31}
+
+
 def test_builtin_counts(spark):
     terms, compounds = builtin_lexicon(spark)
     stats = {r.exam_type: (r["ALTO"], r["MÉDIO"], r["BAIXO"]) for r in K.kb_stats(terms).collect()}
@@ -25,6 +28,39 @@ def test_builtin_counts(spark):
         "videolaringoscopia": 6, "endoscopia_nasal": 5, "polissonografia": 11,
     }
     assert sum(v[0] for v in stats.values()) == 46 and compounds.count() == 11
+    forms = {r.exam_type: r.n for r in terms.groupBy("exam_type").agg(F.sum(F.size("variantes")).alias("n")).collect()}
+    assert forms == FORMS and sum(forms.values()) == 255
+
+
+def test_forms_that_reports_use(spark):
+    terms, _ = builtin_lexicon(spark)
+    texts = {
+        "tomografia": ["infundibulo", "conteúdo líquido", "crista óssea septal", "vias de drenagem obliteradas"],
+        "audiometria": ["carhart notch", "gota acústica"], "polissonografia": ["iah grave"],
+    }
+    rows = [(f"{k}: {t}", k, f"laudo com {t.upper()} descrito") for k, ts in texts.items() for t in ts]
+    hits = K.kb_term_hits(spark.createDataFrame(rows, "report_id string, exam_type string, text string"), terms)
+    assert {r.report_id for r in hits.collect()} == {r[0] for r in rows}
+
+
+def test_every_compound_rule_can_fire(spark):
+    _, compounds = builtin_lexicon(spark)
+    texts = [
+        ("tomografia", "espessamento mucoso e nível líquido"), ("tomografia", "infundíbulo obliterado, desvio do septo"),
+        ("tomografia", "curvatura paradoxal do corneto, obliteração do infundíbulo"), ("tomografia", "velamento total com nível hidroaéreo"),
+        ("tomografia_mastoide", "colesteatoma e erosão ossicular"), ("tomografia_mastoide", "mastóide velada, erosão do tegmen"),
+        ("tomografia_mastoide", "colesteatoma com fístula labiríntica"), ("tomografia_pescoco", "linfonodomegalia com necrose central"),
+        ("tomografia_pescoco", "massa na parótida, paralisia facial"), ("audiometria", "entalhe em 4khz após exposição a ruído"),
+        ("audiometria", "gap aéreo-ósseo com entalhe de carhart"),
+    ]
+    df = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(texts)], "report_id int, exam_type string, text string")
+    from laudospark.functions.entities import extract_entities
+
+    df = df.withColumn("achados", extract_entities(F.col("text"), F.col("exam_type"))["achados"])
+    got = K.compound_diagnoses(df, compounds, text="text")
+    assert {r.report_id for r in got.collect()} == set(range(11))
+    assert got.select("exam_type", "condicao").distinct().count() == 11
+    assert K.compound_diagnoses(df.withColumn("text", F.lit("sem achados")).drop("achados").withColumn("achados", F.lit(None).cast("array<string>")), compounds, text="text").count() == 0
 
 
 def test_read_lexicon(spark, tmp_path):
@@ -84,7 +120,7 @@ def test_prompts(spark, tmp_path):
 
 
 def test_model_answers(spark):
-    answers = ['{"summary": "s", "findings": ["a"]}', "lixo", None, '{"error": "e"}', '{"is_valid_exam": false}', '["x"]']
+    answers = ['{"summary": "s", "findings": ["a"], "diagnostics": []}', "lixo", None, '{"error": "e"}', '{"is_valid_exam": false, "summary": "", "findings": [], "diagnostics": []}', '["x"]', '{"is_valid_exam": false, "summary": "s", "findings": []}']
     df = spark.createDataFrame([(i, a) for i, a in enumerate(answers)], "i int, a string")
     rows = {r.i: r.p for r in df.select("i", cases.parse_llm_output(F.col("a")).alias("p")).collect()}
     assert rows[0].asDict() == {
@@ -92,6 +128,7 @@ def test_model_answers(spark):
     }
     assert [rows[i].error for i in (1, 2, 3)] == ["unreadable answer", "no answer", "e"]
     assert rows[4].is_valid_exam is False and rows[1].findings == []
+    assert rows[6].error == "missing field" and rows[6].is_valid_exam is True
 
 
 def test_drifting_cases(spark):

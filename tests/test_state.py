@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from laudospark.operators import feedback as FB, state as S
-from laudospark.operators.joins import hot_keys, is_small, lookup_join, skew_join
+from laudospark.operators.joins import hot_keys, lookup_join, skew_join
 
 EVENT = "job_id int, seq long, status string, message string, result_json string, patient_token string, exam_type string"
 
@@ -61,7 +61,7 @@ def test_skew_join_keeps_every_row(spark):
     f = spark.createDataFrame(facts, "id int, k int")
     d = spark.createDataFrame(lookup, "k int, v string")
     table = dict(lookup)
-    assert [r.k for r in hot_keys(f, "k").collect()] == [7]
+    assert [r.k for r in hot_keys(f, "k", 100).collect()] == [7]
     left = {(r.id, r.k, r.v) for r in skew_join(f, d, "k", "left", salts=8).collect()}
     assert left == {(i, k, table.get(k)) for i, k in facts}
     inner = skew_join(f, d, "k", "inner", salts=8)
@@ -73,14 +73,47 @@ def test_skew_join_keeps_every_row(spark):
     assert spread.count() == sum(k == 7 for _, k in facts)
 
 
-def test_lookup_join_without_broadcast(spark):
+def test_lookup_join_runs_nothing_and_keeps_every_row(spark):
     df = spark.range(1000).withColumn("exam_type", F.when(F.col("id") % 3 == 0, "bera").otherwise("outro"))
     table = spark.createDataFrame([("bera", i) for i in range(5)], "exam_type string, n int")
-    assert is_small(table, 5) and not is_small(table, 4)
-    for how in ("inner", "left"):
-        small = sorted(map(tuple, lookup_join(df, table, "exam_type", how).collect()), key=repr)
-        large = sorted(map(tuple, lookup_join(df, table, "exam_type", how, max_rows=4, salts=4).collect()), key=repr)
-        assert small == large and len(small) == 334 * 5 + (666 if how == "left" else 0)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "planning")
+    joins = {how: lookup_join(df, table, "exam_type", how) for how in ("inner", "left")}
+    assert list(tracker.getJobIdsForGroup("planning")) == []
+    for how, join in joins.items():
+        assert join.count() == 334 * 5 + (666 if how == "left" else 0)
+
+
+def test_feedback_plans_read_each_table_few_times(spark, tmp_path):
+    jobs, checks, _ = tables(spark)
+    jobs.write.parquet(str(tmp_path / "jobs"))
+    checks.write.parquet(str(tmp_path / "checks"))
+    jobs, checks = spark.read.parquet(str(tmp_path / "jobs")), spark.read.parquet(str(tmp_path / "checks"))
+    stats = FB.lexical_stats(jobs, checks)._jdf.queryExecution().executedPlan().toString()
+    retrain = FB.retrain_set(S.validation_status(jobs, checks), checks)._jdf.queryExecution().executedPlan().toString()
+    for plan, most in ((stats, (2, 1)), (retrain, (1, 2))):
+        scans = [line for line in plan.splitlines() if "FileScan" in line]
+        assert sum("/jobs" in x for x in scans) <= most[0] and sum("/checks" in x for x in scans) <= most[1], plan
+
+
+def test_validations_as_of(spark):
+    events = spark.createDataFrame([("a", 1, "p1", None), ("a", 4, None, "bera"), ("a", 9, "p2", "tc"), ("b", 2, "q", "x")], "job_id string, seq long, patient_token string, exam_type string")
+    checks = spark.createDataFrame([(1, "a", 1), (2, "a", 4), (3, "a", 8), (4, "a", 99), (5, "b", 1), (6, "c", 5)], "id int, job_id string, seq long")
+    got = {r.id: (r.patient_token, r.exam_type) for r in S.enrich_validations_as_of(checks, events).collect()}
+    assert got == {1: ("p1", None), 2: ("p1", "bera"), 3: ("p1", "bera"), 4: ("p2", "tc"), 5: (None, None), 6: (None, None)}
+
+
+def test_folded_jobs_are_full_rows(spark):
+    schema = EVENT + ", filename string, file_path string, created_at int, at int"
+    rows = [("queued", "n.pdf", "/up/n.pdf", 5, 5), ("completed", None, None, None, 9), ("failed", "other", None, 7, 7)]
+    events = [(1, i, s, "m", None, None, "bera", f, p, c, at) for i, (s, f, p, c, at) in enumerate(rows)]
+    jobs = S.fold_job_events(spark.createDataFrame(events, schema))
+    row = jobs.first()
+    assert (row.filename, row.file_path, row.created_at, row.updated_at, row.status) == ("n.pdf", "/up/n.pdf", 5, 9, "failed")
+    assert FB.job_listing(jobs).count() == 1 and FB.redact_seed_jobs(jobs).first().filename == "[redacted]"
+    later = spark.createDataFrame([(1, 7, "completed", "m", "r", "t", None, "late", None, 3, 30)], schema)
+    merged = S.merge_state(jobs, later).first()
+    assert (merged.filename, merged.created_at, merged.updated_at, merged.result_json) == ("n.pdf", 5, 30, "r")
 
 
 JOBS = [
@@ -113,7 +146,7 @@ def test_feedback_tables(spark):
     assert [(r.source_job_id, r.exam_type, len(r.original_text), len(r.corrected_text)) for r in rows] == [("a", "bera", 500, 500)]
     status = {r.job_id: r.validation_status for r in S.validation_status(jobs, checks).collect()}
     assert status == {"a": "validated_with_errors", "b": "validated_with_errors", "c": "validated_with_errors", "d": "validated_ok"}
-    stats = FB.lexical_stats(jobs, enriched, feedback).first()
+    stats = FB.lexical_stats(jobs, checks).first()
     assert stats.asDict() == {
         "total_completed_jobs": 3, "total_validations": 7, "corrections_submitted": 5, "lexical_feedback_entries": 1,
         "validations_by_exam": {"bera": 4, "tomografia": 1},
@@ -127,6 +160,7 @@ def test_retrain_and_seed(spark):
     jobs, checks, enriched = tables(spark)
     known = S.validation_status(jobs, checks)
     rows = FB.retrain_set(known, enriched).collect()
+    assert sorted(map(tuple, FB.retrain_set(known, checks).collect())) == sorted(map(tuple, rows))
     assert sorted((r.id, r.image_file) for r in rows) == [(1, "a_x.pdf"), (2, "a_x.pdf"), (3, "b.png")]
     files = spark.createDataFrame([("/up/a_x.pdf",)], "path string")
     assert sorted(r.id for r in FB.retrain_set(known, enriched, files).collect()) == [1, 2]
@@ -140,8 +174,7 @@ def test_retrain_and_seed(spark):
 
 def test_empty_tables_give_zero_stats(spark):
     jobs, checks, enriched = tables(spark)
-    none = enriched.filter("id < 0")
-    stats = FB.lexical_stats(jobs.filter("false"), none, S.lexical_feedback(checks.filter("id < 0"), jobs)).first()
+    stats = FB.lexical_stats(jobs.filter("false"), checks.filter("id < 0")).first()
     assert (stats.total_completed_jobs, stats.total_validations, stats.corrections_submitted, stats.validations_by_exam) == (0, 0, 0, {})
 
 
