@@ -258,8 +258,9 @@ def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_l
     Rows are told apart by key and text hash; rows equal in both are copies that only differ in other columns, and the
     one whose other columns sort first stays.
     """
-    stays = exact_groups(docs, key, text, keep_largest).where("kept").select(F.col(key).alias("__key"), F.col("text_sha256").alias("__sha"))
-    named = docs.withColumn("__sha2", F.sha2(fold_ascii(F.col(text)), 256))
-    kept = named.join(stays, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__sha2") == F.col("__sha")), "left_semi")
-    place = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return kept.groupBy(F.col(key).alias("__k"), "__sha2").agg(F.min(place).alias("__row")).select("__row.*")
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("no identifier"))
+    stays = exact_groups(docs, key, text, keep_largest).where("kept").select(name(key).alias("__key"), F.col("text_sha256").alias("__sha"))
+    place = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    named = docs.select(name(key).alias("__key"), F.sha2(fold_ascii(F.col(text)), 256).alias("__sha"), place)
+    # Join and grouping have the same keys, so the rows are shuffled once.
+    return named.join(stays, ["__key", "__sha"], "left_semi").groupBy("__key", "__sha").agg(F.min("__row").alias("__row")).select("__row.*")
