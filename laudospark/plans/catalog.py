@@ -133,9 +133,9 @@ def report_results_fixed(spark: SparkSession, sf: str) -> DataFrame:
 def result_struct(spark: SparkSession, sf: str) -> DataFrame:
     rows = pipeline(spark, sf)
     doc = F.col("document")
-    fields = ["patient_token", "exam_date", "exam_type", "exam_label", "raw_text_length", "safe_text_snippet", "low_confidence"]
+    fields = ["patient_token", "exam_date", "exam_type", "exam_label", "raw_text_length", "safe_text_snippet", "low_confidence", "was_raster_engine_used", "entities_found.lateralidade"]
     return rows.select("report_id", "status", writers.result_document(rows).alias("document")).select(
-        "report_id", "status", *[F.get_json_object(doc, f"$.{f}").alias(f) for f in fields]
+        "report_id", "status", *[F.get_json_object(doc, f"$.{f}").alias(f.rpartition(".")[2]) for f in fields]
     )
 
 
@@ -467,9 +467,10 @@ def extract_entities(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def entities_json(spark: SparkSession, sf: str) -> DataFrame:
     """Entity documents as stored: absent entities have no key."""
-    rows = pipeline(spark, sf).select("exam_type", F.to_json("entities").alias("entities"))
-    return rows.groupBy("exam_type").agg(
-        F.count("*").alias("reports"), F.count_if(F.col("entities") == "{}").alias("empty")
+    rows = pipeline(spark, sf).select("report_id", "exam_type", F.to_json("entities").alias("entities"))
+    found = F.from_json(F.get_json_object("entities", "$.achados"), "array<string>")
+    return rows.select(
+        "report_id", "exam_type", F.get_json_object("entities", "$.lateralidade").alias("lateralidade"), joined(found).alias("achados")
     )
 
 

@@ -251,7 +251,8 @@ O["report_results"] = REPORTS_PIPELINE + (
 O["result_struct"] = REPORTS_PIPELINE + (
     "SELECT report_id, status, patient_token, CASE WHEN NOT low_confidence THEN exam_date END AS exam_date, exam_type, "
     "exam_label, CAST(raw_text_length AS VARCHAR) AS raw_text_length, safe_text_snippet, "
-    "CASE WHEN low_confidence THEN 'true' END AS low_confidence FROM final"
+    "CASE WHEN low_confidence THEN 'true' END AS low_confidence, CAST(was_raster_engine_used AS VARCHAR) AS was_raster_engine_used, "
+    f"{sides('safe_body', 'low')} AS lateralidade FROM final"
 )
 O["write_results"] = REPORTS_PIPELINE + (
     "SELECT report_id, exam_type, status, patient_token, CASE WHEN NOT low_confidence THEN exam_date END AS exam_date, "
@@ -274,8 +275,7 @@ O["llm_validity_gate"] = with_views("reports llm_answers", *PIPELINE) + (
     "FROM final f LEFT JOIN llm_answers a ON f.report_id = a.report_id) GROUP BY ALL"
 )
 O["entities_json"] = REPORTS_PIPELINE + (
-    "SELECT exam_type, count(*) AS reports, count(*) FILTER (WHERE exam_type NOT IN ('audiometria', 'bera') AND "
-    f"{findings('safe_body', 'low')} IS NULL AND {sides('safe_body', 'low')} IS NULL) AS empty FROM final GROUP BY ALL"
+    f"SELECT report_id, exam_type, {sides('safe_body', 'low')} AS lateralidade, {findings('safe_body', 'low')} AS achados FROM final"
 )
 
 _DOCUMENTS = "reports AS (SELECT doc_id AS report_id, source || '.pdf' AS filename, text FROM documents)"
