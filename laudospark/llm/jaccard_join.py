@@ -6,12 +6,12 @@ cut into fragments, and so is every set. Two sets that are similar enough share
 ``n - ceil(t * n) + 1`` of either, so candidates are the sets that meet in such a prefix; for each candidate pair the
 fragments' overlaps are counted separately and summed, which gives the exact size of the intersection.
 
-Equal sets are one class. Of the classes that meet under an n-gram, all name one as their hub, at first the one most of
-whose n-grams are shared, then others; each class is compared with the hub that most of its n-grams name, and what is
-similar is connected. What was compared in these ``ROUNDS`` rounds, similar or not, forms regions, and only classes that
-still lie in different components are compared further: within a region those outside of its largest component with all
-of it, block by block; across regions those whose prefixes share enough for the similarity. So a group of thousands of
-near copies costs a few comparisons each, no pair is emitted but for links, and no link between components is missed.
+Equal sets are one class. Of the classes that meet under an n-gram, all name one as their hub, the one most of whose
+n-grams are shared; each class is compared with the hub that most of its n-grams name, and takes its label if they are
+similar. Classes with the same hub, similar or not, are a region, and only classes with different labels are compared
+further: within a region those outside of its largest label with all of it, block by block; across regions those whose
+prefixes share enough for the similarity. So most of a group of thousands of near copies costs one comparison each, and
+no link between labels is missed. Components come from all links in the end.
 
 N-grams and classes are 64-bit hashes of the words and of the whole set.
 
@@ -51,9 +51,8 @@ BUCKET_GRAMS = 1_000_000
 SEND_GRAMS = 400_000
 #: Bytes of a text that are hashed at once.
 SPAN = 1 << 20
-ROUNDS = 3
-#: Classes on either side of a block.
-BLOCK = 192
+#: Classes of a region that is compared pair by pair, and on either side of a block of a larger one.
+PAIRWISE, BLOCK = 16, 192
 
 _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(1, 1 << 63, 256, np.uint64)
@@ -296,30 +295,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     met = written(met, "ngram-shares")
     release(spark)
 
-    labels = spark.createDataFrame([], "v long, label long")
-    edges = spark.createDataFrame([], "a long, b long")
-    tried = edges
-    for step in range(ROUNDS):
-        placed = place(met.where("likely"), labels)
-        order = F.struct("share", "cls") if step == 0 else F.struct(F.xxhash64("cls", F.lit(step)), "cls")
-        hub = F.max(F.struct(order.alias("order"), "cls", "n", "label")).alias("hub")
-        hubs = placed.groupBy("s").agg(hub, F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        hubs = hubs.select("s", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.label").alias("hub_label"))
-        named = placed.join(hubs, "s").where("label <> hub_label").where(alike("n", "hub_n", threshold))
-        # Too few n-grams in common make no likely link; what is left out here is looked at in the end.
-        named = named.groupBy("cls", "n", "hub", "hub_n").agg(F.count("*").alias("votes")).where(2 * F.col("votes") >= least_shared("n", "hub_n", threshold))
-        best = named.groupBy("cls", "n").agg(F.max(F.struct("votes", "hub", "hub_n")).alias("x"))
-        star = best.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("x.hub").alias("b"), F.col("x.hub_n").alias("nb"))
-        star = written(star.join(tried, ["a", "b"], "left_anti"), "ngram-star")
-        if star.isEmpty():
-            break
-        tried = tried.unionByName(star.select("a", "b")).unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        edges = checkpointed(edges.unionByName(linked(star, segments, threshold)))
-        labels = components(edges)
-        release(spark)
-
-    regions = components(tried).withColumnRenamed("label", "region")
-    edges = checkpointed(edges.unionByName(within(regions, labels, segments, threshold)))
+    likely = met.where("likely")
+    hub = F.max(F.struct("share", "cls", "n")).alias("hub")
+    hubs = likely.groupBy("s").agg(hub).select("s", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n"))
+    named = likely.join(hubs, "s").where("cls <> hub").where(alike("n", "hub_n", threshold))
+    # Too few n-grams in common make no likely link; what is left out here is looked at in the end.
+    named = named.groupBy("cls", "n", "hub", "hub_n").agg(F.count("*").alias("votes")).where(2 * F.col("votes") >= least_shared("n", "hub_n", threshold))
+    best = named.groupBy("cls", "n").agg(F.max(F.struct("votes", "hub", "hub_n")).alias("x"))
+    star = written(best.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("x.hub").alias("b"), F.col("x.hub_n").alias("nb")), "ngram-star")
+    edges = written(linked(star, segments, threshold), "ngram-edges")
+    labels = written(named_by(edges), "ngram-labels")
+    regions = written(named_by(star).withColumnRenamed("label", "region"), "ngram-regions")
+    edges = edges.unionByName(within(regions, labels, segments, threshold))
 
     # What meets across regions. A pair is counted under every n-gram that both prefixes hold.
     placed = place(met, regions.withColumnRenamed("region", "label"))
@@ -346,6 +333,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     return rows.select("key", "n", "cls").join(final, "cls", "left").select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
 
 
+def named_by(pairs: DataFrame) -> DataFrame:
+    """``v``, ``label``: each class of the pairs with its hub's hub, its hub, or itself."""
+    own = pairs.select(F.col("a").alias("v"), F.col("b").alias("label"))
+    hubs = pairs.select(F.col("b").alias("v")).distinct().join(own, "v", "left_anti").select("v", F.col("v").alias("label"))
+    further = own.select(F.col("v").alias("label"), F.col("label").alias("next"))
+    return own.join(further, "label", "left").select("v", F.coalesce("next", "label").alias("label")).unionByName(hubs)
+
+
 def place(met: DataFrame, labels: DataFrame) -> DataFrame:
     """Meetings with the component that each class is in so far."""
     placed = met.join(labels.withColumnRenamed("v", "cls"), "cls", "left")
@@ -472,20 +467,29 @@ def compared(left: pd.DataFrame, right: pd.DataFrame, threshold: int) -> pd.Data
 
 
 def within(regions: DataFrame, labels: DataFrame, segments: DataFrame, threshold: int) -> DataFrame:
-    """Links inside regions that join components: classes outside a region's largest component against all of it.
+    """Links inside regions between different labels: classes outside a region's largest label against all of it.
 
-    Both sides are dealt into blocks of about ``BLOCK`` classes; a class goes to as many blocks as the other side has.
+    Small regions are compared pair by pair. Of larger ones both sides are dealt into blocks of about ``BLOCK`` classes; a
+    class goes to as many blocks as the other side has.
     """
-    members = regions.withColumnRenamed("v", "cls").join(labels.withColumnRenamed("v", "cls"), "cls", "left")
-    members = checkpointed(members.select("cls", "region", F.coalesce("label", "cls").alias("label")))
+    sizes = segments.groupBy("cls").agg(F.sum(F.size("grams")).cast("int").alias("n"))
+    members = regions.withColumnRenamed("v", "cls").join(labels.withColumnRenamed("v", "cls"), "cls", "left").join(sizes, "cls")
+    members = members.select("cls", "n", "region", F.coalesce("label", "cls").alias("label"))
     counted = members.groupBy("region", "label").agg(F.count("*").alias("m"))
     counted = counted.groupBy("region").agg(F.max(F.struct("m", "label")).alias("x"), F.sum("m").alias("all")).where(F.col("all") > F.col("x.m"))
-    blocks = counted.select("region", F.col("x.label").alias("main"), F.ceil((F.col("all") - F.col("x.m")) / BLOCK).alias("rows"), F.ceil(F.col("all") / BLOCK).alias("columns"))
-    members = members.join(blocks, "region").join(segments, "cls")
+    blocks = counted.select("region", "all", F.col("x.label").alias("main"), F.ceil((F.col("all") - F.col("x.m")) / BLOCK).alias("rows"), F.ceil(F.col("all") / BLOCK).alias("columns"))
+    members = written(members.join(blocks, "region"), "ngram-members")
+
+    few = members.where(F.col("all") <= PAIRWISE)
+    one = few.where("label <> main").select("region", "main", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    other = few.select("region", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    pairs = one.join(other, "region").where("la <> lb and (lb = main or a < b)").where(alike("na", "nb", threshold)).select("a", "na", "b", "nb")
+
+    many = members.where(F.col("all") > PAIRWISE).join(segments, "cls")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     key, kept = ["region", "row", "column"], ["cls", "label", "fragment", "grams"]
-    left = members.where("label <> main").select("region", F.pmod(F.xxhash64("cls"), "rows").alias("row"), every("columns").alias("column"), *kept)
-    right = members.select("region", every("rows").alias("row"), F.pmod(F.xxhash64("cls", F.lit(1)), "columns").alias("column"), *kept)
+    left = many.where("label <> main").select("region", F.pmod(F.xxhash64("cls"), "rows").alias("row"), every("columns").alias("column"), *kept)
+    right = many.select("region", every("rows").alias("row"), F.pmod(F.xxhash64("cls", F.lit(1)), "columns").alias("column"), *kept)
     left = left.select(*[F.col(c).alias(c) for c in left.columns])  # columns of its own beside the other side's
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -493,7 +497,8 @@ def within(regions: DataFrame, labels: DataFrame, segments: DataFrame, threshold
             return pd.DataFrame({"a": [], "b": []}).astype("int64")
         return compared(a, b, threshold)
 
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(compare, "a long, b long")
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(compare, "a long, b long")
+    return written(found.unionByName(linked(pairs, segments, threshold)), "ngram-within")
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
