@@ -30,8 +30,9 @@ def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes words from."""
-    return mixing.keep_taken(docs, weights=(5, 2, 1), share=1.5, most=2.0)
+    """Documents as often as the mix visits them, with the words that it takes, in its order."""
+    out = mixing.mixed_texts(docs, weights=(5, 2, 1), share=1.5, most=2.0)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

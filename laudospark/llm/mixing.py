@@ -81,7 +81,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
     documents: key, source, ``size``, ``source_size``, ``target``, ``offset`` (words before it in its source's order);
     schedule: ``slot``, ``source_no``, ``rank``, ``epoch``, ``block``, ``words``;
-    pieces: ``slot``, key, ``source_no``, ``offset``, ``start``, ``length``: words of documents in the order of the mix.
+    pieces: ``slot``, key, ``source_no``, ``offset``, ``epoch``, ``start``, ``length``: words of documents in the order of
+    the mix.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -157,7 +158,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     pieces = (
         schedule.join(lying, ["source_no", "block"])
         .where(last > first)
-        .select("slot", F.col("key").alias(key), "source_no", "offset", (first - F.col("offset")).alias("start"), (last - first).alias("length"))
+        .select("slot", F.col("key").alias(key), "source_no", "offset", "epoch", (first - F.col("offset")).alias("start"), (last - first).alias("length"))
     )
     return laid.withColumnRenamed("key", key), schedule, pieces
 
@@ -171,6 +172,34 @@ def taken_words(documents: DataFrame, pieces: DataFrame, key: str = "doc_id") ->
     return joined.select(*columns).unionByName(empty.select(*columns))
 
 
+def first_words(text: Column, count: Column) -> Column:
+    """The text up to the end of its word number ``count``."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), count), "")
+
+
+def mixed_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The mix itself: a row of ``docs`` for every epoch that visits a document, in the order of their first slots.
+
+    Where an epoch takes a document to its end the text is unchanged; where the last visit stops earlier it has just the
+    words taken, which are the first ones, as an epoch visits its blocks from the first on. Other columns are unchanged.
+    """
+    documents, _, pieces = mix(docs, key, text, source, **options)
+    takes = pieces.groupBy("source_no", "offset", "epoch").agg(F.sum("length").alias("taken"), F.min("slot").alias("slot"))
+    takes = takes.groupBy("source_no", "offset").agg(F.collect_list(F.struct("slot", "taken")).alias("__takes"))
+    # Rows of the same identifier, source and size are told apart by number: all of them are laid out, taken or not.
+    same = F.struct(F.col(key).cast("long").alias("key"), F.col("source").alias("source"), F.col("size").alias("size"))
+    laid = documents.where("size > 0").join(takes, ["source_no", "offset"], "left")
+    places = laid.groupBy(same.alias("__same")).agg(F.array_sort(F.collect_list(F.struct("offset", "__takes"))).alias("__places"))
+    size = word_count(F.col(text))
+    rows = docs.withColumn("__same", F.struct(F.col(key).cast("long").alias("key"), F.col(source).cast("string").alias("source"), size.alias("size")))
+    number = F.row_number().over(Window.partitionBy("__same").orderBy(F.xxhash64(F.col(text)), F.col(text)))
+    found = rows.where("__same.size > 0").join(places, "__same").withColumn("__nth", number)
+    found = found.select(*docs.columns, F.col("__same.size").alias("__size"), F.explode(F.element_at("__places", F.col("__nth"))["__takes"]).alias("__take"))
+    whole = F.col("__take.taken") == F.col("__size")
+    cut = F.when(whole, F.col(text)).otherwise(first_words(F.col(text), F.col("__take.taken").cast("int")))
+    return found.orderBy("__take.slot").withColumn(text, cut).select(*docs.columns)
+
+
 def keep_taken(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """Rows of ``docs`` from which the mix takes at least one word, unchanged and once each."""
     documents, _, pieces = mix(docs, key, text, source, **options)

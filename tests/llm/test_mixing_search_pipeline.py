@@ -73,6 +73,46 @@ def test_mix_of_little(spark):
     assert [tuple(r) for r in kept.collect()] == [(1, "one", "s")]
 
 
+@pytest.mark.parametrize("block", [1, 16, 1024])
+def test_mixed_texts_follow_the_targets(spark, block):
+    rnd = random.Random(4)
+    rows = [(i, " \n".join(f"d{i}w{j}" for j in range(rnd.randint(1, 400))) + "\n", rnd.choice(["b", "a", None, "b"]), i) for i in range(80)]
+    # Same identifier, source and size with different texts; no identifier; equal rows; nothing to take.
+    rows += [(7, "x y z", "a", 1), (7, "p q r", "a", 2), (None, "k  l", "b", 3), (None, "m\tn", "b", 4), (9, "t u", "b", 5), (9, "t u", "b", 5), (300, None, "a", 6), (301, " ", "b", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").repartition(5)
+    out = mixing.mixed_texts(docs, block_words=block)
+    got = out.collect()
+    assert out.columns == docs.columns
+    words = re.compile(r"[^\x20\x09-\x0D]+")
+    sizes, target = brute_targets([r[:3] for r in rows])
+    taken = {}
+    for r in got:
+        taken[r.source] = taken.get(r.source, 0) + len(words.findall(r.text))
+    assert all(abs(taken[s] - target[s]) <= 1 for s in sizes)
+    # Every row is the start of its own document; at most one document of a source is cut short within an epoch.
+    visits, cut = {}, {}
+    for r in got:
+        mine = [d for d in rows if d[0] == r.doc_id and d[2:] == (r.source, r.n_chars)]
+        assert mine and all(d[1].startswith(r.text) for d in mine)
+        visits[r.doc_id, r.n_chars] = visits.get((r.doc_id, r.n_chars), 0) + 1
+        cut[r.source] = cut.get(r.source, 0) + (r.text != mine[0][1])
+    assert set(visits) <= {(r[0], r[3]) for r in rows if (r[1] or "").strip()} and max(visits.values()) <= 4
+    assert max(visits[k] for k in visits if k != (9, 5)) == 2 and max(cut.values()) <= 1
+    assert sorted(map(str, mixing.mixed_texts(docs.repartition(3), block_words=block).collect())) == sorted(map(str, got))
+
+
+def test_the_pipeline_mixes_to_weight(spark):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sizes, target = brute_targets([(r.doc_id, r.text, r.source) for r in docs.collect()])
+    taken = {}
+    for r in P.mixed(spark, docs, SF).collect():
+        taken[r.source] = taken.get(r.source, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
+        assert r.n_chars == len(r.text)
+    assert all(abs(taken.get(s, 0) - target[s]) <= 1 for s in sizes) and sum(taken.values()) > 1.4 * sum(sizes.values())
+
+
 def brute_search(rows, k):
     good = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v) and len(v) == 8]
     out = []
