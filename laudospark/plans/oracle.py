@@ -38,7 +38,7 @@ def ladder(low: str, steps: list[tuple[str, str]]) -> str:
 
 def re2(pattern: str) -> str:
     """A pattern without what only Java has: it finds the same, leftmost longest run of a class either way."""
-    return re.sub(r"\(\?<![^)]*\)", "", pattern).replace("]++", "]+")
+    return re.sub(r"\(\?:\\G\|\(\?<![^)]*\)\)|\(\?<![^)]*\)", "", pattern).replace("]++", "]+")
 
 
 def labels(low: str, rules: list[tuple[str, str]]) -> str:

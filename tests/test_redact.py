@@ -62,3 +62,18 @@ def test_counts(spark):
     df = spark.createDataFrame([("a.b@x.com 10.0.0.1 +1 (499) 555-6503 1234567812345678 c@d.org",)], "t string")
     row = df.select(*P.pii_counts(F.col("t"), R.GENERIC_PII_RULES)).first()
     assert row.asDict() == {"n_email": 2, "n_ip": 1, "n_phone": 1, "n_card": 1}
+
+
+@pytest.mark.parametrize(
+    "raw, expected, count",
+    [
+        ("anna@a.com-bob@b.org", "[EMAIL OMITIDO][EMAIL OMITIDO]", 2),
+        ("a@b.com.c@d.org", "[EMAIL OMITIDO][EMAIL OMITIDO]", 2),
+        ("x ana@a.com%20bob@b.org y", "x [EMAIL OMITIDO][EMAIL OMITIDO] y", 2),
+        ("a@b.com_c@d.org+e@f.net", "[EMAIL OMITIDO][EMAIL OMITIDO][EMAIL OMITIDO]", 3),
+        ("a@b.com-- c@d", "[EMAIL OMITIDO]-- c@d", 1),
+        ("%+-@x.y a.b@c.de", "%+-@x.y [EMAIL OMITIDO]", 1),
+    ],
+)
+def test_joined_addresses(one, raw, expected, count):
+    assert one(raw, lambda c: P.strip_pii(c, R.GENERIC_PII_RULES), lambda c: P.pii_counts(c, R.GENERIC_PII_RULES)[0]) == (expected, count)
