@@ -1,12 +1,14 @@
 """Approximate nearest neighbours by learned partitions.
 
-At most ``SAMPLE`` valid vectors, those that hash lowest, are joined to their nearest neighbours in the sample; the
-graph is cut into balanced partitions by capacity-bound label moves; a small network (one hidden layer) learns to tell
+At most ``SAMPLE`` valid vectors, those that hash lowest, are taken; all but every ``HELD_OUT``-th of them are joined to
+their nearest neighbours among each other; the graph is cut into balanced partitions by capacity-bound label moves; a small network (one hidden layer) learns to tell
 a vector's partition. It files every row of the table under its most probable partition and routes a query to the
-``probes`` most probable ones, where all rows are compared exactly. The number of probes is the smallest that finds
-``RECALL`` of the true neighbours of sample rows within the sample.
+``probes`` most probable ones, where all rows are compared exactly. The number of probes is the smallest that
+finds ``RECALL`` of the true neighbours of the rows held out, less ``SURE`` standard errors of that share; where they are
+too few to say, all partitions are probed.
 
-Partitions are as many as keep ``rows_per_partition`` rows each, ``MAX_PARTITIONS`` at most; sizes of sample, graph and
+Partitions are about the square root of the rows up to ``ROOT_PARTITIONS``, or as many as keep ``rows_per_partition`` rows each if those are more,
+``MAX_PARTITIONS`` at most; a table too small for two partitions of ``LEAST_SAMPLE`` sample rows has one. Sizes of sample, graph and
 network are fixed by parameters, and only the network is broadcast. Rows and queries of a partition are dealt into
 blocks of bounded size, so a hot partition (a vector repeated a million times) is many tasks; each block passes on its
 best ``k`` per query.
@@ -19,6 +21,7 @@ occurs again is one candidate, as near as its nearest vector, and one query, wit
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -30,10 +33,18 @@ from pyspark.sql import functions as F
 from .common import ship
 
 SAMPLE = 8192
+#: Every so many sample rows one is kept from the network, to calibrate the probes.
+HELD_OUT = 4
+#: Standard errors by which the recall of the rows held out has to be above the one asked for.
+SURE = 2.0
+#: Sample rows that a partition has on average, at least.
+LEAST_SAMPLE = 8
 GRAPH_NEIGHBOURS = 10
 HIDDEN = 96
 RECALL = 0.97
 ROWS_PER_PARTITION = 2000
+#: A query goes to each partition probed, so the square root of the rows makes no more partitions than this.
+ROOT_PARTITIONS = 64
 MAX_PARTITIONS = 256
 BLOCK_ROWS = 20_000
 BLOCK_QUERIES = 5_000
@@ -136,26 +147,36 @@ def learn(x: np.ndarray, label: np.ndarray, parts: int, hidden: int = HIDDEN, ep
     return Router(p[0] * scale, p[1], p[2], p[3])
 
 
-def calibrate(router: Router, x: np.ndarray, links: np.ndarray, recall: float) -> int:
-    """The fewest probes that reach the share of true neighbours, of rows filed as the router files them."""
+def calibrate(router: Router, held: np.ndarray, x: np.ndarray, k: int, recall: float) -> int:
+    """The fewest probes with which rows that the router has not seen find the share of their true neighbours.
+
+    All rows are filed as the router files them. The share has to hold by ``SURE`` standard errors over the rows.
+    """
+    parts = router.w2.shape[1]
     filed = router.route(x, 1)[:, 0]
-    odds = router.odds(x)
+    odds = router.odds(held)
     rank = np.empty_like(odds, dtype=np.int64)
-    np.put_along_axis(rank, np.argsort(-odds, axis=1, kind="stable"), np.arange(odds.shape[1])[None, :], 1)
-    needed = np.sort(rank[np.arange(len(x))[:, None], filed[links]].ravel())
-    return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1 if len(needed) else 1
+    np.put_along_axis(rank, np.argsort(-odds, axis=1, kind="stable"), np.arange(parts)[None, :], 1)
+    near = np.argpartition(-(held @ x.T), k - 1, axis=1)[:, :k]
+    needed = np.take_along_axis(rank, filed[near], 1)
+    for probes in range(1, parts):
+        found = (needed < probes).mean(axis=1)
+        if found.mean() - SURE * max(found.std(), 1 / len(found)) / len(found) ** 0.5 >= recall:
+            return probes
+    return parts
 
 
 def fit(x: np.ndarray, rows: int, k: int, rows_per_partition: int = ROWS_PER_PARTITION, recall: float = RECALL) -> Router:
-    parts = int(np.clip(rows // rows_per_partition, 1, min(MAX_PARTITIONS, max(1, len(x) // 16))))
     x = unit(x.astype(np.float32)) if len(x) else x
+    out = np.arange(len(x)) % HELD_OUT == HELD_OUT - 1
+    held, x = x[out], x[~out]
+    parts = int(np.clip(max(rows // rows_per_partition, min(ROOT_PARTITIONS, math.isqrt(rows))), 1, min(MAX_PARTITIONS, max(1, len(x) // LEAST_SAMPLE))))
     if parts == 1:
         d = x.shape[1] if x.ndim == 2 else 1
         return Router(np.zeros((d, 1), np.float32), np.zeros(1, np.float32), np.zeros((1, 1), np.float32), np.zeros(1, np.float32))
     links = graph(x, min(GRAPH_NEIGHBOURS, len(x) - 1))
     router = learn(x, balanced_partition(x, links, parts), parts)
-    near = links[:, : max(1, min(k, links.shape[1]))]
-    router.probes = calibrate(router, x, near, recall)
+    router.probes = calibrate(router, held, x, min(k, len(x)), recall)
     return router
 
 

@@ -159,6 +159,30 @@ def test_search_recall_with_partitions(spark):
     assert n == 5 * (ids % 50 == 0).sum() and hits / n >= 0.9
 
 
+@pytest.mark.parametrize("n", [300, 2000])
+def test_small_tables_have_learned_partitions(n):
+    rng = np.random.default_rng(6)
+    x = (rng.standard_normal((12, 32))[rng.integers(0, 12, n)] * 2 + rng.standard_normal((n, 32)))
+    router = ann.fit(x, n, 5)
+    parts = router.w2.shape[1]
+    assert parts == math.isqrt(n) >= 8 and 1 <= router.probes < parts and router.w1.any()
+    u = ann.unit(x)
+    filed = router.route(u.astype(np.float32), 1)[:, 0]
+    near = ann.graph(u, 5)
+    probed = router.route(u.astype(np.float32), router.probes)
+    assert (filed[near][:, :, None] == probed[:, None, :]).any(axis=2).mean() >= ann.RECALL
+
+
+def test_probes_are_calibrated_on_rows_held_out(monkeypatch):
+    seen = []
+    learn, calibrate = ann.learn, ann.calibrate
+    monkeypatch.setattr(ann, "learn", lambda x, *a: seen.append(x) or learn(x, *a))
+    monkeypatch.setattr(ann, "calibrate", lambda router, held, *a: seen.append(held) or calibrate(router, held, *a))
+    ann.fit(np.random.default_rng(7).standard_normal((400, 16)), 400, 5)
+    trained, held = seen
+    assert len(trained) == 300 and len(held) == 100 and not {r.tobytes() for r in trained} & {r.tobytes() for r in held}
+
+
 def test_balanced_partitions_and_router():
     rng = np.random.default_rng(2)
     x = ann.unit((rng.standard_normal((8, 16))[rng.integers(0, 8, 1600)] * 2 + rng.standard_normal((1600, 16))).astype(np.float32))
