@@ -1,9 +1,10 @@
 """Main text of web pages by consensus of their hosts.
 
 Each page's containers are scored by the text they hold outside of links and page furniture; the innermost container
-that holds most of it is the page's choice. Its path of tags and classes, without digits, is the page's vote. Spark
-counts votes per host, and every page is extracted again from the containers on its host's winning path; a page without
-such a container, or with no text in it, uses its own choice.
+outside of which next to nothing is left is the page's choice. Its path of tags and classes, without digits, is the
+page's vote. Spark counts votes per host, and the paths that lie beside the choice on at least half of the winning
+pages. Every page is extracted again from the containers on its host's winning path. A page without such a container,
+with no text in it, or with text outside of it that is not on one of those other paths, uses its own choice.
 
 Furniture is known by tag, role or class names (``FURNITURE_TAGS``, ``FURNITURE``) and left out wherever it lies.
 Character references are decoded, white space within a block becomes one space, blocks are joined in page order by one
@@ -57,8 +58,8 @@ FURNITURE = re.compile(rf"(?:^|\s)(?:(?:{'|'.join(_names)})(?:[-_][\w-]*)?|[\w-]
 _digits = re.compile(r"\d+")
 #: Steps of a path that count, from the container outwards.
 PATH_STEPS = 8
-#: Share of a container's text that an inner container must hold to be chosen instead.
-INNER_SHARE = 0.6
+#: Characters, and share of a page's text, that may lie outside of the chosen container in other ones, such as a label.
+OUTSIDE, OUTSIDE_SHARE = 15, 0.05
 
 
 @lru_cache(4096)
@@ -209,20 +210,62 @@ class Page:
                 self.end({tag})
         self.text(html[at:])
 
+    def direct(self) -> list[int]:
+        """Text of each container that lies in no inner one, links left out; 0 where most of it is links."""
+        size, links = ([c[k] for c in self.containers] for k in (3, 4))
+        for c in self.containers[1:]:
+            size[c[5]] -= c[3]
+            links[c[5]] -= c[4]
+        return [s - k if s > 2 * k else 0 for s, k in zip(size, links)]
+
+    def outside(self, boxes: list[int], known: frozenset[str] = frozenset()) -> int:
+        """Text outside of the containers, without links and containers on known paths that hold none of them."""
+        rest, chosen = self.direct(), set(boxes)
+        holds = [i in chosen for i in range(len(rest))]
+        for i in range(len(rest) - 1, 0, -1):
+            parent = self.containers[i][5]
+            holds[parent] |= holds[i]
+            if i not in chosen and (holds[i] or self.containers[i][0] not in known):
+                rest[parent] += rest[i]
+        return 0 if 0 in chosen else rest[0]
+
+    def nearly_nothing(self) -> float:
+        return min(OUTSIDE, OUTSIDE_SHARE * sum(self.direct()))
+
     def choice(self) -> int:
-        """The innermost container that holds most of the text outside links."""
-        value = [max(0, c[3] - 2 * c[4]) for c in self.containers]
+        """The innermost container outside of which there are only links and, in other containers, next to no text."""
+        direct = self.direct()
+        value = direct[:]
+        for i in range(len(value) - 1, 0, -1):
+            value[self.containers[i][5]] += value[i]
         inner: dict[int, list[int]] = {}
         for i, c in enumerate(self.containers[1:], 1):
             inner.setdefault(c[5], []).append(i)
-        at = 0
+        at, most = 0, self.nearly_nothing()
         while children := inner.get(at):
             best = max(children, key=lambda i: value[i])
-            if value[best] <= INNER_SHARE * value[at] or not value[best]:
+            if direct[at] or not value[best] or value[0] - value[best] > most:
                 break
             at = best
         return at
 
+    def beside(self, box: int) -> list[str]:
+        """Paths of the outermost containers that hold text and lie outside of a container."""
+        line = {-1}
+        while box >= 0:
+            line.add(box)
+            box = self.containers[box][5]
+        at = max(line)
+        return sorted({c[0] for i, c in enumerate(self.containers) if i not in line and c[5] in line and c[5] != at and c[3]})
+
+    def agreed(self, path: str | None, known: frozenset[str]) -> list[int]:
+        """The containers on the host's path, or the page's own choice if that path leaves text out that the host's
+        other pages do not leave out too."""
+        found = self.on_path(path) if path is not None else []
+        if found and any(self.containers[i][3] for i in found) and self.outside(found, known) <= self.nearly_nothing():
+            return found
+        return [self.choice()]
+
     def on_path(self, path: str) -> list[int]:
         """Containers on a path, outermost ones only, in page order."""
         found, end = [], -1
@@ -248,26 +291,32 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths, sizes = [], []
+            paths, sizes, others = [], [], []
             for source in batch.column("html").to_pylist():
                 page = Page(source)
-                chosen = page.containers[page.choice()]
-                paths.append(chosen[0])
-                sizes.append(chosen[3])
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], names=["host", "path", "size"])
-
-    votes = rows.select("host", "html").mapInArrow(vote, "host string, path string, size long").where("size > 0")
-    counted = votes.groupBy("host", "path").agg(F.count("*").alias("pages"), F.sum("size").alias("size"))
-    winners = counted.groupBy("host").agg(F.max(F.struct("pages", "size", "path")).alias("won")).select("host", F.col("won.path").alias("path"))
+                box = page.choice()
+                paths.append(page.containers[box][0])
+                sizes.append(page.containers[box][3])
+                others.append([None, *page.beside(box)])
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(paths, pa.string()), pa.array(sizes, pa.int64()), pa.array(others, pa.list_(pa.string()))], names=["host", "path", "size", "others"])
+
+    votes = rows.select("host", "html").mapInArrow(vote, "host string, path string, size long, others array<string>").where("size > 0")
+    # The vote itself is the row without another path.
+    counted = votes.select("host", "path", "size", F.explode("others").alias("other")).groupBy("host", "path", "other").agg(F.count("*").alias("pages"), F.sum("size").alias("size"))
+    own = lambda c: F.max(F.when(F.col("other").isNull(), F.col(c))).alias(c)
+    beside = F.collect_list(F.when(F.col("other").isNotNull(), F.struct("other", F.col("pages").alias("n")))).alias("beside")
+    counted = counted.groupBy("host", "path").agg(own("pages"), own("size"), beside)
+    won = counted.groupBy("host").agg(F.max_by(F.struct("pages", "path", "beside"), F.struct("pages", "size", "path")).alias("won"))
+    known = F.transform(F.filter("won.beside", lambda x: 2 * x["n"] >= F.col("won.pages")), lambda x: x["other"])
+    winners = won.select("host", F.col("won.path").alias("path"), known.alias("known"))
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for source, path in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist()):
+            for source, path, known in zip(*(batch.column(c).to_pylist() for c in ("html", "path", "known"))):
                 page = Page(source)
-                text = page.text_of(page.on_path(path)) if path is not None else ""
-                texts.append(text or page.text_of([page.choice()]))
+                texts.append(page.text_of(page.agreed(path, frozenset(known or ()))))
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["key", "url", "text", "n_chars"])
 
-    out = rows.join(winners, "host", "left").select("key", "url", "html", "path").mapInArrow(again, f"key {kind}, url string, text string, n_chars long")
+    out = rows.join(winners, "host", "left").select("key", "url", "html", "path", "known").mapInArrow(again, f"key {kind}, url string, text string, n_chars long")
     return out.withColumnRenamed("key", key).withColumnRenamed("url", url)

@@ -63,6 +63,30 @@ def test_hosts_agree_on_a_path(spark):
     assert html_extract.extract(pages.where("false")).count() == 0
 
 
+LONG = "<p>" + "words of the article " * 40 + "</p>"
+SAME = ("words of the article " * 40).strip()
+
+
+@pytest.mark.parametrize("html, text", [
+    (f"<article><h1>Head</h1><p>A lead.</p><div class=body>{LONG}</div></article>", f"Head A lead. {SAME}"),
+    (f"<article><p>Before it.</p><table><tr><td>{LONG}</td></tr></table><p>After it.</p></article>", f"Before it. {SAME} After it."),
+    (f"<div class=intro><p>This is what it is about.</p></div><div class=body>{LONG}</div>", f"This is what it is about. {SAME}"),
+    (f"<div><div><div>{LONG}</div><div>Sixteen chars one</div></div><div>and then two, three, four</div></div>", f"{SAME} Sixteen chars one and then two, three, four"),
+    (f"<div class=links><p><a href=/>One link</a> <a href=/>Another link</a></p></div><div class=body>{LONG}</div>", SAME),
+])
+def test_nothing_is_lost_around_an_inner_container(html, text):
+    page = Page(f"<body>{html}</body>")
+    assert page.text_of([page.choice()]) == text
+
+
+def test_a_second_template_of_a_host_keeps_its_text(spark):
+    major = f"<body><div class=story>{LONG}</div></body>"
+    minor = f"<body><div class=story><p>A short teaser of something</p></div><div class=gallery>{LONG}</div></body>"
+    rows = [(i, "http://h.example/", major) for i in range(5)] + [(9, "http://h.example/", minor)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == SAME and got[9] == f"A short teaser of something {SAME}"
+
+
 NASTY = ["", "\\", "### ", "</turn>", "</turn>\n", "\\### Assistant: </turn> ok", "\\\\n\\n", "### assistant\nhi</turn>\n", "é😀\n\n", "x" * 5000]
 
 
