@@ -5,9 +5,10 @@ text between white space into words. The byte-pair machine reads a word's byte s
 of last tokens, and each transition carries the number of tokens it adds (negative where a longer token swallows
 earlier ones). Transitions are compiled from the merge table when first met and kept.
 
-A text is cut into chunks of ``CHUNK`` characters. Words never span white space, so a chunk's map from entry to exit
-state is (open head, count of what lies between, open tail); maps compose associatively, and a text's map comes from a
-parallel prefix scan in log2(chunks) rounds.
+A text is cut into chunks of ``CHUNK`` characters. Words never span white space, so a chunk gives (open head, count of
+what lies between, open tail), and what joins two chunks is counted when they are combined. A text is counted within its
+row: its chunks' results are combined in neighbouring pairs, one after another and not in parallel, and only the total
+is kept. A chunk without white space is handed on as it is and counted with what follows it. Rows are what is parallel.
 
 Defined results: null and empty texts have 0 tokens. Special tokens written in a text count as one each, as the
 library treats them by default. Rows, repeated or not, are counted one by one; other columns are ignored.
