@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat_format, exact_dedup, html_extract, jaccard_join, language_id, mixing, packing, quality, token_count
+from . import ann, chat_format, exact_dedup, html_extract, jaccard_join, language_id, mixing, packing, quality, token_count, whitening
 from .common import LOWER, UPPER, crc_mod, table
 
 
@@ -70,6 +70,17 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0, k=5)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, model, error = whitening.whiten(table(spark, sf_dir, "embeddings"), components=32)
+    explained = [float(e / model.trace) for e in model.values]
+    shares = F.array(*[F.lit(e) for e in explained]) if explained else F.array().cast("array<double>")
+    long = rows.select(F.col("key").alias("vec_id"), F.col("deviation").cast("long").alias("deviation"), F.posexplode("whitened").alias("at", "whitened"))
+    return long.select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(shares, F.col("at")).alias("explained"), F.lit(error).alias("identity_error"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -83,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_ngram_jaccard_join,
         op9_source_mixing,
         op10_vector_search,
+        op11_embedding_whitening,
     )
 }
 
