@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat_format, exact_dedup, html_extract, jaccard_join, language_id, mixing, packing, quality, token_count, whitening
+from . import ann, chat_format, exact_dedup, hard_negatives, html_extract, jaccard_join, language_id, mixing, packing, quality, token_count, whitening
 from .common import LOWER, UPPER, crc_mod, table
 
 
@@ -81,6 +81,12 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives.hard_negatives(rows, lambda vec_id: vec_id % 50 == 0, positives=5, negatives=3, window=(50, 95))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -95,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_source_mixing,
         op10_vector_search,
         op11_embedding_whitening,
+        op12_hard_negatives,
     )
 }
 

@@ -21,7 +21,7 @@ than identifier and vector are ignored. A vector without entries has deviation 0
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from decimal import Decimal
 
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship
-from .vectors import EXACT, commonest_length, finite, lists, matrix, whole
+from .vectors import EXACT, commonest_length, finite, lists, matrix, summed, whole
 
 SCALE, SHIFT = 64.0, 1_000_000
 #: The covariance and its reflections are held by the driver: 4096 dimensions are 128 MB a matrix.
@@ -183,20 +183,6 @@ def leading_components(a: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 # ------------------------------------------------------------------ sums over the rows
 
 
-def summed(rows: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], np.ndarray], kind: str, cells: int) -> np.ndarray:
-    """Sum over the tasks of one array of ``cells`` numbers that each task makes."""
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values = make(batches)
-        at = np.flatnonzero(values)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(values[at])], names=["cell", "value"])
-
-    total = rows.mapInArrow(local, f"cell long, value {kind}").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
-    out = np.zeros(cells, np.int64 if kind == "long" else np.float64)
-    out[total["cell"].to_numpy()] = total["value"].to_numpy()
-    return out
-
-
 def products(x: np.ndarray) -> np.ndarray:
     """Sums of products of whole coordinates, exact: by slices in which a double loses nothing."""
     most = int(np.abs(x).max()) if x.size else 0

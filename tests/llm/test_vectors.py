@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from laudospark.llm import queries, whitening
+from laudospark.llm import hard_negatives, queries, whitening
 
 SF = "/root/testdata/sf0.001"
 VECTORS = "vec_id long, embedding array<float>, label int, n int, deviation string, key int"
@@ -101,3 +101,71 @@ def test_whitening_query(spark):
     assert np.allclose(shares, values[:32] / values.sum(), rtol=1e-10)
     w = got.pivot(index="vec_id", columns="component", values="whitened").to_numpy()
     assert np.abs(w.T @ w / len(w) - np.eye(32)).max() < 1e-9 and got["identity_error"].max() < 1e-9
+
+
+def hard_by_force(rows, every=50, k=5, m=3):
+    """Integers and sorted lists; rows are (id, vector, label)."""
+    taken = sorted({(i, tuple(int(np.floor(256 * float(np.float32(c)))) for c in v), l) for i, v, l in rows})
+    out = []
+    for i, a, l in taken:
+        if i % every:
+            continue
+        scored = sorted((-sum(x * y for x, y in zip(a, b)), j, h) for j, b, h in taken if j != i)
+        for p, j, _ in [s for s in scored if s[2] == l][:k]:
+            inside = [(n, o) for n, o, h in scored if h != l and 50 * -p <= 100 * -n <= 95 * -p][:m]
+            out += [(i, j, r, o, -p, -n) for r, (n, o) in enumerate(inside, 1)]
+    return sorted(out)
+
+
+def mined(df):
+    return sorted((r.anchor_id, r.positive_id, r["rank"], r.negative_id, r.positive_score, r.negative_score) for r in df.collect())
+
+
+def test_hilbert_positions_are_a_path():
+    for n, bits in ((1, 4), (2, 4), (3, 3), (5, 2), (6, 1)):
+        cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * n, indexing="ij"), -1).reshape(-1, n)
+        at = hard_negatives.hilbert_positions(cells, bits)
+        assert sorted(at) == list(range(len(cells)))
+        assert (np.abs(np.diff(cells[np.argsort(at)], axis=0)).sum(axis=1) == 1).all()
+
+
+def test_bounds_hold_all_scores():
+    rng = np.random.default_rng(1)
+    a, x = rng.integers(-50, 50, (20, 7)).astype(float), rng.integers(-50, 50, (30, 7)).astype(float)
+    least, most = hard_negatives.bounds(a, x.min(axis=0)[None, :], x.max(axis=0)[None, :])
+    scores = a @ x.T
+    assert (least[:, 0] <= scores.min(axis=1)).all() and (most[:, 0] >= scores.max(axis=1)).all()
+
+
+@pytest.mark.parametrize("block_bytes,group", [(64, 4), (1 << 16, 256)])
+def test_hard_negatives_equal_brute_force(spark, monkeypatch, block_bytes, group):
+    monkeypatch.setattr(hard_negatives, "BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(hard_negatives, "GROUP", group)
+    monkeypatch.setattr(hard_negatives, "SLICE", 6)
+    monkeypatch.setattr(hard_negatives, "COLUMN", 2)
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((4, 5))
+    rows = [(i, (centres[i % 4] + 0.4 * rng.standard_normal(5)).astype(np.float32).tolist(), int(rng.integers(0, 4))) for i in range(300)]
+    same = rows[50][1]
+    rows += [(1000 + i, same, i % 3) for i in range(120)]  # one vector holds many rows, of several labels
+    rows += [rows[3], rows[100], rows[100]]  # repeated rows, one of them an anchor
+    rows += [(2000, [0.0] * 5, 1), (2050, [1.0] * 5, 77)]  # an anchor without direction, an anchor alone with its label
+    bad = [(None, same, 1), (3000, same, None), (3050, None, 1), (3100, [None] * 5, 1), (3150, [float("nan")] * 5, 1), (3200, [1.0, 2.0], 1), (3250, [float("inf")] * 5, 1)]
+    want = hard_by_force(rows)
+    got = mined(hard_negatives.hard_negatives(frame(spark, rows + bad).repartition(5), lambda i: i % 50 == 0))
+    assert len(want) > 60 and got == want
+
+
+def test_hard_negatives_of_next_to_nothing(spark):
+    for rows in ([], [(0, None, 1)], [(0, [], 1)], [(0, [1.0], 1)], [(0, [1.0], 1), (1, [1.0], 1)]):
+        assert mined(hard_negatives.hard_negatives(frame(spark, rows), lambda i: i % 50 == 0)) == []
+    with pytest.raises(OverflowError):
+        hard_negatives.hard_negatives(frame(spark, [(0, [1e30], 1)]), lambda i: i % 50 == 0)
+
+
+def test_hard_negatives_query(spark):
+    got = queries.QUERIES["op12_hard_negatives"](spark, SF)
+    assert ", ".join(f"{c} {t.replace('bigint', 'long')}" for c, t in got.dtypes) == hard_negatives.RESULT
+    source = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+    want = hard_by_force([(r.vec_id, r.embedding, r.label if r.vec_id % 7 else (r.label + 1) % 10) for r in source])
+    assert len(want) == 10 * 5 * 3 and mined(got) == want
