@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat_format, exact_dedup, hard_negatives, html_extract, jaccard_join, language_id, mixing, packing, quality, token_count, whitening
+from . import ann, chat_format, exact_dedup, hard_negatives, html_extract, jaccard_join, language_id, minhash, mixing, packing, quality, token_count, whitening
 from .common import LOWER, UPPER, crc_mod, table
 
 
@@ -87,6 +87,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(rows, lambda vec_id: vec_id % 50 == 0, positives=5, negatives=3, window=(50, 95))
 
 
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.compare_with_next(table(spark, sf_dir, "documents"), n=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -102,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_vector_search,
         op11_embedding_whitening,
         op12_hard_negatives,
+        op13_document_fingerprints,
     )
 }
 
