@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.regex import first_hit, let
 from ..rules import lexicon as L, patterns as R
 from .joins import lookup_join
+from .textjoin import form_hits
 
 FORMS_PER_CHUNK = 500
 
@@ -48,6 +49,20 @@ def kb_term_hits(
     )
 
 
+def kb_term_hits_by_index(
+    reports: DataFrame, terms: DataFrame, text: str = "text", key: str = "report_id", weights: Sequence[str] = (L.HIGH,)
+) -> DataFrame:
+    """The rows of ``kb_term_hits`` for a lexicon of any size: forms are found through an inverted index of their words.
+
+    For some dozens of terms the other function is faster, as it shuffles nothing.
+    """
+    wanted = terms.filter(F.col("peso").isin(*weights))
+    named = F.array_distinct(F.transform(F.array_append(F.col("variantes"), F.col("termo")), F.lower))
+    forms = wanted.select("exam_type", "termo", "peso", F.explode(named).alias("form"))
+    hits = form_hits(reports, forms.select("exam_type", "form"), key, text, by=("exam_type",))
+    return hits.join(forms, ["exam_type", "form"]).select(key, "exam_type", "termo", "peso").distinct()
+
+
 def compound_diagnoses(
     reports: DataFrame,
     compounds: DataFrame,
@@ -59,19 +74,27 @@ def compound_diagnoses(
 ) -> DataFrame:
     """``(key, exam_type, condicao, diagnostico)`` for every rule whose tokens are all among the findings.
 
-    With ``text``, tokens that no parser reports are found in it by ``patterns`` of the row's exam type.
+    A relational division: findings are rows, a report meets the rules filed under one of its own findings, and of those
+    it keeps the ones whose other tokens it has too. With ``text``, tokens that no parser reports are found in it by
+    ``patterns`` of the row's exam type.
     """
     required = F.split("condicao", r" \+ ")
     if aliases:
         names = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
         required = F.transform(required, lambda t: F.coalesce(F.try_element_at(names, t), t))
-    rules = compounds.select("exam_type", "condicao", "diagnostico", required.alias("__required"))
     known = F.coalesce(F.col(findings), F.array().cast("array<string>"))
     if text is not None:
         known = F.array_union(known, found_tokens(F.col(text), F.col("exam_type"), patterns))
-    found = reports.select(key, "exam_type", known.alias("__found"))
+    # A rule is filed under the token that the fewest rules of its type need; only reports with that token look at it.
+    rules = compounds.select("exam_type", "condicao", "diagnostico", F.array_distinct(required).alias("__required"))
+    tokens = rules.select("*", F.explode("__required").alias("token"))
+    needed = tokens.groupBy("exam_type", "token").agg(F.count("*").alias("__rules"))
+    entry = F.min_by("token", F.struct("__rules", "token"))
+    filed = tokens.join(needed, ["exam_type", "token"]).groupBy("exam_type", "condicao", "diagnostico", "__required").agg(entry.alias("token"))
+    found = reports.select(key, "exam_type", F.array_distinct(known).alias("__found"))
+    found = found.select("*", F.explode("__found").alias("token"))
     return (
-        lookup_join(found, rules, "exam_type")
+        found.join(filed, ["exam_type", "token"])
         .filter(F.size(F.array_except("__required", "__found")) == 0)
         .select(key, "exam_type", "condicao", "diagnostico")
     )

@@ -5,9 +5,12 @@ Event and validation tables carry a monotone ``seq``/``id``: timestamps of one s
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..rules import patterns as R
+from .joins import shuffle_partitions
+
 KEPT_WHEN_NULL = ("result_json", "patient_token", "exam_type")
 #: Columns of a job's first event that later ones do not change.
 KEPT_FROM_FIRST = ("filename", "file_path", "created_at")
@@ -75,20 +78,44 @@ def enrich_validations(validations: DataFrame, jobs: DataFrame) -> DataFrame:
     return validations.join(jobs.select("job_id", "patient_token", "exam_type"), "job_id", "left")
 
 
-def enrich_validations_as_of(validations: DataFrame, events: DataFrame, at: str = "seq") -> DataFrame:
-    """Validations with the token and exam type their job had when they were made.
+def in_ranges(rows: DataFrame, at: str, ranges: int, name: str = "__range") -> DataFrame:
+    """Add the number of the range of ``at`` that a row is in; ranges hold about as many rows each."""
+    inner = [i / ranges for i in range(1, ranges)]
+    found = rows.select(F.percentile_approx(F.col(at).cast("double"), inner, 20 * ranges)).first()[0] if inner else None
+    splits = sorted(set(found or []))
+    if not splits:
+        return rows.withColumn(name, F.lit(0.0))
+    bucketizer = Bucketizer(splits=[float("-inf"), *splits, float("inf")], inputCol="__at_double", outputCol=name)
+    return bucketizer.transform(rows.withColumn("__at_double", F.col(at).cast("double"))).drop("__at_double")
+
 
-    ``validations`` carry in ``at`` the number of the last event before them. Both kinds of rows go through one window
-    per job in order of number, so there is no join of every event with every validation.
+def enrich_validations_as_of(validations: DataFrame, events: DataFrame, at: str = "seq", ranges: int | None = None) -> DataFrame:
+    """Validations with the token and exam type their job had when they were made; NULL before the job's first event.
+
+    ``validations`` carry in ``at`` the number of the last event before them. A scan that is split by ranges of event
+    numbers, as many as shuffle partitions if not given: within a task each (job, range) keeps its last known values; per
+    job these few rows are carried on from range to range; then events and the distinct points asked for go through one
+    window per (job, range). So a job that holds a third of all events is spread over all ranges, and validations made at
+    one point are one row until the answers are joined back. Without a job or number the answer is NULL.
     """
+    known = ("patient_token", "exam_type")
+    ranges = ranges or max(2, shuffle_partitions(events))
+    points = validations.select("job_id", F.col(at).cast("long").alias("__at")).where("job_id is not null and __at is not null").distinct()
+    empty = [F.lit(None).cast(events.schema[c].dataType).alias(c) for c in known]
+    told = events.select("job_id", F.col("seq").cast("long").alias("__at"), F.lit(0).alias("__asks"), *known)
+    rows = in_ranges(told.unionByName(points.select("job_id", "__at", F.lit(1).alias("__asks"), *empty)), "__at", ranges)
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("__at"))).alias(c) for c in known]
+    held = rows.groupBy("job_id", "__range").agg(*last)
+    before = Window.partitionBy("job_id").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = held.select("job_id", "__range", *[F.last(c, ignorenulls=True).over(before).alias(f"__{c}") for c in known])
+    so_far = Window.partitionBy("job_id", "__range").orderBy("__at", "__asks").rowsBetween(Window.unboundedPreceding, 0)
+    answers = rows.join(carried, ["job_id", "__range"]).select(
+        "job_id", "__at", "__asks", *[F.coalesce(F.last(c, ignorenulls=True).over(so_far), F.col(f"__{c}")).alias(c) for c in known]
+    )
+    answers = answers.where("__asks = 1").drop("__asks")
+    asked = validations.withColumn("__at", F.col(at).cast("long"))
     columns = [F.col(c) for c in validations.columns]
-    empty = [F.lit(None).cast(events.schema[c].dataType).alias(c) for c in ("patient_token", "exam_type")]
-    asked = validations.select("job_id", F.col(at).alias("__at"), F.lit(1).alias("__kind"), F.struct(*columns).alias("__row"), *empty)
-    row = F.lit(None).cast(asked.schema["__row"].dataType)
-    told = events.select("job_id", F.col("seq").alias("__at"), F.lit(0).alias("__kind"), row.alias("__row"), "patient_token", "exam_type")
-    order = Window.partitionBy("job_id").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    known = [F.last(c, ignorenulls=True).over(order).alias(c) for c in ("patient_token", "exam_type")]
-    return asked.unionByName(told).select("__row", *known).where("__row is not null").select("__row.*", "patient_token", "exam_type")
+    return asked.join(answers, ["job_id", "__at"], "left").select(*columns, *known)
 
 
 def lexical_feedback(validations: DataFrame, jobs: DataFrame) -> DataFrame:

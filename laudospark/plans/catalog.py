@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import classify as C, entities as E, header as H, redact as P
 from ..functions.regex import compute_once
-from ..operators import cases, feedback as FB, gates as G, knowledge as K, prompts as PR, state as S
+from ..operators import cases, feedback as FB, gates as G, knowledge as K, prompts as PR, state as S, textjoin as T
 from ..rules import patterns as R
 from ..sources import readers, writers
 from ..sources.lexicon import builtin_lexicon, kb_compounds as lexicon_compounds, kb_terms as lexicon_terms
@@ -176,6 +176,7 @@ def scan_reports_json(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _state(spark: SparkSession, sf: str, view: str) -> DataFrame:
+    """A derived table that is stored first, as state and rule tables are."""
     out = work_folder(spark, view)
     load(spark, sf, view).write.parquet(out)
     return readers.read_state(spark, out)
@@ -572,11 +573,45 @@ def kb_variant_hits(spark: SparkSession, sf: str) -> DataFrame:
     return K.kb_term_hits(load(spark, sf, "rule_reports"), terms, weights=("ALTO", "MÉDIO", "BAIXO"))
 
 
+@query
+def kb_term_hits_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """The built-in lexicon through the inverted index."""
+    terms, _ = builtin_lexicon(spark)
+    return K.kb_term_hits_by_index(typed_reports(spark, sf), terms)
+
+
+@query
+def form_hits_large(spark: SparkSession, sf: str) -> DataFrame:
+    """A hundred forms drawn from each document, looked for in all documents of their language."""
+    docs = load(spark, sf, "documents").select("doc_id", F.col("lang").alias("exam_type"), "text")
+    hits = T.form_hits(docs, _state(spark, sf, "word_forms"), "doc_id", by=("exam_type",))
+    return hits.groupBy("doc_id", "exam_type").agg(
+        F.count("*").alias("forms"), F.sum(F.length("form")).alias("form_chars"), F.min("form").alias("first_form"), F.max("form").alias("last_form")
+    )
+
+
+@query
+def classify_by_rule_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document scored with a rule table of ten forms per document, whatever its language."""
+    rules = _state(spark, sf, "rule_forms").select("exam_type", "form")
+    return T.classify_by_rules(load(spark, sf, "documents"), rules, "doc_id", default=R.UNKNOWN_EXAM)
+
+
+@query
+def compound_diagnoses_many_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Thousands of rules of two and three tokens over findings that come as rows."""
+    found = load(spark, sf, "line_findings").groupBy("report_id", "exam_type").agg(F.collect_set("token").alias("achados"))
+    fired = K.compound_diagnoses(found, _state(spark, sf, "line_rules"), aliases={})
+    return fired.groupBy("report_id", "exam_type").agg(
+        F.count("*").alias("rules"), F.count_if(F.col("diagnostico") == "d3").alias("of_three"), F.min("condicao").alias("first_rule"), F.max("condicao").alias("last_rule")
+    )
+
+
 @query
 def enrich_validations_as_of(spark: SparkSession, sf: str) -> DataFrame:
-    """Type and token of the job as of each validation; validations are made after some of the job's events."""
+    """Type and token of the job as of each validation; one validation is made after each event."""
     events = load(spark, sf, "job_events")
-    made = events.where("seq % 3 = 0").select(F.col("seq").alias("id"), "job_id", "seq")
+    made = events.select(F.col("seq").alias("id"), "job_id", "seq")
     return S.enrich_validations_as_of(made, events).select("id", "job_id", "patient_token", "exam_type")
 
 

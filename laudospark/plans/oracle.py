@@ -540,6 +540,26 @@ O["kb_variant_hits"] = with_views("rule_reports", _RULES_LOW, *KB) + (
     "(SELECT exam_type, termo, peso, unnest(list_append(variantes, termo)) AS form FROM terms) t "
     "ON r.exam_type = t.exam_type AND contains(r.low, lower(t.form))"
 )
+O["kb_term_hits_indexed"] = O["kb_term_hits"]
+O["form_hits_large"] = with_views(
+    "word_forms", "lows AS (SELECT doc_id, lang, lower(text) AS low FROM documents)", "fs AS (SELECT DISTINCT exam_type, lower(form) AS form FROM word_forms)"
+) + (
+    "SELECT doc_id, exam_type, count(*) AS forms, sum(length(form)) AS form_chars, min(form) AS first_form, max(form) AS last_form "
+    "FROM lows JOIN fs ON lang = exam_type AND contains(low, form) GROUP BY ALL"
+)
+O["classify_by_rule_table"] = with_views(
+    "rule_forms", "lows AS (SELECT doc_id, lower(text) AS low FROM documents)", "fs AS (SELECT DISTINCT exam_type, lower(form) AS form FROM rule_forms)",
+    "scores AS (SELECT doc_id, exam_type, count(*) AS score FROM lows JOIN fs ON contains(low, form) GROUP BY ALL)",
+    "best AS (SELECT doc_id, exam_type, score FROM scores QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, exam_type) = 1)",
+) + f"SELECT doc_id, coalesce(exam_type, {q(R.UNKNOWN_EXAM)}) AS exam_type, coalesce(score, 0) AS score FROM lows LEFT JOIN best USING (doc_id)"
+O["compound_diagnoses_many_rules"] = with_views(
+    "line_findings line_rules", "needs AS (SELECT DISTINCT exam_type, condicao, diagnostico, unnest(string_split(condicao, ' + ')) AS token FROM line_rules)",
+    "sizes AS (SELECT exam_type, condicao, count(*) AS n FROM needs GROUP BY ALL)",
+    "met AS (SELECT report_id, exam_type, condicao, diagnostico, count(*) AS n FROM (SELECT DISTINCT * FROM line_findings) JOIN needs USING (exam_type, token) GROUP BY ALL)",
+) + (
+    "SELECT report_id, exam_type, count(*) AS rules, count(*) FILTER (WHERE diagnostico = 'd3') AS of_three, min(condicao) AS first_rule, max(condicao) AS last_rule "
+    "FROM met JOIN sizes USING (exam_type, condicao, n) GROUP BY ALL"
+)
 _NUMBER = r"(?i)" + R.AHI
 O["severity_by_range"] = with_views(
     "reports", f"idx AS (SELECT report_id, TRY_CAST(replace({group('text', _NUMBER)}, ',', '.') AS DOUBLE) AS iah FROM reports)"
@@ -709,7 +729,7 @@ O["export_tables"] = FEEDBACK + " UNION ALL ".join([exported("jobs", "jobs", _JO
 O["enrich_validations_as_of"] = with_views("job_events") + (
     "SELECT id, job_id, patient_token, exam_type FROM (SELECT seq AS id, job_id, last_value(patient_token IGNORE NULLS) OVER w AS patient_token, "
     "last_value(exam_type IGNORE NULLS) OVER w AS exam_type FROM job_events "
-    "WINDOW w AS (PARTITION BY job_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE id % 3 = 0"
+    "WINDOW w AS (PARTITION BY job_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"
 )
 O["job_full_rows"] = with_views("job_events") + (
     "SELECT job_id, arg_min(message, seq) || '.pdf' AS filename, arg_max(exam_type, seq) FILTER (WHERE exam_type IS NOT NULL) AS exam_type, "

@@ -178,6 +178,39 @@ SELECT o_orderkey AS report_id,
 FROM orders
 """
 
+_DIGITS = "(" + " UNION ALL ".join(f"SELECT {i}" + " AS k" * (i == 0) for i in range(10)) + ")"
+
+
+def word_forms(per_document: str) -> str:
+    """Forms cut out of documents: three words, the end of one and the next, one and the beginning of the next, a part."""
+    return f"""
+SELECT exam_type, rule_id, form FROM (SELECT lang AS exam_type, rule_id,
+  CASE k % 4 WHEN 0 THEN w1 || ' ' || w2 || ' ' || w3 WHEN 1 THEN substr(w1, 3) || ' ' || w2 WHEN 2 THEN w1 || ' ' || substr(w2, 1, 3) ELSE substr(w1, 2, 6) END AS form
+  FROM (SELECT lang, doc_id * 100 + k AS rule_id, k, split_part(t, ' ', 2) AS w1, split_part(t, ' ', 3) AS w2, split_part(t, ' ', 4) AS w3
+    FROM (SELECT doc_id, lang, k, substr(lower(text), CAST(1 + (doc_id * 71 + k * 137) % (1 + length(text)) AS INT), 90) AS t
+      FROM documents CROSS JOIN {per_document} ks) a) b) c
+WHERE length(form) >= 5
+"""
+
+
+WORD_FORMS = word_forms(f"(SELECT a.k * 10 + b.k AS k FROM {_DIGITS} a CROSS JOIN {_DIGITS} b)")
+RULE_FORMS = word_forms(_DIGITS)
+
+_KIND = "CASE {0}.l_orderkey % 3 WHEN 0 THEN 'audiometria' WHEN 1 THEN 'bera' ELSE 'tomografia' END"
+_TOKEN = "'q' || CAST(CAST({0}.l_quantity AS INT) AS STRING)"
+
+LINE_FINDINGS = f"SELECT a.l_orderkey AS report_id, {_KIND.format('a')} AS exam_type, {_TOKEN.format('a')} AS token FROM lineitem a"
+
+# Rules of two and of three tokens, those of the first lines of an order.
+LINE_RULES = f"""
+SELECT DISTINCT {_KIND.format('a')} AS exam_type, {_TOKEN.format('a')} || ' + ' || {_TOKEN.format('b')} AS condicao, 'd2' AS diagnostico
+FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2
+UNION
+SELECT DISTINCT {_KIND.format('a')}, {_TOKEN.format('a')} || ' + ' || {_TOKEN.format('b')} || ' + ' || {_TOKEN.format('c')}, 'd3'
+FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2
+JOIN lineitem c ON a.l_orderkey = c.l_orderkey AND c.l_linenumber = 3
+"""
+
 VIEWS = {
     "reports": (REPORTS, ["orders", "customer"]),
     "ocr_candidates": (OCR_CANDIDATES, ["orders"]),
@@ -191,6 +224,10 @@ VIEWS = {
     "raw_dates": (RAW_DATES, ["orders"]),
     "uploaded_files": (UPLOADED_FILES, ["documents"]),
     "rule_reports": (RULE_REPORTS, ["orders"]),
+    "word_forms": (WORD_FORMS, ["documents"]),
+    "rule_forms": (RULE_FORMS, ["documents"]),
+    "line_findings": (LINE_FINDINGS, ["lineitem"]),
+    "line_rules": (LINE_RULES, ["lineitem"]),
     "documents": ("SELECT doc_id, text, lang, source FROM documents", ["documents"]),
 }
 

@@ -103,6 +103,32 @@ def test_validations_as_of(spark):
     assert got == {1: ("p1", None), 2: ("p1", "bera"), 3: ("p1", "bera"), 4: ("p2", "tc"), 5: (None, None), 6: (None, None)}
 
 
+def test_validations_as_of_with_one_job_that_holds_a_third(spark):
+    rng = random.Random(6)
+    events = make_events(n=900, jobs=20, seed=8)
+    checks = [(i, rng.choice([0, 0, rng.randrange(22), None]), rng.choice([rng.randrange(-5, 950), 400, None])) for i in range(700)]
+    e = spark.createDataFrame(events, EVENT)
+    c = spark.createDataFrame(checks, "id int, job_id int, seq long")
+    want = {}
+    for i, job, at in checks:
+        state = folded([r for r in events if r[0] == job and at is not None and r[1] <= at]).get(job, {})
+        want[i] = (state.get("patient_token"), state.get("exam_type"))
+    for ranges in (1, 2, 16, None):
+        got = S.enrich_validations_as_of(c, e, ranges=ranges)
+        assert got.columns == ["id", "job_id", "seq", "patient_token", "exam_type"]
+        assert {r.id: (r.patient_token, r.exam_type) for r in got.collect()} == want
+    assert got.count() == len(checks)
+    # No window gathers the large job: its events lie in many ranges of about even size.
+    split = S.in_ranges(e.select("job_id", F.col("seq").alias("__at")), "__at", 16)
+    sizes = [r["count"] for r in split.where("job_id = 0").groupBy("__range").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < sum(sizes) / 8
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert len(windows) == 2 and any("__range" in w.split("], [")[1] for w in windows), plan
+    assert S.enrich_validations_as_of(c, e.where("false")).where("exam_type is not null").count() == 0
+    assert S.enrich_validations_as_of(c.where("false"), e).count() == 0
+
+
 def test_folded_jobs_are_full_rows(spark):
     schema = EVENT + ", filename string, file_path string, created_at int, at int"
     rows = [("queued", "n.pdf", "/up/n.pdf", 5, 5), ("completed", None, None, None, 9), ("failed", "other", None, 7, 7)]
