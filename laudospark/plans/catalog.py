@@ -14,7 +14,7 @@ from ..functions import classify as C, entities as E, header as H, redact as P
 from ..functions.regex import compute_once
 from ..operators import cases, feedback as FB, gates as G, knowledge as K, prompts as PR, state as S, textjoin as T
 from ..rules import patterns as R
-from ..sources import readers, writers
+from ..sources import keyed, readers, writers
 from ..sources.lexicon import builtin_lexicon, kb_compounds as lexicon_compounds, kb_terms as lexicon_terms
 from ..session import work_folder
 from ..streaming import jobs as ST
@@ -149,6 +149,18 @@ def write_results(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("report_id", "exam_type", "status", "patient_token", *[F.get_json_object("result_json", f"$.{f}").alias(f) for f in fields])
 
 
+@query
+def update_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Two batches with repeated keys merged into the keyed table, the second one twice; the table as read back."""
+    out = work_folder(spark, "keyed")
+    events = load(spark, sf, "job_events")
+    middle = events.agg(F.median("seq")).first()[0] or 0
+    early, late = events.where(F.col("seq") <= middle), events.where(F.col("seq") > middle)
+    for batch in (early, late, late):
+        keyed.update_results(batch, out, buckets=16)
+    return keyed.read_results(spark, out)
+
+
 @query
 def distinct_tokens(spark: SparkSession, sf: str) -> DataFrame:
     history = FB.patients_with_history(pipeline(spark, sf))
@@ -840,10 +852,24 @@ def stream_job_state(spark: SparkSession, sf: str) -> DataFrame:
     return ST.read_job_state(spark, f"{out}/state")
 
 
-@query
-def stream_validations(spark: SparkSession, sf: str) -> DataFrame:
+def _validation_stream(spark: SparkSession, sf: str, jobs) -> str:
     out = work_folder(spark, "stream")
     validations = spark.sql(qualified(VALIDATIONS, ["labels"]), labels=_stream_table(spark, sf, "labels"))
-    jobs = load(spark, sf, "jobs")
-    ST.stream_validations(validations, jobs, f"{out}/counts", f"{out}/checkpoint").awaitTermination()
-    return ST.read_validation_counts(spark, f"{out}/counts")
+    ST.stream_validations(validations, jobs, f"{out}/validations", f"{out}/checkpoint").awaitTermination()
+    return f"{out}/validations"
+
+
+@query
+def stream_validations(spark: SparkSession, sf: str) -> DataFrame:
+    return ST.read_validation_counts(spark, _validation_stream(spark, sf, load(spark, sf, "jobs")))
+
+
+@query
+def stream_enriched_validations(spark: SparkSession, sf: str) -> DataFrame:
+    """Validations joined batch by batch to the state that the stream of job events has left."""
+    state = work_folder(spark, "stream")
+    events = spark.sql(qualified(JOB_EVENTS, ["events"]), events=_stream_table(spark, sf, "events"))
+    ST.stream_job_state(events, f"{state}/state", f"{state}/checkpoint").awaitTermination()
+    out = _validation_stream(spark, sf, lambda batch: ST.read_job_state(spark, f"{state}/state"))
+    rows = ST.read_enriched_validations(spark, out)
+    return rows.select("id", "job_id", "patient_token", "exam_type", "is_correct", "corrections", text("validated_at"))

@@ -638,12 +638,13 @@ O["create_job_new"] = with_views("job_events validations") + (
     "SELECT job_id, seq, status FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq) AS rn FROM job_events) "
     "WHERE rn = 1 AND job_id NOT IN (SELECT job_id FROM validations)"
 )
-O["job_current_state"] = O["stream_job_state"] = with_views("job_events") + (
+_FOLDED = (
     "SELECT DISTINCT job_id, max(seq) OVER w AS seq, last_value(status) OVER w AS status, last_value(message) OVER w AS message, "
     "last_value(nullif(result_json, '{}') IGNORE NULLS) OVER w AS result_json, last_value(patient_token IGNORE NULLS) OVER w AS patient_token, "
     "last_value(exam_type IGNORE NULLS) OVER w AS exam_type, max(\"at\") OVER w AS updated_at FROM job_events "
     "WINDOW w AS (PARTITION BY job_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
 )
+O["job_current_state"] = O["stream_job_state"] = O["update_results"] = with_views("job_events") + _FOLDED
 ENRICHED = (
     "enriched AS (SELECT v.id, v.job_id, j.patient_token, j.exam_type, v.is_correct, v.corrections, v.validated_at, j.filename "
     "FROM validations v LEFT JOIN jobs j ON v.job_id = j.job_id)",
@@ -737,3 +738,6 @@ O["job_full_rows"] = with_views("job_events") + (
     "CAST(arg_min(\"at\", seq) AS VARCHAR) AS created_at, '/up/' || CAST(min(seq) AS VARCHAR) AS file_path, CAST(max(\"at\") AS VARCHAR) AS updated_at "
     "FROM job_events GROUP BY job_id"
 )
+O["stream_enriched_validations"] = with_views("job_events validations", f"folded AS ({_FOLDED})") + (
+    "SELECT id, job_id, patient_token, exam_type, is_correct, corrections, CAST(validated_at AS VARCHAR) AS validated_at FROM validations LEFT JOIN folded USING (job_id)"
+)

@@ -6,13 +6,15 @@ query. The default trigger processes what is there and stops; pass ``processing_
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from ..operators.state import fold_job_events
+from ..operators.state import enrich_validations, fold_job_events
 from ..plans.pipeline import run_pipeline
+from ..session import folder_names, remove_folder
 from ..sources.writers import result_rows
 
 
@@ -35,14 +37,11 @@ COMPACT_AFTER = 16
 
 def _entries(spark: SparkSession, path: str) -> dict[str, list[int]]:
     """Numbers of the finished snapshots and versions below a folder."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
     found: dict[str, list[int]] = {"snapshot": [], "version": []}
-    if system.exists(where):
-        for status in system.listStatus(where):
-            kind, _, number = status.getPath().getName().partition("=")
-            if kind in found and system.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-                found[kind].append(int(number))
+    for name in folder_names(spark, path):
+        kind, _, number = name.partition("=")
+        if kind in found and "_SUCCESS" in folder_names(spark, f"{path}/{name}"):
+            found[kind].append(int(number))
     return {k: sorted(v) for k, v in found.items()}
 
 
@@ -56,6 +55,17 @@ def _versions(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     return reduce(DataFrame.unionByName, parts), len(later)
 
 
+def _forget(spark: SparkSession, path: str) -> None:
+    """Remove what the last snapshot but one covers; readers of the newest one keep what they are reading."""
+    found = _entries(spark, path)
+    if len(found["snapshot"]) > 1:
+        last = found["snapshot"][-2]
+        for kind, numbers in found.items():
+            for n in numbers:
+                if n < last or (kind == "version" and n == last):
+                    remove_folder(spark, f"{path}/{kind}={n}")
+
+
 def _newest(versions: DataFrame, key: str) -> DataFrame:
     columns = [c for c in versions.columns if c not in (key, "version")]
     return versions.groupBy(key).agg(F.max_by(F.struct(*columns), F.col("version")).alias("row")).select(key, "row.*")
@@ -68,6 +78,7 @@ def _write_version(path: str, key: str, compact_after: int, make=lambda batch: b
         versions, n = _versions(batch.sparkSession, path)
         if n >= compact_after:
             _newest(versions, key).write.mode("overwrite").parquet(f"{path}/snapshot={batch_id}")
+            _forget(batch.sparkSession, path)
 
     return write
 
@@ -86,23 +97,51 @@ def read_job_state(spark: SparkSession, path: str) -> DataFrame:
     return _newest(_versions(spark, path)[0], "job_id")
 
 
+def _later(spark: SparkSession, totals: str, batch_id: int, counts: DataFrame) -> DataFrame:
+    """Totals of the newest version before the batch, with its counts added."""
+    earlier = [v for v in _entries(spark, totals)["version"] if v < batch_id]
+    if not earlier:
+        return counts
+    return spark.read.parquet(f"{totals}/version={earlier[-1]}").unionByName(counts).groupBy("exam_type").agg(F.sum("validations").alias("validations"))
+
+
 def stream_validations(
-    validations: DataFrame, jobs: DataFrame, path: str, checkpoint: str, processing_time: str | None = None
+    validations: DataFrame,
+    jobs: DataFrame | Callable[[DataFrame], DataFrame],
+    path: str,
+    checkpoint: str,
+    processing_time: str | None = None,
 ) -> StreamingQuery:
-    """Validations counted per job by the stream and per exam type by each batch, which writes all counts.
-
-    The (static) jobs meet one row per job, so a job with very many validations is no hot key.
+    """New validations with token and exam type of their job, each once, and running counts per exam type.
+
+    ``jobs`` is a table, or a function that gives the jobs' state for a batch, so that each batch is joined to the newest
+    one: ``lambda batch: read_job_state(spark, path)``, or ``read_results(spark, path, batch)``, which reads only the
+    buckets that the batch needs. Validations without a job, or before its type is known, have NULLs and are not counted.
+    A batch writes its own rows to a folder of its own and its counts, added to the totals before it, to another; one
+    that is run again writes the same folders again. Nothing is kept in a state store, and nothing that was written
+    before is read, but for the totals, a row per exam type.
     """
 
-    def by_exam(counts: DataFrame) -> DataFrame:
-        kinds = counts.join(jobs.select("job_id", "exam_type"), "job_id").filter(F.col("exam_type").isNotNull())
-        return kinds.groupBy("exam_type").agg(F.sum("n").alias("validations"))
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        state = jobs(batch) if callable(jobs) else jobs
+        rows = f"{path}/rows/batch={batch_id}"
+        enrich_validations(batch, state).write.mode("overwrite").parquet(rows)
+        known = spark.read.schema(enrich_validations(batch, state).schema).parquet(rows).where("exam_type is not null")
+        counts = known.groupBy("exam_type").agg(F.count("*").alias("validations"))
+        _later(spark, f"{path}/totals", batch_id, counts).write.mode("overwrite").parquet(f"{path}/totals/version={batch_id}")
+        for old in [v for v in _entries(spark, f"{path}/totals")["version"] if v < batch_id - 1]:
+            remove_folder(spark, f"{path}/totals/version={old}")
+
+    return _start(validations.writeStream.foreachBatch(write), checkpoint, processing_time)
+
 
-    counts = validations.groupBy("job_id").agg(F.count("*").alias("n"))
-    write = _write_version(path, "exam_type", 1, by_exam)
-    return _start(counts.writeStream.outputMode("complete").foreachBatch(write), checkpoint, processing_time)
+def read_enriched_validations(spark: SparkSession, path: str) -> DataFrame:
+    """All rows that the stream has written."""
+    return spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows").drop("batch")
 
 
 def read_validation_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Counts of the newest version."""
-    return _newest(_versions(spark, path)[0], "exam_type")
+    """Counts per exam type after the newest batch."""
+    last = max(_entries(spark, f"{path}/totals")["version"])
+    return spark.read.parquet(f"{path}/totals/version={last}")

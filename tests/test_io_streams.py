@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from laudospark.operators import feedback as FB, gates as G, state as S
 from laudospark.plans.pipeline import run_pipeline
-from laudospark.sources import readers, writers
+from laudospark.sources import keyed, readers, writers
 from laudospark.streaming import jobs as ST
 from test_state import EVENT, as_state, folded, make_events, tables
 
@@ -115,9 +115,107 @@ def test_work_folder_must_be_shared():
         work_folder(session(None, "yarn"), "x")
 
 
-def test_stream_validations_equals_batch(spark, tmp_path):
+def folders(path):
+    return sorted(p.name for p in path.iterdir() if p.is_dir() and not p.name.startswith(("_", ".")))
+
+
+@pytest.mark.parametrize("callable_jobs", [False, True])
+def test_stream_validations_equals_batch(spark, tmp_path, callable_jobs):
     jobs, checks, enriched = tables(spark)
     checks.repartition(4).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(checks.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    ST.stream_validations(stream, jobs, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    given = (lambda batch: jobs.join(batch.select("job_id").distinct(), "job_id", "left_semi")) if callable_jobs else jobs
+    for _ in range(2):  # a second start finds nothing new
+        ST.stream_validations(stream, given, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert dict(map(tuple, ST.read_validation_counts(spark, str(tmp_path / "out")).collect())) == dict(map(tuple, FB.validations_by_exam(checks, jobs).collect()))
+    rows = ST.read_enriched_validations(spark, str(tmp_path / "out"))
+    assert sorted(map(str, rows.select(*enriched.columns).collect())) == sorted(map(str, enriched.collect()))
+    # A batch writes its own rows only, and old totals go.
+    batches = folders(tmp_path / "out" / "rows")
+    sizes = [spark.read.parquet(str(tmp_path / "out" / "rows" / b)).count() for b in batches]
+    assert sum(sizes) == len(checks.collect()) and max(sizes) < sum(sizes) and len(folders(tmp_path / "out" / "totals")) <= 2
+
+
+def test_a_validation_batch_that_runs_again_changes_nothing(spark, tmp_path):
+    jobs, checks, _ = tables(spark)
+    written = {}
+
+    class Writer:  # keeps the function that Spark would call for each batch
+        def foreachBatch(self, f):
+            written["f"] = f
+            return self
+
+        def option(self, *_):
+            return self
+
+        def trigger(self, **_):
+            return self
+
+        def start(self):
+            return None
+
+    class Stream:
+        writeStream = Writer()
+
+    ST.stream_validations(Stream(), jobs, str(tmp_path / "out"), str(tmp_path / "ck"))
+    parts = [checks.where("id <= 3"), checks.where("id > 3")]
+    for i in (0, 1, 1, 1):
+        written["f"](parts[i], i)
+    assert dict(map(tuple, ST.read_validation_counts(spark, str(tmp_path / "out")).collect())) == dict(map(tuple, FB.validations_by_exam(checks, jobs).collect()))
+    assert ST.read_enriched_validations(spark, str(tmp_path / "out")).count() == checks.count()
+
+
+def test_snapshots_take_the_place_of_what_they_cover(spark, tmp_path):
+    rows = make_events()
+    spark.createDataFrame(rows, EVENT).repartition(8).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    ST.stream_job_state(stream, str(tmp_path / "out"), str(tmp_path / "ck"), compact_after=2).awaitTermination()
+    assert len(folders(tmp_path / "out")) < 8
+    assert as_state(ST.read_job_state(spark, str(tmp_path / "out"))) == folded(rows)
+
+
+def test_keyed_table_equals_the_fold(spark, tmp_path):
+    rows = sorted(make_events(n=400, jobs=40), key=lambda r: r[1])
+    path = str(tmp_path / "keyed")
+    df = lambda some: spark.createDataFrame(some, EVENT)
+    for batch in (rows[:150], rows[150:300], rows[150:300], rows[300:]):
+        keyed.update_results(df(batch), path, buckets=8)
+    assert as_state(keyed.read_results(spark, path)) == folded(rows)
+    # Null result, token and type of a later batch keep what was there.
+    before = folded(rows)[0]
+    keyed.update_results(df([(0, 999, "failed", "late", None, None, None)]), path, buckets=8)
+    after = as_state(keyed.read_results(spark, path))[0]
+    assert after == before | {"seq": 999, "status": "failed", "message": "late"}
+    assert keyed.update_results(df([]), path, buckets=8) == 0
+    with pytest.raises(ValueError):
+        keyed.update_results(df(rows[:1]), path, buckets=9)
+
+
+def test_keyed_table_touches_only_its_buckets(spark, tmp_path):
+    rows = make_events(n=400, jobs=60)
+    path = tmp_path / "keyed"
+    keyed.update_results(spark.createDataFrame(rows, EVENT), str(path), buckets=16)
+    files = lambda: {p for p in (path / "of=16").rglob("*.parquet")}
+    before = files()
+    one = spark.createDataFrame([(7, 5000, "completed", "m", "r", None, None)], EVENT)
+    assert keyed.update_results(one, str(path), buckets=16) == 1
+    kept, gone = before & files(), before - files()
+    assert kept and {p.parent.name for p in gone} == {p.parent.name for p in files() - before} and len({p.parent.name for p in gone}) == 1
+    some = keyed.read_results(spark, str(path), one)
+    assert [r.job_id for r in some.collect()] == [7] and len(some.inputFiles()) == 1
+
+
+def test_keyed_table_finishes_a_lost_batch(spark, tmp_path):
+    rows = sorted(make_events(n=200, jobs=30), key=lambda r: r[1])
+    path = tmp_path / "keyed"
+    df = lambda some: spark.createDataFrame(some, EVENT)
+    keyed.update_results(df(rows[:100]), str(path), buckets=4)
+    whole = S.merge_state(keyed.read_results(spark, str(path)), df(rows[100:])).withColumn("bucket", keyed._bucket("job_id", 4))
+    whole.write.parquet(str(path / "_pending"))  # merged rows are aside, and one bucket is already gone
+    lost = sorted((path / "of=4").glob("bucket=*"))[0]
+    for p in lost.iterdir():
+        p.unlink()
+    with pytest.raises(ValueError):
+        keyed.read_results(spark, str(path))
+    keyed.finish_update(spark, str(path))
+    assert as_state(keyed.read_results(spark, str(path))) == folded(rows)
