@@ -85,3 +85,57 @@ def normalize_cases(df: DataFrame, answer: str = "answer") -> DataFrame:
             at("$.valores_exame.timpanometria_OE").alias("timpanometria_oe"),
         )
     )
+
+
+def nesting(json: Column) -> Column:
+    """How deep objects and arrays are nested in a JSON text."""
+    without_texts = F.regexp_replace(json, r'"(?:[^"\\]|\\.)*+"', "")
+    brackets = F.filter(F.split(F.regexp_replace(without_texts, r"[^\[\]{}]", ""), ""), lambda c: c != "")
+
+    def step(acc: Column, c: Column) -> Column:
+        now = acc["now"] + F.when(c.isin("{", "["), 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.aggregate(brackets, start, step, lambda acc: acc["most"])
+
+
+def answer_schema(df: DataFrame, answer: str = "answer") -> str | None:
+    """The schema into which those of all readable answers merge, as text; NULL when none is readable."""
+    doc = F.try_parse_json(strip_code_fence(F.col(answer)))
+    return df.agg(F.schema_of_variant_agg(doc)).first()[0]
+
+
+def drift_report(df: DataFrame, answer: str = "answer") -> DataFrame:
+    """``(path, kind, documents)``: in how many answers each path of the JSON documents holds each kind of value.
+
+    The path of the document is ``$``; ``[]`` stands for any element of an array. An answer without a fence is counted
+    under ``$`` as ``absent``, one whose fence holds no JSON as ``unreadable``. One pass finds how deep documents go; a
+    document is then walked level by level inside its row, and only its distinct (path, kind) pairs leave it, to be
+    counted with partial counts per task. ``answer_schema`` has the same documents as one merged schema.
+    """
+    levels = df.select(F.max(nesting(strip_code_fence(F.col(answer))))).first()[0] or 0
+    nodes = "array<struct<path: string, v: variant>>"
+
+    def children(n: Column) -> Column:
+        fields = F.map_entries(F.try_variant_get(n["v"], "$", "map<string, variant>"))
+        items = F.try_variant_get(n["v"], "$", "array<variant>")
+        inner = F.transform(fields, lambda e: F.struct(F.concat(n["path"], F.lit("."), e["key"]).alias("path"), e["value"].alias("v")))
+        elements = F.transform(items, lambda x: F.struct(F.concat(n["path"], F.lit("[]")).alias("path"), x.alias("v")))
+        return F.coalesce(inner, elements, F.array().cast(nodes))
+
+    rows = df.select(strip_code_fence(F.col(answer)).alias("__json"))
+    rows = rows.select("__json", F.try_parse_json("__json").alias("__doc"))
+    rows = rows.withColumn("__level0", F.when(F.col("__doc").isNotNull(), F.array(F.struct(F.lit("$").alias("path"), F.col("__doc").alias("v")))))
+    for i in range(levels):
+        rows = rows.withColumn(f"__level{i + 1}", F.flatten(F.transform(f"__level{i}", children)))
+    every = F.concat(*[F.col(f"__level{i}") for i in range(levels + 1)])
+    kind = lambda v: F.lower(F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0))
+    names = {"bigint": "number", "decimal": "number", "double": "number", "float": "number", "void": "null"}
+    named = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    found = F.array_distinct(F.transform(every, lambda n: F.struct(n["path"].alias("path"), kind(n["v"]).alias("kind"))))
+    missing = F.when(F.col("__json").isNull(), F.lit("absent")).otherwise(F.lit("unreadable"))
+    pairs = rows.select(F.explode(F.coalesce(found, F.array(F.struct(F.lit("$").alias("path"), missing.alias("kind"))))).alias("p"))
+    merged = F.coalesce(F.try_element_at(named, F.col("p.kind")), F.col("p.kind"))
+    counts = pairs.select("p.path", merged.alias("kind")).groupBy("path", "kind")
+    return counts.agg(F.count("*").alias("documents"))

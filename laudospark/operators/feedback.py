@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..rules import patterns as R
 
@@ -154,3 +154,67 @@ def patients_with_history(reports: DataFrame, min_reports: int = 1) -> DataFrame
         )
         .filter(F.col("reports") >= min_reports)
     )
+
+
+#: Logarithm of the number of cells of a sketch: a standard error of 1.6 per cent.
+SKETCH_BITS = 12
+
+
+def token_sketches(reports: DataFrame, by: tuple[str, ...] = ("exam_type", "exam_month")) -> DataFrame:
+    """Per group: number of reports and a sketch of its distinct patient tokens, to be stored and merged later."""
+    return reports.groupBy(*by).agg(F.count("*").alias("reports"), F.hll_sketch_agg("patient_token", SKETCH_BITS).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, *by: str) -> DataFrame:
+    """Sketches of larger groups, or of all with none named, from those of smaller ones; no report is read again."""
+    return sketches.groupBy(*by).agg(F.sum("reports").alias("reports"), F.hll_union_agg("sketch").alias("sketch"))
+
+
+def sketch_estimate(sketch: Column) -> Column:
+    """Estimated number of distinct tokens; within 5 per cent in 998 of 1000 sketches."""
+    return F.hll_sketch_estimate(sketch)
+
+
+def distinct_tokens(reports: DataFrame, by: tuple[str, ...] = ("exam_type", "exam_month")) -> DataFrame:
+    """Exact reports and distinct tokens per group, and per every shorter prefix of ``by``, whose other columns are NULL."""
+    once = reports.groupBy(*by, "patient_token").agg(F.count("*").alias("n"))
+    return once.rollup(*by).agg(F.sum("n").alias("reports"), F.count_distinct("patient_token").alias("tokens"))
+
+
+# ------------------------------------------------------------------ statistics that are kept, not counted again
+
+STATS = "exam_type string, validations long, wrong long, pairs long, completed long"
+
+
+def validation_changes(validations: DataFrame, jobs: DataFrame) -> DataFrame:
+    """What a batch of new validations adds to the statistics, a row per exam type."""
+    return validation_totals(validations, jobs).withColumn("completed", F.lit(0).cast("long"))
+
+
+def completed_changes(after: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """What a batch of changed jobs adds to the number of completed ones; ``before`` has their rows before the batch."""
+    count = lambda jobs: jobs.agg(F.count_if(F.col("status") == "completed").alias("n"))
+    parts = count(after) if before is None else count(after).unionByName(count(before).select((-F.col("n")).alias("n")))
+    zero = F.lit(0).cast("long")
+    return parts.agg(F.sum("n").alias("completed")).select(
+        F.lit(None).cast("string").alias("exam_type"), zero.alias("validations"), zero.alias("wrong"), zero.alias("pairs"), "completed"
+    )
+
+
+def merge_stats(changes: DataFrame) -> DataFrame:
+    """Changes of several batches as one row per exam type."""
+    sums = [F.sum(c).alias(c) for c in ("validations", "wrong", "pairs", "completed")]
+    return changes.groupBy("exam_type").agg(*sums)
+
+
+def stats_row(changes: DataFrame) -> DataFrame:
+    """The row of ``lexical_stats`` from merged changes."""
+    known = F.when(F.col("exam_type").isNotNull() & (F.col("validations") > 0), F.struct("exam_type", F.col("validations").alias("n")))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return merge_stats(changes).agg(
+        total("completed").alias("total_completed_jobs"),
+        total("validations").alias("total_validations"),
+        total("wrong").alias("corrections_submitted"),
+        total("pairs").alias("lexical_feedback_entries"),
+        F.map_from_entries(F.array_sort(F.collect_list(known))).alias("validations_by_exam"),
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..rules import lexicon as L, patterns as R, prompts as P
 from .joins import lookup_join
@@ -49,15 +49,40 @@ def build_prompts(
     ).drop("block")
 
 
-def batch_prompts(pipeline_rows: DataFrame, blocks: DataFrame, batches: int = 1) -> DataFrame:
-    """``(report_id, exam_type, batch, prompt)`` of the rows that passed the gate.
+def prompts_to_send(pipeline_rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``(report_id, exam_type, prompt)`` of the rows that passed the gate, which comes before the prompt."""
+    passed = pipeline_rows.filter(~F.col("low_confidence")).select("report_id", "exam_type", "safe_body")
+    return build_prompts(passed, blocks).select("report_id", "exam_type", "prompt")
+
+
+#: Hexadecimal digits of a key's hash that make a run of rows; each run is numbered by itself.
+RUN_DIGITS = 3
 
-    The gate comes before the prompt, and the batch number is computed, not shuffled for.
+
+def batch_prompts(prompts: DataFrame, max_chars: int, key: str = "report_id", text: str = "prompt") -> DataFrame:
+    """Prompts with ``batch``, a number such that the prompts of a batch have ``max_chars`` characters at most together.
+
+    Prompts stand in the order of their key's hash, then of their key, and are cut where the running sum of characters
+    passes a multiple of the step: ``max_chars`` less the longest prompt, plus one. So no batch is too long and all but the
+    last are about as long as each other. Prompts above half of ``max_chars`` have a batch of their own, numbered -1, -2
+    and so on; only these may be longer than ``max_chars``. The running sum is made in two steps: sums per run of hashes,
+    of which there are 4096, and a window within each run; no task sees more than a run. Store the prompts first, as they
+    are read twice. Keys are unique; a missing text counts as empty.
     """
-    passed = pipeline_rows.filter(~F.col("low_confidence")).select("report_id", "exam_type", "safe_body")
-    return build_prompts(passed, blocks).select(
-        "report_id",
-        "exam_type",
-        F.pmod(F.xxhash64("report_id"), F.lit(batches)).cast("int").alias("batch"),
-        "prompt",
+    run = F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, RUN_DIGITS)
+    size = F.coalesce(F.length(text), F.lit(0)).cast("long")
+    sized = prompts.withColumns({"__run": run, "__size": size, "__own": 2 * size > max_chars})
+    chars, alone = F.when(F.col("__own"), F.lit(0)).otherwise(F.col("__size")), F.col("__own").cast("long")
+    sums = sized.groupBy("__run").agg(F.sum(chars).alias("c"), F.sum(alone).alias("a"), F.max(chars).alias("m"))
+    before = Window.orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)  # over 4096 rows
+    starts = sums.select(
+        "__run",
+        F.coalesce(F.sum("c").over(before), F.lit(0)).alias("__chars"),
+        F.coalesce(F.sum("a").over(before), F.lit(0)).alias("__alone"),
+        (F.lit(max_chars) - F.max("m").over(Window.partitionBy(F.lit(0))) + 1).alias("__step"),
     )
+    so_far = Window.partitionBy("__run").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    placed = sized.join(F.broadcast(starts), "__run")
+    start = F.col("__chars") + F.sum(chars).over(so_far) - F.col("__size")
+    number = F.when(F.col("__own"), -F.col("__alone") - F.sum(alone).over(so_far)).otherwise(F.floor(start / F.col("__step")))
+    return placed.withColumn("batch", number.cast("long")).select(*prompts.columns, "batch")

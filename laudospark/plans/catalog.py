@@ -14,8 +14,8 @@ from ..functions import classify as C, entities as E, header as H, redact as P
 from ..functions.regex import compute_once
 from ..operators import cases, feedback as FB, gates as G, knowledge as K, prompts as PR, state as S, textjoin as T
 from ..rules import patterns as R
-from ..sources import keyed, readers, writers
-from ..sources.lexicon import builtin_lexicon, kb_compounds as lexicon_compounds, kb_terms as lexicon_terms
+from ..sources import keyed, readers, stats, writers
+from ..sources.lexicon import builtin_lexicon, read_lexicon
 from ..session import work_folder
 from ..streaming import jobs as ST
 from .pipeline import run_pipeline
@@ -139,6 +139,18 @@ def result_struct(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def result_struct_full(spark: SparkSession, sf: str) -> DataFrame:
+    """Patient data and the model's interpretation inside the stored document."""
+    answers = load(spark, sf, "llm_answers").select("report_id", cases.parse_llm_output(F.col("answer")).alias("analysis"))
+    rows = run_pipeline(load(spark, sf, "reports").join(answers, "report_id", "left"), with_patient_data=True)
+    stored = rows.select("report_id", "status", writers.result_document(rows).alias("document"))
+    at = lambda path: F.get_json_object("document", f"$.{path}")
+    patient = [at(f"patient_data.{f}").alias(f) for f in ("nome", "data_nascimento", "idade", "sexo", "cargo_funcao")]
+    told = [at(f"clinical_interpretation.{f}").alias(f) for f in ("is_valid_exam", "summary", "succinct_insight", "error")]
+    return stored.select("report_id", "status", *patient, *told)
+
+
 @query
 def write_results(spark: SparkSession, sf: str) -> DataFrame:
     """The rows of the results sink, as read back from it."""
@@ -167,6 +179,24 @@ def distinct_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return history.withColumn("exam_types", joined(F.col("exam_types")))
 
 
+@query
+def distinct_tokens_by_month(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact patients per type and month, per type and in all, and whether stored sketches, merged upward, come near."""
+    rows = pipeline(spark, sf).select("exam_type", F.substring("exam_date", 1, 7).alias("exam_month"), "patient_token")
+    out = work_folder(spark, "sketches")
+    FB.token_sketches(rows).write.parquet(out)
+    stored = spark.read.parquet(out)
+    levels = [stored, FB.merge_sketches(stored, "exam_type").withColumn("exam_month", F.lit(None).cast("string"))]
+    levels.append(FB.merge_sketches(stored).select("*", F.lit(None).cast("string").alias("exam_type"), F.lit(None).cast("string").alias("exam_month")))
+    names = ["exam_type", "exam_month", "reports", "sketch"]
+    merged = levels[0].select(*names).unionByName(levels[1].select(*names)).unionByName(levels[2].select(*names))
+    exact = FB.distinct_tokens(rows).alias("e")
+    merged = merged.select(*names[:2], F.col("reports").alias("sketched"), FB.sketch_estimate(F.col("sketch")).alias("estimate")).alias("s")
+    same = F.col("e.exam_type").eqNullSafe(F.col("s.exam_type")) & F.col("e.exam_month").eqNullSafe(F.col("s.exam_month"))
+    near = (F.abs(F.col("estimate") - F.col("tokens")) <= F.greatest(F.lit(1.0), 0.05 * F.col("tokens"))) & (F.col("sketched") == F.col("reports"))
+    return exact.join(merged, same, "left").select("e.exam_type", "e.exam_month", "reports", "tokens", F.coalesce(near, F.lit(False)).alias("near"))
+
+
 # ------------------------------------------------------------------ sources
 
 
@@ -187,6 +217,24 @@ def scan_reports_json(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("report_id", "filename", F.sha2("text", 256).alias("text_hash"))
 
 
+@query
+def scan_reports_once(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports that come in two uploads, taken in by three runs: the second takes the second upload, the third nothing."""
+    out = work_folder(spark, "uploads")
+    reports = load(spark, sf, "reports")
+    middle = reports.agg(F.median("report_id")).first()[0] or 0
+    taken = []
+    for run, part in ((1, F.col("report_id") <= middle), (2, F.col("report_id") > middle), (3, None)):
+        if part is not None:
+            reports.where(part).write.mode("append").parquet(f"{out}/files")
+        intake = readers.read_new_reports(spark, f"{out}/files", f"{out}/manifest", report_id="report_id")
+        if intake.reports is not None:
+            intake.reports.withColumn("run", F.lit(run)).write.parquet(f"{out}/taken/run={run}")
+            taken.append(f"{out}/taken/run={run}")
+        intake.commit()
+    return spark.read.parquet(*taken).select("report_id", "run", "filename", F.sha2("text", 256).alias("text_hash"))
+
+
 def _state(spark: SparkSession, sf: str, view: str) -> DataFrame:
     """A derived table that is stored first, as state and rule tables are."""
     out = work_folder(spark, view)
@@ -204,17 +252,33 @@ def scan_validations(spark: SparkSession, sf: str) -> DataFrame:
     return _state(spark, sf, "validations").withColumn("validated_at", F.col("validated_at").cast("string"))
 
 
+def _lexicon_file(spark: SparkSession, kinds: DataFrame) -> str:
+    """The built-in lexicon as one JSON document, as users keep theirs; ``kinds`` are the exam types to put in."""
+    terms, compounds = builtin_lexicon(spark)
+    packed = []
+    for rows, name, fields in (
+        (terms, "achados_discriminativos", ["termo", "variantes", "peso", "significado"]),
+        (compounds, "diagnosticos_compostos", ["condicao", "diagnostico", "justificativa"]),
+    ):
+        in_order = F.array_sort(F.collect_list(F.struct("ord", F.struct(*fields).alias("x"))))
+        packed.append(rows.join(kinds, "exam_type", "left_semi").groupBy("exam_type").agg(F.transform(in_order, lambda r: r["x"]).alias(name)))
+    exams = packed[0].join(packed[1], "exam_type", "left").select("exam_type", F.struct("achados_discriminativos", "diagnosticos_compostos").alias("kb"))
+    out = work_folder(spark, "kb")
+    exams.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("exam_type", "kb")))).alias("value")).coalesce(1).write.text(out)
+    return out
+
+
+def _lexicon_and_counts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Terms and rules read from a lexicon file, for the exam types among the reports, and the number of reports of each."""
+    counts = typed_reports(spark, sf).groupBy("exam_type").agg(F.count("*").alias("reports"))
+    return *read_lexicon(spark, _lexicon_file(spark, counts)), counts
+
+
 @query
 def scan_kb(spark: SparkSession, sf: str) -> DataFrame:
-    """The lexicon as flat rows, from documents with one exam type each, and the reports of each type."""
-    counts = typed_reports(spark, sf).groupBy("exam_type").agg(F.count("*").alias("reports"))
-    terms, _ = builtin_lexicon(spark)
-    term = F.struct("termo", "variantes", "peso", "significado").alias("t")
-    packed = terms.groupBy("exam_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", term))), lambda x: x["t"]).alias("a"))
-    out = work_folder(spark, "kb")
-    packed.select("exam_type", F.struct(F.col("a").alias("achados_discriminativos")).alias("kb")).write.json(out)
-    exams = spark.read.schema("exam_type string, kb struct<achados_discriminativos: array<struct<termo: string, variantes: array<string>, peso: string, significado: string>>>").json(out)
-    return lexicon_terms(exams).join(counts, "exam_type", "left").select("exam_type", "ord", "termo", joined(F.col("variantes")).alias("variantes"), "peso", "reports")
+    """The terms of a lexicon file as flat rows, with the reports of each type."""
+    terms, _, counts = _lexicon_and_counts(spark, sf)
+    return terms.join(counts, "exam_type").select("exam_type", "ord", "termo", joined(F.col("variantes")).alias("variantes"), "peso", "reports")
 
 
 @query
@@ -295,6 +359,20 @@ def retention_filter(spark: SparkSession, sf: str) -> DataFrame:
     return G.purge_list(load(spark, sf, "uploaded_files"), as_of).select("path", text("modified_at"))
 
 
+@query
+def purge_uploads(spark: SparkSession, sf: str) -> DataFrame:
+    """Real files, listed: all are due eight days after they were written, none today; rows of the listed files by language."""
+    out = work_folder(spark, "uploads")
+    load(spark, sf, "documents").write.partitionBy("lang").json(out)
+    files = readers.read_uploads(spark, out).where(F.endswith("filename", F.lit(".json")))
+    due = G.purge_list(files, F.current_timestamp() + F.make_dt_interval(F.lit(8))).select("path", "length")
+    today = G.purge_list(files).select("path", F.lit(1).alias("today"))
+    listed = due.join(today, "path", "left").withColumn("lang", F.regexp_extract("path", "lang=([^/]*)/", 1))
+    rows = spark.read.schema("doc_id long").json(out).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("n"))
+    rows = rows.join(listed, F.regexp_extract(rows["path"], "[^/]+$", 0) == F.regexp_extract(listed["path"], "[^/]+$", 0)).where(F.contains(rows["path"], F.concat(F.lit("lang="), "lang", F.lit("/"))))
+    return rows.groupBy("lang").agg(F.sum("n").alias("documents"), F.count("today").alias("due_today"))
+
+
 @query
 def display_truncate(spark: SparkSession, sf: str) -> DataFrame:
     return FB.feedback_report(feedback(spark, sf)).select("id", "original_text", "corrected_text")
@@ -507,8 +585,21 @@ def build_prompt(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def batch_prompts(spark: SparkSession, sf: str) -> DataFrame:
-    blocks = PR.lexical_blocks(*builtin_lexicon(spark))
-    return PR.batch_prompts(pipeline(spark, sf), blocks, batches=16).select("report_id", "exam_type", "prompt")
+    """Stored prompts in batches of even size."""
+    out = work_folder(spark, "prompts")
+    PR.prompts_to_send(pipeline(spark, sf), PR.lexical_blocks(*builtin_lexicon(spark))).write.parquet(out)
+    batches = PR.batch_prompts(spark.read.parquet(out), max_chars=8000)
+    return batches.select("report_id", "exam_type", "batch", F.sha2("prompt", 256).alias("prompt_hash"))
+
+
+@query
+def lexical_block_supplement(spark: SparkSession, sf: str) -> DataFrame:
+    """Vocabulary blocks with reference conditions, for the exam types among the reports."""
+    c = load(spark, sf, "conditions")
+    conditions = c.select("exam_type", "ord", "nome", F.split("cid10", r"\|").alias("cid10"), F.split("achados", r"\|").alias("achados_chave"))
+    blocks = PR.lexical_blocks(*builtin_lexicon(spark), conditions)
+    counts = typed_reports(spark, sf).groupBy("exam_type").agg(F.count("*").alias("reports"))
+    return counts.join(blocks, "exam_type", "left")
 
 
 @query
@@ -544,17 +635,16 @@ def kb_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def kb_compounds(spark: SparkSession, sf: str) -> DataFrame:
-    """Every compound rule with the number of reports of its exam type."""
-    _, compounds = builtin_lexicon(spark)
-    counts = typed_reports(spark, sf).groupBy("exam_type").agg(F.count("*").alias("reports"))
-    return compounds.join(counts, "exam_type", "left").select("exam_type", "ord", "condicao", "diagnostico", "reports")
+    """The compound rules of a lexicon file as flat rows, with the reports of each type."""
+    _, compounds, counts = _lexicon_and_counts(spark, sf)
+    return compounds.join(counts, "exam_type").select("exam_type", "ord", "condicao", "diagnostico", "reports")
 
 
 @query
 def kb_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Term hits in the reports by exam type and weight."""
-    stats = K.kb_stats(_hits(spark, sf, ("ALTO", "MÉDIO", "BAIXO")))
-    return stats.select("exam_type", F.col("ALTO").alias("alto"), F.col("MÉDIO").alias("medio"), F.col("BAIXO").alias("baixo"))
+    counts = K.kb_stats(_hits(spark, sf, ("ALTO", "MÉDIO", "BAIXO")))
+    return counts.select("exam_type", F.col("ALTO").alias("alto"), F.col("MÉDIO").alias("medio"), F.col("BAIXO").alias("baixo"))
 
 
 @query
@@ -663,6 +753,12 @@ def normalize_case(spark: SparkSession, sf: str) -> DataFrame:
     return cases.normalize_cases(readers.explode_outputs(load(spark, sf, "vision_outputs"), "document"))
 
 
+@query
+def drift_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths and kinds of values over all recorded answers."""
+    return cases.drift_report(readers.explode_outputs(load(spark, sf, "vision_outputs"), "document"))
+
+
 @query
 def get_job_result(spark: SparkSession, sf: str) -> DataFrame:
     rows = S.job_results(load(spark, sf, "jobs"), "safe_text_snippet string")
@@ -710,9 +806,24 @@ def lexical_feedback(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def lexical_stats(spark: SparkSession, sf: str) -> DataFrame:
-    stats = FB.lexical_stats(load(spark, sf, "jobs"), load(spark, sf, "validations"))
+    row = FB.lexical_stats(load(spark, sf, "jobs"), load(spark, sf, "validations"))
+    pairs = F.transform(F.map_entries("validations_by_exam"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return row.withColumn("validations_by_exam", joined(pairs))
+
+
+@query
+def lexical_stats_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """The same totals from stored changes: jobs, then validations in three batches, one of them saved twice."""
+    out = work_folder(spark, "stats")
+    jobs, validations = load(spark, sf, "jobs"), load(spark, sf, "validations")
+    cuts = validations.agg(F.percentile_approx("id", [0.3, 0.7])).first()[0] or [0, 0]
+    number = F.when(F.col("id") <= cuts[0], 1).when(F.col("id") <= cuts[1], 2).otherwise(3)
+    stats.save_changes(FB.completed_changes(jobs), out, 0)
+    for batch in (1, 2, 2, 3):
+        stats.save_changes(FB.validation_changes(validations.where(number == batch), jobs), out, batch, compact_after=2)
+    row = FB.stats_row(stats.read_changes(spark, out))
     pairs = F.transform(F.map_entries("validations_by_exam"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    return stats.withColumn("validations_by_exam", joined(pairs))
+    return row.withColumn("validations_by_exam", joined(pairs))
 
 
 @query

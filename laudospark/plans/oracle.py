@@ -248,6 +248,10 @@ O["report_results"] = REPORTS_PIPELINE + (
     f"safe_text_snippet, low_confidence, {by_type({'audiometria': entity('decibeis', 'safe_body', 'low')})} AS decibeis, "
     f"{sides('safe_body', 'low')} AS lateralidade, {findings('safe_body', 'low')} AS achados FROM final"
 )
+O["distinct_tokens_by_month"] = REPORTS_PIPELINE + (
+    "SELECT exam_type, exam_month, count(*) AS reports, count(DISTINCT patient_token) AS tokens, true AS near "
+    "FROM (SELECT exam_type, substr(exam_date, 1, 7) AS exam_month, patient_token FROM final) GROUP BY ROLLUP (exam_type, exam_month)"
+)
 O["result_struct"] = REPORTS_PIPELINE + (
     "SELECT report_id, status, patient_token, CASE WHEN NOT low_confidence THEN exam_date END AS exam_date, exam_type, "
     "exam_label, CAST(raw_text_length AS VARCHAR) AS raw_text_length, safe_text_snippet, "
@@ -313,6 +317,10 @@ O["scan_validations"] = with_views("validations") + (
     "SELECT * REPLACE (CAST(validated_at AS VARCHAR) AS validated_at) FROM validations"
 )
 _FENCED = "outputs AS (SELECT batch_id, unnest(json_keys(document)) AS filename, CAST(document AS JSON) AS doc FROM vision_outputs), answers AS (SELECT batch_id, filename, doc ->> filename AS answer FROM outputs)"
+O["scan_reports_once"] = with_views("reports") + (
+    "SELECT report_id, CASE WHEN report_id <= (SELECT median(report_id) FROM reports) THEN 1 ELSE 2 END AS run, filename, sha256(text) AS text_hash FROM reports"
+)
+O["purge_uploads"] = "SELECT lang, count(*) AS documents, 0 AS due_today FROM documents GROUP BY lang"
 O["scan_llm_outputs"] = with_views("vision_outputs", _FENCED) + (
     "SELECT filename, length(answer) AS n_chars FROM answers"
 )
@@ -500,9 +508,9 @@ COUNTS = "counts AS (SELECT exam_type, count(*) AS reports FROM typed GROUP BY e
 O["kb_terms"] = with_views("reports", *TYPED, *KB, COUNTS) + (
     "SELECT exam_type, ord, termo, array_to_string(variantes, '|') AS variantes, peso, reports FROM terms LEFT JOIN counts USING (exam_type)"
 )
-O["scan_kb"] = O["kb_terms"]
+O["scan_kb"] = O["kb_terms"].replace("LEFT JOIN counts", "JOIN counts")
 O["kb_compounds"] = with_views("reports", *TYPED, *KB, COUNTS) + (
-    "SELECT exam_type, ord, condicao, diagnostico, reports FROM compounds LEFT JOIN counts USING (exam_type)"
+    "SELECT exam_type, ord, condicao, diagnostico, reports FROM compounds JOIN counts USING (exam_type)"
 )
 _HITS = (
     "hits AS (SELECT DISTINCT r.report_id, r.exam_type, t.termo, t.peso FROM typed r JOIN "
@@ -590,8 +598,21 @@ def prompt(column: str) -> str:
 O["build_prompt"] = with_views("reports", *TYPED, *KB, *BLOCKS) + (
     f"SELECT report_id, exam_type, sha256({prompt('text')}) AS prompt_hash FROM typed LEFT JOIN blocks USING (exam_type)"
 )
-O["batch_prompts"] = with_views("reports", *PIPELINE, *KB, *BLOCKS) + (
-    f"SELECT report_id, exam_type, {prompt('safe_body')} AS prompt FROM final LEFT JOIN blocks USING (exam_type) WHERE NOT low_confidence"
+O["batch_prompts"] = with_views(
+    "reports", *PIPELINE, *KB, *BLOCKS,
+    f"prompts AS (SELECT report_id, exam_type, {prompt('safe_body')} AS prompt FROM final LEFT JOIN blocks USING (exam_type) WHERE NOT low_confidence)",
+    "sized AS (SELECT *, 2 * length(prompt) > 8000 AS own, CASE WHEN 2 * length(prompt) > 8000 THEN 0 ELSE length(prompt) END AS chars, "
+    "substr(md5(CAST(report_id AS VARCHAR)), 1, 3) AS run FROM prompts)",
+    "summed AS (SELECT *, sum(chars) OVER w - chars AS start, sum(CAST(own AS INTEGER)) OVER w AS nth, max(chars) OVER () AS m FROM sized "
+    "WINDOW w AS (ORDER BY run, report_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))",
+) + "SELECT report_id, exam_type, CAST(CASE WHEN own THEN -nth ELSE start // (8000 - m + 1) END AS BIGINT) AS batch, sha256(prompt) AS prompt_hash FROM summed"
+_CONDITIONS = (
+    f"db AS (SELECT exam_type, {q(PT.CONDITION_TITLE)} || chr(10) || string_agg('  - ' || nome || ' (' || replace(cid10, '|', ', ') || '): ' || "
+    f"array_to_string(string_split(achados, '|')[1:{PT.MAX_KEY_FINDINGS}], '; '), chr(10) ORDER BY ord) AS d FROM conditions GROUP BY exam_type)",
+    "full_blocks AS (SELECT exam_type, block || coalesce(chr(10) || chr(10) || d, '') AS block FROM blocks LEFT JOIN db USING (exam_type))",
+)
+O["lexical_block_supplement"] = with_views("reports conditions", *TYPED, *KB, *BLOCKS, *_CONDITIONS, COUNTS) + (
+    "SELECT exam_type, reports, block FROM counts LEFT JOIN full_blocks USING (exam_type)"
 )
 O["parse_llm_output"] = with_views("llm_answers", "p AS (SELECT *, TRY_CAST(answer AS JSON) AS j FROM llm_answers)") + (
     "SELECT report_id, coalesce(j ->> 'is_valid_exam' <> 'false', true) OR (j ->> 'summary') IS NULL OR (j ->> 'findings') IS NULL OR (j ->> 'diagnostics') IS NULL AS is_valid_exam, j ->> 'summary' AS summary, "
@@ -602,6 +623,19 @@ O["parse_llm_output"] = with_views("llm_answers", "p AS (SELECT *, TRY_CAST(answ
     "WHEN (j ->> 'summary') IS NULL OR (j ->> 'findings') IS NULL OR (j ->> 'diagnostics') IS NULL THEN 'missing field' END AS error FROM p"
 )
 
+_TOLD = (
+    "p AS (SELECT *, TRY_CAST(answer AS JSON) AS j FROM llm_answers)",
+    f"told AS ({O['parse_llm_output'].rpartition(chr(10) + 'SELECT ')[2].join(['SELECT ', ''])})",
+)
+_GONE = "NOT low_confidence AND NOT is_valid_exam"
+O["result_struct_full"] = with_views("reports llm_answers", *PIPELINE, *_TOLD) + (
+    "SELECT report_id, CASE WHEN low_confidence OR NOT is_valid_exam THEN 'low_confidence' ELSE 'completed' END AS status, "
+    + ", ".join(f"CASE WHEN NOT ({_GONE}) THEN {v} END AS {k}" for k, v in _PATIENT.items())
+    + ", CASE WHEN NOT low_confidence AND is_valid_exam THEN 'true' END AS is_valid_exam"
+    + "".join(f", CASE WHEN NOT low_confidence AND is_valid_exam THEN {c} END AS {c}" for c in ("summary", "succinct_insight", "error"))
+    + " FROM final JOIN told USING (report_id)"
+)
+
 # ------------------------------------------------------------------ drifting JSON
 
 _FENCE = r"(?s)```json\s*(.*?)\s*```"
@@ -625,6 +659,13 @@ O["normalize_case"] = with_views(
     f"{_num('$.valores_exame.IPRF_OD')} AS iprf_od_pct, {_num('$.valores_exame.IPRF_OE')} AS iprf_oe_pct, "
     "j ->> '$.valores_exame.timpanometria_OD' AS timpanometria_od, j ->> '$.valores_exame.timpanometria_OE' AS timpanometria_oe FROM parsed"
 )
+O["drift_report"] = with_views(
+    "vision_outputs", _FENCED, f"texts AS (SELECT nullif({group('answer', _FENCE)}, '') AS j FROM answers)",
+    "numbered AS (SELECT row_number() OVER () AS n, TRY_CAST(j AS JSON) AS j, j IS NULL AS absent FROM texts)",
+    "found AS (SELECT DISTINCT n, regexp_replace(t.fullkey, '\\[[0-9]+\\]', '[]', 'g') AS path, CASE t.type WHEN 'VARCHAR' THEN 'string' WHEN 'NULL' THEN 'null' "
+    "WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'number' END AS kind FROM numbered, json_tree(numbered.j) t WHERE numbered.j IS NOT NULL "
+    "UNION ALL SELECT n, '$', CASE WHEN absent THEN 'absent' ELSE 'unreadable' END FROM numbered WHERE j IS NULL)",
+) + "SELECT path, kind, count(*) AS documents FROM found GROUP BY ALL"
 O["get_job_result"] = with_views("jobs") + (
     "SELECT job_id, status, result_json ->> '$.safe_text_snippet' AS snippet, result_json IS NULL AS no_result FROM jobs"
 )
@@ -673,6 +714,7 @@ O["lexical_stats"] = FEEDBACK + (
     "(SELECT count(*) FROM feedback) AS lexical_feedback_entries, "
     f"(SELECT string_agg(exam_type || '=' || CAST(validations AS VARCHAR), '|' ORDER BY exam_type) FROM ({_BY_EXAM})) AS validations_by_exam"
 )
+O["lexical_stats_kept"] = O["lexical_stats"]
 O["validations_by_exam"] = O["stream_validations"] = FEEDBACK + _BY_EXAM
 O["corrections_report"] = FEEDBACK + (
     "SELECT id, exam_type, corrections, CAST(validated_at AS VARCHAR) AS validated_at, filename FROM enriched WHERE is_correct = 0 "

@@ -19,6 +19,7 @@ COLUMNS = {
     "documents": ["doc_id", "text", "lang", "source"],
     "labels": ["doc_id", "quality", "toxic"],
     "lineitem": ["l_orderkey", "l_linenumber", "l_quantity"],
+    "nation": ["n_nationkey", "n_name", "n_regionkey"],
 }
 
 REPORTS = """
@@ -211,6 +212,14 @@ FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumbe
 JOIN lineitem c ON a.l_orderkey = c.l_orderkey AND c.l_linenumber = 3
 """
 
+# Reference conditions; lists come as text.
+CONDITIONS = """
+SELECT CASE n_nationkey % 4 WHEN 0 THEN 'audiometria' WHEN 1 THEN 'bera' WHEN 2 THEN 'tomografia' ELSE 'polissonografia' END AS exam_type, n_nationkey AS ord, n_name AS nome,
+  'H' || CAST(60 + n_nationkey AS STRING) || CASE WHEN n_nationkey % 3 = 0 THEN '|J' || CAST(30 + n_regionkey AS STRING) ELSE '' END AS cid10,
+  'um|dois' || CASE WHEN n_nationkey % 2 = 0 THEN '|tres|quatro' ELSE '' END AS achados
+FROM nation
+"""
+
 VIEWS = {
     "reports": (REPORTS, ["orders", "customer"]),
     "ocr_candidates": (OCR_CANDIDATES, ["orders"]),
@@ -224,6 +233,7 @@ VIEWS = {
     "raw_dates": (RAW_DATES, ["orders"]),
     "uploaded_files": (UPLOADED_FILES, ["documents"]),
     "rule_reports": (RULE_REPORTS, ["orders"]),
+    "conditions": (CONDITIONS, ["nation"]),
     "word_forms": (WORD_FORMS, ["documents"]),
     "rule_forms": (RULE_FORMS, ["documents"]),
     "line_findings": (LINE_FINDINGS, ["lineitem"]),

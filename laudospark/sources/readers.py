@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from ..session import folder_names
+
 
 def stream_parquet(spark: SparkSession, path: str) -> DataFrame:
     """A stream over a Parquet folder of part files, or over a table that is one file."""
@@ -28,7 +33,7 @@ def ensure_parallelism(df: DataFrame) -> DataFrame:
 
 def read_reports(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     fmt: str = "parquet",
     text: str = "text",
     report_id: str | None = None,
@@ -65,6 +70,44 @@ def read_uploads(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+MANIFEST = "path string, modified_at timestamp, length long"
+
+
+@dataclass
+class Intake:
+    """Reports of files that no earlier intake has taken; ``commit`` once they are stored."""
+
+    reports: DataFrame | None
+    files: list[tuple]
+    spark: SparkSession
+    manifest: str
+
+    def commit(self) -> None:
+        """Enter the files in the manifest; until then they are new."""
+        if self.files:
+            self.spark.createDataFrame(self.files, MANIFEST).coalesce(1).write.mode("append").parquet(self.manifest)
+
+
+def new_files(files: DataFrame, manifest: DataFrame | None) -> DataFrame:
+    """Files whose path, time of change and length no entry of the manifest has."""
+    listed = files.select("path", "modified_at", "length")
+    return listed if manifest is None else listed.join(manifest, ["path", "modified_at", "length"], "left_anti")
+
+
+def read_new_reports(spark: SparkSession, path: str, manifest: str, fmt: str = "parquet", **options) -> Intake:
+    """Each upload once: reports of the files below ``path`` that are not in the manifest or have changed since.
+
+    Listing and comparison need names, times and lengths only; contents are read of new files alone. ``reports`` is None
+    when there are none. The paths of new files come to the driver, which holds the listing of a scan in any case. Other
+    arguments are those of ``read_reports``.
+    """
+    known = spark.read.schema(MANIFEST).parquet(manifest) if folder_names(spark, manifest) else None
+    fresh = new_files(read_uploads(spark, path), known).orderBy("path").collect()
+    names = [re.sub(r"([\\\[\]{}*?])", r"\\\1", r["path"]) for r in fresh]  # a name is no pattern
+    reports = read_reports(spark, names, fmt, **options) if names else None
+    return Intake(reports, [tuple(r) for r in fresh], spark, manifest)
+
+
 def read_state(spark: SparkSession, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
     """A jobs, validations or feedback table (``fmt="jdbc"`` works where a driver jar is supplied)."""
     return spark.read.format(fmt).options(**options).load(path)
