@@ -38,7 +38,9 @@ N = 5
 THRESHOLD = 75  # per cent
 CELLS = 1 << 10
 #: Fragments of the rare n-grams, equal ranges of hashes; the frequent ones are one more.
-FRAGMENTS = 16
+FRAGMENTS = 8
+#: Fragments whose overlaps are counted first; pairs that they rule out are not looked at further.
+EARLY = 2
 #: Documents from which an n-gram is frequent.
 FREQUENT = 48
 #: N-grams are counted in prefixes longer by this factor, as frequent ones leave their place to later ones.
@@ -239,7 +241,8 @@ def frequent_bitmap(texts: DataFrame, n: int, threshold: int, buckets: int) -> n
             out[(s & np.uint64(len(out) - 1)).astype(np.int64)] = True
         return np.packbits(out)
 
-    found = bucketed(texts, grams_of, buckets).groupBy("bucket").applyInArrow(frequent, "s long")
+    # Written, so that no task needs two Python workers at once.
+    found = written(bucketed(texts, grams_of, buckets).groupBy("bucket").applyInArrow(frequent, "s long"), "ngram-frequent")
     return combined(found, mark, np.bitwise_or, (1 << FREQUENT_BITS) // 8, "uint8")
 
 
@@ -264,19 +267,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            sizes, names, hot = [], [], []
+            sizes, names, hot, last = [], [], [], []
             for t in batch.column("text"):
                 grams = ngram_set(t.as_py(), n)
                 name = class_of(grams) if len(grams) else None
                 sizes.append(len(grams))
                 names.append(name)
-                rest = None if name is None or name in seen else prefix(grams)[1]
-                hot.append(rest.view(np.int64) if rest is not None and len(rest) else None)
+                own, rest = ((), ()) if name is None or name in seen else prefix(grams)
+                hot.append(rest.view(np.int64) if len(rest) else None)
+                last.append((int(rest[-1]) >> 2) + (1 << 62) if len(rest) else int(own[-1]) >> 2 if len(own) else None)
                 seen.add(name)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sizes, pa.int32()), pa.array(names, pa.int64()), pa.array(hot, pa.list_(pa.int64()))], names=["key", "n", "cls", "hot"])
+            columns = [batch.column("key"), pa.array(sizes, pa.int32()), pa.array(names, pa.int64()), pa.array(hot, pa.list_(pa.int64())), pa.array(last, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "cls", "hot", "last"])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    rows = written(rows.mapInArrow(sets, "key long, n int, cls long, hot array<long>"), "ngram-sets")
+    rows = written(rows.mapInArrow(sets, "key long, n int, cls long, hot array<long>, last long"), "ngram-sets")
 
     def rare_of(t: str, seen: set) -> tuple | None:
         grams = ngram_set(t, n)
@@ -288,17 +293,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     rare = bucketed(texts, rare_of, buckets).groupBy("bucket").applyInArrow(meet, "s long, cls long, n int")
     met = written(rare.unionByName(meet_frequent(rows)), "ngram-meetings")
     release(spark)
-    shared = met.groupBy("cls", "n").agg(F.count("*").alias("met"))
+    # The place in the order where each prefix ends says what of two sets has been compared when their meetings are known.
+    ends = rows.where("last is not null").groupBy("cls", "n").agg(F.max("last").alias("last"))
+    shared = met.groupBy("cls", "n").agg(F.count("*").cast("int").alias("met")).join(ends, ["cls", "n"])
     shared = shared.withColumn("likely", 2 * F.col("met") >= least_shared("n", "n", threshold))
     segments = fragments(texts, shared.where("likely").select("cls"), bitmap, n)
-    met = met.join(shared, ["cls", "n"]).select("s", "cls", "n", "likely", (F.col("met") / F.col("n")).alias("share"))
+    met = met.join(shared, ["cls", "n"]).select("s", "cls", "n", "likely", "met", "last", (F.col("met") / F.col("n")).alias("share"))
     met = written(met, "ngram-shares")
     release(spark)
 
     likely = met.where("likely")
-    hub = F.max(F.struct("share", "cls", "n")).alias("hub")
-    hubs = likely.groupBy("s").agg(hub).select("s", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n"))
-    named = likely.join(hubs, "s").where("cls <> hub").where(alike("n", "hub_n", threshold))
+    hub = F.max(F.struct("share", "cls", "n", "met", "last")).alias("hub")
+    hubs = likely.groupBy("s").agg(hub).select("s", F.col("hub.cls").alias("hub"), *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("n", "met", "last")])
+    named = likely.join(hubs, "s").where("cls <> hub").where(possible(("n", "last"), ("hub_n", "hub_last"), F.least("met", "hub_met"), threshold))
     # Too few n-grams in common make no likely link; what is left out here is looked at in the end.
     named = named.groupBy("cls", "n", "hub", "hub_n").agg(F.count("*").alias("votes")).where(2 * F.col("votes") >= least_shared("n", "hub_n", threshold))
     best = named.groupBy("cls", "n").agg(F.max(F.struct("votes", "hub", "hub_n")).alias("x"))
@@ -312,13 +319,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     placed = place(met, regions.withColumnRenamed("region", "label"))
     counted = placed.groupBy("s", "label").agg(F.count("*").alias("m"))
     main = counted.groupBy("s").agg(F.max(F.struct("m", "label")).alias("x"), F.count("*").alias("labels")).where("labels > 1").select("s", F.col("x.label").alias("main"))
-    left = placed.join(main, "s").where("label <> main").select("s", "main", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    right = placed.select("s", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    across = left.join(right, "s").where("la <> lb and (lb = main or a < b)").where(alike("na", "nb", threshold))
-    first = F.col("a") < F.col("b")
-    across = across.select(*[F.when(first, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("na", "nb"), ("b", "a"), ("nb", "na"))])
-    across = across.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("shared")).where(F.col("shared") >= least_shared("na", "nb", threshold))
-    across = written(across.drop("shared"), "ngram-across")
+    names = lambda x: [F.col(c).alias(f"{d}{x}") for c, d in (("cls", ""), ("n", "n"), ("met", "met_"), ("last", "last_"), ("label", "l"))]
+    left, right = placed.join(main, "s").where("label <> main").select("s", "main", *names("a")), placed.select("s", *names("b"))
+    across = left.join(right, "s").where("la <> lb and (lb = main or a < b)")
+    ends = (("na", "last_a"), ("nb", "last_b"))
+    across = across.where(possible(*ends, F.least("met_a", "met_b"), threshold))
+    first, sides = F.col("a") < F.col("b"), ["a", "na", "last_a", "b", "nb", "last_b"]
+    across = across.select(*[F.when(first, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in zip(sides, [*sides[3:], *sides[:3]])])
+    across = across.groupBy(*sides).agg(F.count("*").alias("shared")).where(F.col("shared") >= least_shared("na", "nb", threshold))
+    across = written(across.where(possible(*ends, F.col("shared"), threshold)).select("a", "na", "b", "nb"), "ngram-across")
     release(spark)
     if not across.isEmpty():
         again = fragments(texts, across.select(F.explode(F.array("a", "b")).alias("cls")), bitmap, n)
@@ -344,7 +353,7 @@ def named_by(pairs: DataFrame) -> DataFrame:
 def place(met: DataFrame, labels: DataFrame) -> DataFrame:
     """Meetings with the component that each class is in so far."""
     placed = met.join(labels.withColumnRenamed("v", "cls"), "cls", "left")
-    return written(placed.select("s", "cls", "n", "likely", "share", F.coalesce("label", "cls").alias("label")), "ngram-placed")
+    return written(placed.select("s", "cls", "n", "met", "last", F.coalesce("label", "cls").alias("label")), "ngram-placed")
 
 
 def least_shared(a: str, b: str, threshold: int) -> Column:
@@ -363,6 +372,18 @@ def alike(a: str, b: str, threshold: int):
     return 100 * F.least(a, b) >= threshold * F.greatest(a, b)
 
 
+def possible(a: tuple[str, str], b: tuple[str, str], shared: Column, threshold: int) -> Column:
+    """Whether two sets may be similar that meet under ``shared`` n-grams of their prefixes, or fewer.
+
+    Each side has its size and the end of its prefix in the order. The set whose prefix ends first shares no other n-gram
+    of its prefix with the other one: what the other one has of them lies in its own prefix, where they would have met.
+    """
+    (na, end_a), (nb, end_b) = (tuple(map(F.col, x)) for x in (a, b))
+    beyond = lambda n: F.floor((threshold * n + 99) / 100) - 1
+    most = F.least(F.when(end_a < end_b, beyond(na) + shared).otherwise(na), F.when(end_b < end_a, beyond(nb) + shared).otherwise(nb))
+    return 100 * F.least(most, na, nb) >= threshold * (na + nb - F.least(most, na, nb))
+
+
 def meet(table: pa.Table) -> pa.Table:
     """``s``, ``cls``, ``n`` of the n-grams of a bucket under which at least two classes meet."""
     s, cls, n = arrays(table, ("s", "u8"), ("cls", "i8"), ("n", "i4"))
@@ -430,12 +451,31 @@ def fragments(texts: DataFrame, classes: DataFrame, bitmap, n: int) -> DataFrame
 
 
 def linked(pairs: DataFrame, segments: DataFrame, threshold: int) -> DataFrame:
-    """Pairs whose overlaps, counted per fragment and summed, reach the similarity."""
-    a = segments.select(F.col("cls").alias("a"), "fragment", F.col("grams").alias("ga"))
-    b = segments.select(F.col("cls").alias("b"), "fragment", F.col("grams").alias("gb"))
-    partial = pairs.join(a, "a").join(b, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("both"))
-    total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("both").alias("both"))
-    return total.where(100 * F.col("both") >= threshold * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+    """Pairs whose overlaps, counted per fragment and summed, reach the similarity.
+
+    The first fragments are counted for all pairs, the others only for those that these leave possible.
+    """
+
+    def counted(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+        a = segments.select(F.col("cls").alias("a"), "fragment", F.col("grams").alias("ga"))
+        b = segments.select(F.col("cls").alias("b"), "fragment", F.col("grams").alias("gb"))
+        overlap = F.size(F.array_intersect("ga", "gb")).alias("both")
+        partial = pairs.join(a, "a").join(b, ["b", "fragment"]).select(*pairs.columns, overlap)
+        return partial.groupBy(*pairs.columns).agg(F.sum("both").alias("both"))
+
+    early = segments.where(F.col("fragment") < EARLY)
+    sizes = early.groupBy("cls").agg(F.sum(F.size("grams")).alias("i"))
+    names = ["a", "na", "b", "nb"]
+    first = pairs.select(*names).join(counted(pairs.select(*names), early).withColumnRenamed("both", "first"), names, "left")
+    for side in "ab":
+        first = first.join(sizes.select(F.col("cls").alias(side), F.col("i").alias(f"i{side}")), side, "left")
+    first = first.select(*names, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("first", "ia", "ib")])
+    most = F.col("first") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    left = first.where(100 * most >= threshold * (F.col("na") + F.col("nb") - most)).select(*names, "first")
+    left = written(left, "ngram-possible")
+    total = left.join(counted(left.select(*names), segments.where(F.col("fragment") >= EARLY)), names, "left")
+    both = F.col("first") + F.coalesce("both", F.lit(0))
+    return total.where(100 * both >= threshold * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
 def compared(left: pd.DataFrame, right: pd.DataFrame, threshold: int) -> pd.DataFrame:
