@@ -92,7 +92,8 @@ def compound_diagnoses(
     entry = F.min_by("token", F.struct("__rules", "token"))
     filed = tokens.join(needed, ["exam_type", "token"]).groupBy("exam_type", "condicao", "diagnostico", "__required").agg(entry.alias("token"))
     found = reports.select(key, "exam_type", F.array_distinct(known).alias("__found"))
-    found = found.select("*", F.explode("__found").alias("token"))
+    # Outer, or the optimizer tests for empty findings first and computes them twice; no rule has a null token.
+    found = found.select("*", F.explode_outer("__found").alias("token"))
     return (
         found.join(filed, ["exam_type", "token"])
         .filter(F.size(F.array_except("__required", "__found")) == 0)
