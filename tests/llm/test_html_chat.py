@@ -58,7 +58,8 @@ def test_hosts_agree_on_a_path(spark):
     got = html_extract.extract(pages).collect()
     texts = {r.page_id: r.text for r in got}
     assert len(got) == len(rows) and texts[0] == ("main text " * 20).strip() and texts[10] == "little main"
-    assert texts[11] == ("much extra " * 30).strip() and texts[12] == texts[13] == ""
+    # Alone on its host nothing says that its short part is furniture, so nothing is dropped.
+    assert texts[11] == "little main " + ("much extra " * 30).strip() and texts[12] == texts[13] == ""
     assert all(r.n_chars == len(r.text) for r in got) and {r.url for r in got if r.page_id == 12} == {None}
     assert html_extract.extract(pages.where("false")).count() == 0
 
@@ -87,6 +88,68 @@ def test_a_second_template_of_a_host_keeps_its_text(spark):
     assert got[0] == SAME and got[9] == f"A short teaser of something {SAME}"
 
 
+@pytest.mark.parametrize("html, text", [
+    (f"<h1>Head</h1><div class='story search-for-gold'>{LONG}</div>", f"Head {SAME}"),
+    (f"<h1>Head</h1><section id=share-prices>{LONG}</section>", f"Head {SAME}"),
+    (f"<div class=main-header><h1>Head</h1>{LONG}</div>", f"Head {SAME}"),
+    (f"<h1>Head</h1><div class=widget>{LONG}</div><div class=ad>Buy this</div>", f"Head {SAME}"),
+    (f"<h1>Head</h1><div class=widget>{LONG}</div><div class=comments>{LONG}{LONG}</div>", f"Head {SAME}"),
+    (f"<article><div class=place>Rome, 3 May</div><div class=body>{LONG}</div></article>", f"Rome, 3 May {SAME}"),
+    (f"<div class=x1>A blurb of the house.</div><article><h1>Head</h1>{LONG}</article><div class=x2>All rights are ours</div>", f"Head {SAME}"),
+    ("<div class=ad>An advert that is longer than the article</div><article><h1>Head</h1></article>", "Head"),
+    ("<div class=ad>Only an advert</div><div class=ad>and another</div><article><p>word</p></article>", "word"),
+    ("<div class=sidebar-left>side</div><div class=cookie_notice>notice</div><div class='ad-slot-2'>ad</div><p>text</p>", "text"),
+])
+def test_class_names_are_a_guess_only(html, text):
+    page = Page(f"<body>{html}</body>")
+    assert page.text_of([page.choice()]) == text
+
+
+def words(n, seed):
+    rnd = random.Random(f"{n}-{seed}")
+    return " ".join("".join(rnd.choices("abcdefghij", k=5)) for _ in range(n))
+
+
+def test_blocks_that_recur_on_a_host_are_left_out(spark):
+    blurb, line = "Welcome to the house of news, founded long ago", "Printed in 20{} by the house of news"
+    rows, texts = [], {}
+    for i in range(12):
+        lead, body = words(8, i), words(200, i)
+        inner = f"<div class=q9>Read more of this on paper</div><p>{words(20, -i - 1)}</p>"
+        html = f"<body><div class=q1>{blurb}</div><div class=story><div class=lead>{lead}</div><div class=text><p>{body}</p>{inner}</div></div><div class=q2>{line.format(i)}</div></body>"
+        rows.append((i, "http://h.example/a", html))
+        texts[i] = f"{lead} {body} {words(20, -i - 1)}"
+    copy = f"<body><div class=intro><p>{words(30, 99)}</p></div><div class=body><p>{words(100, 99)}</p></div></body>"
+    for i in range(20, 40):  # copies of one page make none of it furniture
+        rows.append((i, f"http://copies.example/{i}", copy))
+        texts[i] = f"{words(30, 99)} {words(100, 99)}"
+    for i in range(50, 52):  # two pages are no consensus
+        rows.append((i, f"http://two.example/{i}", f"<body><div>{blurb}</div><div class=t>{words(60, i)}</div></body>"))
+        texts[i] = f"{blurb} {words(60, i)}"
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extract(pages).collect()} == texts
+
+
+def test_hot_hosts_and_others_meet_the_same_winners(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 7}.example/{i}" if i % 3 else "http://hot.example/", f"<body><div class=q1>{'The same on all pages here'}</div><div class=s>{words(40, i)}</div></body>") for i in range(90)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {}
+    for hosts in (1, 3, 1000):  # none, one, all of them are hot
+        monkeypatch.setattr(html_extract, "HOT_HOSTS", hosts)
+        got[hosts] = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    assert got[1] == got[3] == got[1000] == {i: words(40, i) for i in range(90)}
+
+
+def test_ties_of_votes_and_very_long_pages(spark):
+    a, b = (f"<body><div class={c}>{LONG}</div></body>" for c in "ab")
+    deep = "<div class=n>" * 3000 + "<p>deep</p>" + "</div>" * 3000
+    long = "<body>" + "<p>" + "w " * 2_000_000 + "</p></body>"
+    rows = [(1, "http://t.example/", a), (2, "http://t.example/", b), (3, "http://d.example/", deep), (4, "http://l.example/", long)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    assert got[1] == got[2] == SAME and got[3] == "deep" and got[4] == ("w " * 2_000_000).strip()
+
+
 NASTY = ["", "\\", "### ", "</turn>", "</turn>\n", "\\### Assistant: </turn> ok", "\\\\n\\n", "### assistant\nhi</turn>\n", "é😀\n\n", "x" * 5000]
 
 
