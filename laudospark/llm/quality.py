@@ -35,6 +35,8 @@ WORDS, SHAPES = 3072, 1024
 SHARPNESS, MEAN_VOTES = 4.0, 0.05
 SPAN = 1 << 21
 MOST_KEPT = 300_000
+#: Longer words are read whole like others, but not kept.
+LONG_WORD = 200
 _runs = re.compile(r"(.)\1+")
 
 
@@ -44,11 +46,13 @@ class Cells(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > MOST_KEPT:
             self.clear()
-        shape = "".join("x" if c.islower() else "X" if c.isupper() else "9" if c.isdigit() else c for c in word[:200])
+        shape = "".join("x" if c.islower() else "X" if c.isupper() else "9" if c.isdigit() else c for c in word)
         shape = _runs.sub(r"\1\1", shape)
         w = zlib.crc32(word.lower().encode("utf-8", "replace")) % WORDS
         s = WORDS + zlib.crc32(shape.encode("utf-8", "replace")) % (SHAPES - 1)
-        self[word] = known = w << 16 | s
+        known = w << 16 | s
+        if len(word) <= LONG_WORD:
+            self[word] = known
         return known
 
 

@@ -161,3 +161,11 @@ def test_quality_votes_like_brute_force(spark):
     empty = quality.fit(docs, labels.where("false"))
     assert {r.score for r in quality.score_documents(docs, empty).collect()} == {0.5}
     assert quality.score_documents(docs.where("false"), model).count() == 0
+
+
+def test_shapes_see_whole_words():
+    start = "ab1-" * 60
+    one, other = (quality.counts([start + end])[0, quality.WORDS :] for end in ("tail" * 50, "TAIL9" * 50))
+    assert (one != other).any() and one.sum() == other.sum() == 1
+    kept = quality.Cells()
+    assert kept["x" * 201] != kept["y" + "X-" * 100] and not kept and kept["short"] >= 0 and len(kept) == 1
