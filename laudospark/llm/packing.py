@@ -3,8 +3,8 @@
 Every example has a vector of sizes: tokens, segments (one per example) and loss-bearing tokens. A sequence has a limit
 in each dimension. An open sequence takes, of the waiting examples that still fit, the one whose sizes have the largest
 dot product with what is left, both measured in shares of the limits; so it favours examples that use up what is
-plentiful. Where cutting is allowed, an example is cut when nothing that waits fits whole, so a sequence ends full; the
-last open sequence of a partition is cut into powers of two, which need no padding.
+plentiful. Where cutting is allowed, an example is cut when nothing that waits fits whole, so a sequence ends full; one
+that ends at another limit, and the last one of a partition, is cut into powers of two, which need no padding.
 
 Each partition of the input packs its own rows in one streaming pass: there is no shuffle, at most ``POOL`` examples
 wait at a time, and a lost task packs the same rows the same way again. Sequence identifiers hold the partition's number.
@@ -185,7 +185,7 @@ def pack_texts(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text:
         packer = Packer((max_tokens, max_segments, max_loss_tokens), True, lambda *x: placed.append(x))
 
         def settle(last: bool) -> None:
-            """Number the sequences that are closed; the last one, if not full, is cut into powers of two."""
+            """Number the sequences that are closed; those that are not full are cut into powers of two."""
             nonlocal sequences, placed
             done = [x for x in placed if last or x[3] < packer.sequence]
             placed = [] if last else [x for x in placed if x[3] >= packer.sequence]
@@ -194,7 +194,7 @@ def pack_texts(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text:
                 groups.setdefault(x[3], []).append(x)
             for group in groups.values():
                 total = sum(x[2] for x in group)
-                sizes = powers(total) if last and total < max_tokens else [max(total, max_tokens)]
+                sizes = powers(total) if total < max_tokens else [max(total, max_tokens)]
                 at, room = 0, sizes[0]
                 for example, start, length, _, _ in group:
                     while length:

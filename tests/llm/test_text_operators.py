@@ -5,6 +5,7 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from laudospark.llm import language_id, packing, quality, token_count
@@ -169,3 +170,17 @@ def test_shapes_see_whole_words():
     assert (one != other).any() and one.sum() == other.sum() == 1
     kept = quality.Cells()
     assert kept["x" * 201] != kept["y" + "X-" * 100] and not kept and kept["short"] >= 0 and len(kept) == 1
+
+
+def test_many_short_rows_are_packed_without_padding(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("a b")).otherwise(F.lit("")).alias("text")).repartition(2)
+    rows = packing.pack_texts(docs, BYTE, max_segments=256).collect()
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in sequences.values():
+        pieces.sort()
+        size = sum(n for _, n in pieces)
+        assert [o for o, _ in pieces] == [sum(n for _, n in pieces[:i]) for i in range(len(pieces))]
+        assert size & (size - 1) == 0 and size <= 1024 and len(pieces) <= 256
+    assert sum(r.length for r in rows) == 1000 * 3 + 2000 and len({r.doc_id for r in rows}) == 3000
