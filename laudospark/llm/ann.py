@@ -48,6 +48,8 @@ ROOT_PARTITIONS = 64
 MAX_PARTITIONS = 256
 BLOCK_ROWS = 20_000
 BLOCK_QUERIES = 5_000
+#: Pairs whose vectors are multiplied out together.
+PAIRS = 1 << 16
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -193,12 +195,25 @@ def matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), np.float64)
 
 
+def scored(near: np.ndarray, a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Query, row and exact cosine of the pairs marked, about ``PAIRS`` at a time."""
+    q, r = np.nonzero(near)
+    for at in range(0, max(len(q), 1), PAIRS):
+        i, j = q[at : at + PAIRS], r[at : at + PAIRS]
+        yield i, j, (a[i] * b[j]).sum(axis=1) / (na[i] * nb[j])
+
+
 def best(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k nearest rows of each query, by a product in double precision and then one exact sum per pair kept."""
     if not len(queries) or not len(rows):
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
     rows = rows.sort_values("id", kind="stable")
     b, ids = matrix(rows["v"]), rows["id"].to_numpy()
+    # Equal vectors have equal scores: of each, only the k + 1 smallest identifiers (one may be the query's own) can come first.
+    same = pd.DataFrame({"v": pd.factorize(np.array([x.tobytes() for x in b + 0.0], object))[0], "id": ids})
+    able = ~same.duplicated().to_numpy()
+    able[able] = (same[able].groupby("v").cumcount() <= k).to_numpy()
+    b, ids = b[able], ids[able]
     nb = np.sqrt((b * b).sum(axis=1))
     wide = k + len(ids) - len(np.unique(ids))
     out = []
@@ -209,8 +224,8 @@ def best(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
         near = (a / na[:, None]) @ (b / nb[:, None]).T
         near[own[:, None] == ids[None, :]] = -np.inf
         bound = np.partition(near, -wide, axis=1)[:, -wide] if near.shape[1] > wide else np.full(len(near), -1e300)
-        q, r = np.nonzero(near >= bound[:, None] - 1e-9)
-        score = (a[q] * b[r]).sum(axis=1) / (na[q] * nb[r])
+        near = near >= bound[:, None] - 1e-9
+        q, r, score = (np.concatenate(x) for x in zip(*scored(near, a, na, b, nb)))
         order = np.lexsort((ids[r], -score, q))
         q, r, score = q[order], r[order], score[order]
         if wide > k:

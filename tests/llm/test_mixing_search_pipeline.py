@@ -142,6 +142,27 @@ def test_search_is_exact_where_all_is_probed(spark, monkeypatch):
     assert sorted((r["rank"] for r in few.collect())) == [1, 2]
 
 
+def test_ties_by_the_thousand_take_little_memory():
+    import tracemalloc
+
+    import pandas as pd
+
+    v = np.random.default_rng(3).standard_normal(64)
+    ids = np.random.default_rng(4).permutation(20_000)
+    for scale in (lambda i: 1.0, lambda i: 1.0 + i % 7):  # equal vectors, and multiples, which are as near
+        rows = pd.DataFrame({"id": ids, "v": [v * scale(i) for i in ids]})
+        tracemalloc.start()
+        got = ann.best(rows[rows["id"] % 100 == 0], rows, 5)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 600 << 20
+        exact = {i: ((v * scale(0)) * (v * scale(i))).sum() / (np.sqrt(((v * scale(0)) ** 2).sum()) * np.sqrt(((v * scale(i)) ** 2).sum())) for i in range(1, 60)}
+        first = got[got["query_id"] == 0]
+        if scale(1) == 1.0:
+            assert list(first["vec_id"]) == [1, 2, 3, 4, 5] and list(got[got["query_id"] == 100]["vec_id"]) == [0, 1, 2, 3, 4]
+        assert len(got) == 1000 and abs(first["score"].to_numpy() - max(exact.values())).max() < 1e-12
+
+
 def test_search_recall_with_partitions(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     got = ann.search(df, lambda c: c % 50 == 0, k=5, rows_per_partition=250).toPandas()
