@@ -9,8 +9,9 @@ fragments' overlaps are counted separately and summed, which gives the exact siz
 Equal sets are one class. Of the classes that meet under an n-gram, all name one as their hub, the one most of whose
 n-grams are shared; each class is compared with the hub that most of its n-grams name, and takes its label if they are
 similar. Classes with the same hub, similar or not, are a region, and only classes with different labels are compared
-further: within a region those outside of its largest label with all of it, block by block; across regions those whose
-prefixes share enough for the similarity. So most of a group of thousands of near copies costs one comparison each, and
+further: within a region those outside of its largest label with all of it, block by block; across regions those that
+meet early enough in both prefixes: what two sets have in common lies from their first common n-gram on, so its places
+in both bound the overlap. So most of a group of thousands of near copies costs one comparison each, and
 no link between labels is missed. Components come from all links in the end.
 
 N-grams and classes are 64-bit hashes of the words and of the whole set.
@@ -29,7 +30,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, ship, written
@@ -48,6 +49,8 @@ MARGIN = 1.3
 #: Bits of the bitmap of frequent n-grams, and least and most bits of the filter of wanted classes.
 FREQUENT_BITS = 24
 BLOOM_BITS = (16, 27)
+#: Common n-grams of two prefixes, in the global order, that are looked for when classes meet across regions.
+FIRST = 2
 #: N-grams that one bucket of the counting and meeting steps holds on average, and that a task sends at once.
 BUCKET_GRAMS = 1_000_000
 SEND_GRAMS = 400_000
@@ -291,14 +294,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
         return prefix(grams)[0], name, len(grams)
 
     rare = bucketed(texts, rare_of, buckets).groupBy("bucket").applyInArrow(meet, "s long, cls long, n int")
-    met = written(rare.unionByName(meet_frequent(rows)), "ngram-meetings")
+    met = rare.withColumn("frequent", F.lit(False)).unionByName(meet_frequent(rows).withColumn("frequent", F.lit(True)))
+    met = written(met, "ngram-meetings")
     release(spark)
     # The place in the order where each prefix ends says what of two sets has been compared when their meetings are known.
     ends = rows.where("last is not null").groupBy("cls", "n").agg(F.max("last").alias("last"))
     shared = met.groupBy("cls", "n").agg(F.count("*").cast("int").alias("met")).join(ends, ["cls", "n"])
     shared = shared.withColumn("likely", 2 * F.col("met") >= least_shared("n", "n", threshold))
     segments = fragments(texts, shared.where("likely").select("cls"), bitmap, n)
-    met = met.join(shared, ["cls", "n"]).select("s", "cls", "n", "likely", "met", "last", (F.col("met") / F.col("n")).alias("share"))
+    # Place among the n-grams that the class shares with any other, in the global order: hashes are unsigned there.
+    rank = F.row_number().over(Window.partitionBy("cls", "n").orderBy("frequent", F.col("s") < 0, "s"))
+    met = met.join(shared, ["cls", "n"]).select("s", "cls", "n", "likely", "met", rank.alias("rank"), "last", (F.col("met") / F.col("n")).alias("share"))
     met = written(met, "ngram-shares")
     release(spark)
 
@@ -315,19 +321,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     regions = written(named_by(star).withColumnRenamed("label", "region"), "ngram-regions")
     edges = edges.unionByName(within(regions, labels, segments, threshold))
 
-    # What meets across regions. A pair is counted under every n-gram that both prefixes hold.
+    # What meets across regions. A pair is counted under the n-grams that may be among its first ``FIRST`` common ones.
     placed = place(met, regions.withColumnRenamed("region", "label"))
     counted = placed.groupBy("s", "label").agg(F.count("*").alias("m"))
     main = counted.groupBy("s").agg(F.max(F.struct("m", "label")).alias("x"), F.count("*").alias("labels")).where("labels > 1").select("s", F.col("x.label").alias("main"))
-    names = lambda x: [F.col(c).alias(f"{d}{x}") for c, d in (("cls", ""), ("n", "n"), ("met", "met_"), ("last", "last_"), ("label", "l"))]
+    names = lambda x: [F.col(c).alias(f"{d}{x}") for c, d in (("cls", ""), ("n", "n"), ("met", "met_"), ("rank", "rank_"), ("last", "last_"), ("label", "l"))]
     left, right = placed.join(main, "s").where("label <> main").select("s", "main", *names("a")), placed.select("s", *names("b"))
     across = left.join(right, "s").where("la <> lb and (lb = main or a < b)")
     ends = (("na", "last_a"), ("nb", "last_b"))
-    across = across.where(possible(*ends, F.least("met_a", "met_b"), threshold))
-    first, sides = F.col("a") < F.col("b"), ["a", "na", "last_a", "b", "nb", "last_b"]
-    across = across.select(*[F.when(first, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in zip(sides, [*sides[3:], *sides[:3]])])
-    across = across.groupBy(*sides).agg(F.count("*").alias("shared")).where(F.col("shared") >= least_shared("na", "nb", threshold))
-    across = written(across.where(possible(*ends, F.col("shared"), threshold)).select("a", "na", "b", "nb"), "ngram-across")
+    further = [F.least(*[F.col(f"{most}{x}") - F.col(f"rank_{x}") for x in "ab"]) + FIRST for most in ("met_", "n")]
+    across = across.where(possible(*ends, F.least("met_a", "met_b", further[0]), threshold)).where(reached(further[1], "na", "nb", threshold))
+    first, sides = F.col("a") < F.col("b"), ["a", "na", "b", "nb"]
+    across = across.select(*[F.when(first, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in zip(sides, [*sides[2:], *sides[:2]])])
+    across = across.groupBy(*sides).agg(F.count("*").alias("shared")).where(F.col("shared") >= F.least(F.lit(FIRST), least_shared("na", "nb", threshold)))
+    across = written(across.select(*sides), "ngram-across")
     release(spark)
     if not across.isEmpty():
         again = fragments(texts, across.select(F.explode(F.array("a", "b")).alias("cls")), bitmap, n)
@@ -353,7 +360,7 @@ def named_by(pairs: DataFrame) -> DataFrame:
 def place(met: DataFrame, labels: DataFrame) -> DataFrame:
     """Meetings with the component that each class is in so far."""
     placed = met.join(labels.withColumnRenamed("v", "cls"), "cls", "left")
-    return written(placed.select("s", "cls", "n", "met", "last", F.coalesce("label", "cls").alias("label")), "ngram-placed")
+    return written(placed.select("s", "cls", "n", "met", "rank", "last", F.coalesce("label", "cls").alias("label")), "ngram-placed")
 
 
 def least_shared(a: str, b: str, threshold: int) -> Column:
@@ -367,6 +374,11 @@ def least_shared(a: str, b: str, threshold: int) -> Column:
     return F.greatest(F.lit(1), overlap - rest)
 
 
+def reached(overlap: Column, a: str, b: str, threshold: int) -> Column:
+    """Whether an overlap, or a bound of it, is enough for the similarity of sets of these sizes."""
+    return 100 * overlap >= threshold * (F.col(a) + F.col(b) - overlap)
+
+
 def alike(a: str, b: str, threshold: int):
     """Sizes that allow the similarity."""
     return 100 * F.least(a, b) >= threshold * F.greatest(a, b)
