@@ -329,12 +329,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     left, right = placed.join(main, "s").where("label <> main").select("s", "main", *names("a")), placed.select("s", *names("b"))
     across = left.join(right, "s").where("la <> lb and (lb = main or a < b)")
     ends = (("na", "last_a"), ("nb", "last_b"))
-    further = [F.least(*[F.col(f"{most}{x}") - F.col(f"rank_{x}") for x in "ab"]) + FIRST for most in ("met_", "n")]
-    across = across.where(possible(*ends, F.least("met_a", "met_b", further[0]), threshold)).where(reached(further[1], "na", "nb", threshold))
-    first, sides = F.col("a") < F.col("b"), ["a", "na", "b", "nb"]
-    across = across.select(*[F.when(first, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in zip(sides, [*sides[2:], *sides[:2]])])
-    across = across.groupBy(*sides).agg(F.count("*").alias("shared")).where(F.col("shared") >= F.least(F.lit(FIRST), least_shared("na", "nb", threshold)))
-    across = written(across.select(*sides), "ngram-across")
+    # What may be common after this n-gram, of the prefixes and of the sets.
+    later, rest = [F.least(*[F.col(f"{most}{x}") - F.col(f"rank_{x}") for x in "ab"]) for most in ("met_", "n")]
+    across = across.where(possible(*ends, F.least("met_a", "met_b", later + FIRST), threshold)).where(reached(rest + FIRST, "na", "nb", threshold))
+    first, sides = F.col("a") < F.col("b"), ["a", "na", "last_a", "b", "nb", "last_b"]
+    across = across.select(*[F.when(first, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in zip(sides, [*sides[3:], *sides[:3]])], later.alias("later"), rest.alias("rest"))
+    across = across.groupBy(*sides).agg(F.count("*").alias("shared"), F.min("later").alias("later"), F.min("rest").alias("rest"))
+    # The n-grams that are left out come after all that are counted, so the last one counted bounds them.
+    across = across.where(F.col("shared") >= F.least(F.lit(FIRST), least_shared("na", "nb", threshold)))
+    across = across.where(F.col("shared") + F.col("later") >= least_shared("na", "nb", threshold))
+    across = across.where(possible(*ends, F.col("shared") + F.col("later"), threshold)).where(reached(F.col("shared") + F.col("rest"), "na", "nb", threshold))
+    across = written(across.select("a", "na", "b", "nb"), "ngram-across")
     release(spark)
     if not across.isEmpty():
         again = fragments(texts, across.select(F.explode(F.array("a", "b")).alias("cls")), bitmap, n)
