@@ -12,6 +12,8 @@ from .joins import lookup_join
 from .textjoin import form_hits
 
 FORMS_PER_CHUNK = 500
+#: Tokens of a rule by which reports find it; those beyond are tested one by one.
+ENTRY_TOKENS = 3
 
 
 def kb_stats(terms: DataFrame, weights: Sequence[str] = L.WEIGHTS) -> DataFrame:
@@ -74,9 +76,10 @@ def compound_diagnoses(
 ) -> DataFrame:
     """``(key, exam_type, condicao, diagnostico)`` for every rule whose tokens are all among the findings.
 
-    A relational division: findings are rows, a report meets the rules filed under one of its own findings, and of those
-    it keeps the ones whose other tokens it has too. With ``text``, tokens that no parser reports are found in it by
-    ``patterns`` of the row's exam type.
+    A relational division by levels: a rule is filed under its first ``ENTRY_TOKENS`` tokens in order, a report grows its
+    findings into such entries one token at a time, and only entries with which some rule begins grow on. So a report
+    meets the rules that have all of those tokens, and only rules of more tokens are tested for the rest. With ``text``,
+    tokens that no parser reports are found in it by ``patterns`` of the row's exam type.
     """
     required = F.split("condicao", r" \+ ")
     if aliases:
@@ -85,18 +88,22 @@ def compound_diagnoses(
     known = F.coalesce(F.col(findings), F.array().cast("array<string>"))
     if text is not None:
         known = F.array_union(known, found_tokens(F.col(text), F.col("exam_type"), patterns))
-    # A rule is filed under the token that the fewest rules of its type need; only reports with that token look at it.
-    rules = compounds.select("exam_type", "condicao", "diagnostico", F.array_distinct(required).alias("__required"))
-    tokens = rules.select("*", F.explode("__required").alias("token"))
-    needed = tokens.groupBy("exam_type", "token").agg(F.count("*").alias("__rules"))
-    entry = F.min_by("token", F.struct("__rules", "token"))
-    filed = tokens.join(needed, ["exam_type", "token"]).groupBy("exam_type", "condicao", "diagnostico", "__required").agg(entry.alias("token"))
-    found = reports.select(key, "exam_type", F.array_distinct(known).alias("__found"))
+    rules = compounds.select("exam_type", "condicao", "diagnostico", F.array_sort(F.array_distinct(required)).alias("__required")).distinct()
+    found = reports.select(key, "exam_type", F.array_sort(F.array_distinct(known)).alias("__found"))
     # Outer, or the optimizer tests for empty findings first and computes them twice; no rule has a null token.
-    found = found.select("*", F.explode_outer("__found").alias("token"))
+    found = found.select("*", F.explode_outer("__found").alias("__first")).select("*", F.array("__first").alias("__tokens")).drop("__first")
+    for size in range(1, ENTRY_TOKENS):
+        begun = rules.select("exam_type", F.slice("__required", 1, size).alias("__tokens")).distinct()
+        found = found.join(begun, ["exam_type", "__tokens"], "left_semi")
+        later = F.filter("__found", lambda t: t > F.element_at("__tokens", -1))
+        grown = F.transform(later, lambda t: F.array_append("__tokens", t))
+        entries = F.when(F.size("__tokens") == size, F.concat(F.array("__tokens"), grown)).otherwise(F.array("__tokens"))
+        found = found.select(key, "exam_type", "__found", F.explode(entries).alias("__tokens"))
+    filed = rules.select("*", F.slice("__required", 1, ENTRY_TOKENS).alias("__tokens"))
+    whole = (F.size("__required") <= ENTRY_TOKENS) | (F.size(F.array_except("__required", "__found")) == 0)
     return (
-        found.join(filed, ["exam_type", "token"])
-        .filter(F.size(F.array_except("__required", "__found")) == 0)
+        found.join(filed, ["exam_type", "__tokens"])
+        .filter(whole)
         .select(key, "exam_type", "condicao", "diagnostico")
     )
 

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -95,3 +96,34 @@ def test_rules_by_division(spark):
     plan = plan_of(df)
     joins = [line for line in plan.splitlines() if "Join" in line]
     assert joins and all("token" in j for j in joins), plan
+
+
+def joined_rows(df):
+    """Rows that each join of a plan made that was run once."""
+    query = df._jdf.queryExecution()
+    out, todo = [], [query.executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+        if "Join" in name:
+            out.append(node.metrics().apply("numOutputRows").value())
+    return out
+
+
+def test_reports_meet_only_rules_whose_tokens_they_have(spark):
+    """Before, a report met every rule filed under any one of its findings."""
+    tokens = [f"t{i:02}" for i in range(20)]
+    rules = [("a", " + ".join(c), "d") for n in (1, 2, 3, 4, 5) for c in itertools.combinations(tokens[: 20 if n < 4 else 8], n)]
+    reports = [(i, "a", [tokens[(i + j * 7) % 20] for j in range(4)]) for i in range(40)]
+    r = spark.createDataFrame(reports, "report_id int, exam_type string, achados array<string>")
+    c = spark.createDataFrame(rules, "exam_type string, condicao string, diagnostico string")
+    want = {(i, k, cond, d) for i, k, found in reports for _, cond, d in rules if set(cond.split(" + ")) <= set(found)}
+    df = K.compound_diagnoses(r, c, aliases={})
+    assert {tuple(x) for x in df.collect()} == want
+    assert max(joined_rows(df)) <= 1.5 * len(want)
