@@ -127,3 +127,18 @@ def test_reports_meet_only_rules_whose_tokens_they_have(spark):
     df = K.compound_diagnoses(r, c, aliases={})
     assert {tuple(x) for x in df.collect()} == want
     assert max(joined_rows(df)) <= 1.5 * len(want)
+
+
+def test_costly_columns_of_texts_are_computed_once(spark):
+    """Before, each of the joins computed them anew."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def costly(text):
+        seen.add(1)
+        return text
+
+    texts = spark.createDataFrame([(i, f"alfa beta gama {i}") for i in range(20)], "k int, text string").withColumn("text", costly("text"))
+    forms = spark.createDataFrame([("beta gama",), ("lfa be",), ("-",)], "form string")
+    assert T.form_hits(texts, forms, "k").count() == 40
+    assert seen.value == 20
