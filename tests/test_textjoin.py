@@ -142,3 +142,23 @@ def test_costly_columns_of_texts_are_computed_once(spark):
     forms = spark.createDataFrame([("beta gama",), ("lfa be",), ("-",)], "form string")
     assert T.form_hits(texts, forms, "k").count() == 40
     assert seen.value == 20
+
+
+def test_forms_meet_a_text_only_where_their_words_are_neighbours(spark, monkeypatch):
+    """Before, every text that held a form's rarest word was searched for the form."""
+    monkeypatch.setattr(T, "FORMS_PER_ROW", 1)
+    words = [3 * c for c in "abcdefghijkl"]
+    texts = [(i, " x ".join(words)) for i in range(30)] + [(30, "aaa bbb ccc, ddd")]
+    forms = [" ".join(c) for c in itertools.permutations(words, 2)] + ["aa bbb c", "ccc, d"]
+    df = T.form_hits(spark.createDataFrame(texts, "k int, text string"), spark.createDataFrame([(x,) for x in forms], "form string"), "k")
+    assert {tuple(r) for r in df.collect()} == {(30, x) for x in ("aaa bbb", "bbb ccc", "aa bbb c", "ccc, d")}
+    assert max(joined_rows(df)) < 30 * len(words)
+
+
+def test_forms_longer_than_their_surroundings(spark):
+    """What passes around a place is searched in the whole text, with the gaps as they are."""
+    texts = [(1, "alfa beta, gama delta epsilon zeta eta"), (2, "alfa beta gama delta epsilon zeta"), (3, "beta, gama delta epsilon - zeta et"), (4, "gama delta epsilon zeta eta alfa beta,")]
+    forms = ["beta, gama delta epsilon zeta", "ta, gama delta epsilon zeta e", "lfa beta gama delta epsilon ze", "epsilon - zeta et", "a beta,", ", gama d", "zeta eta alfa beta, "]
+    t = spark.createDataFrame(texts, "k int, text string")
+    got = {tuple(r) for r in T.form_hits(t, spark.createDataFrame([(x,) for x in forms], "form string"), "k").collect()}
+    assert got == {(k, x) for k, text in texts for x in forms if x in text} and len(got) > 6
