@@ -187,13 +187,16 @@ def mixed_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     takes = pieces.groupBy("source_no", "offset", "epoch").agg(F.sum("length").alias("taken"), F.min("slot").alias("slot"))
     takes = takes.groupBy("source_no", "offset").agg(F.collect_list(F.struct("slot", "taken")).alias("__takes"))
     # Rows of the same identifier, source and size are told apart by number: all of them are laid out, taken or not.
-    same = F.struct(F.col(key).cast("long").alias("key"), F.col("source").alias("source"), F.col("size").alias("size"))
+    # One type on both sides, down to what may be null: the join would cast, and shuffle again, what is numbered by it.
+    alike = "struct<key:bigint,source:string,size:bigint>"
+    same = F.struct(F.col(key).cast("long").alias("key"), F.col("source").alias("source"), F.col("size").alias("size")).cast(alike)
     laid = documents.where("size > 0").join(takes, ["source_no", "offset"], "left")
     places = laid.groupBy(same.alias("__same")).agg(F.array_sort(F.collect_list(F.struct("offset", "__takes"))).alias("__places"))
     size = word_count(F.col(text))
-    rows = docs.withColumn("__same", F.struct(F.col(key).cast("long").alias("key"), F.col(source).cast("string").alias("source"), size.alias("size")))
+    rows = docs.withColumn("__same", F.struct(F.col(key).cast("long").alias("key"), F.col(source).cast("string").alias("source"), size.alias("size")).cast(alike))
     number = F.row_number().over(Window.partitionBy("__same").orderBy(F.xxhash64(F.col(text)), F.col(text)))
-    found = rows.where("__same.size > 0").join(places, "__same").withColumn("__nth", number)
+    # Numbered first: the join then finds the texts where the numbering put them, so that they are shuffled once for both.
+    found = rows.where("__same.size > 0").withColumn("__nth", number).join(places, "__same")
     found = found.select(*docs.columns, F.col("__same.size").alias("__size"), F.explode(F.element_at("__places", F.col("__nth"))["__takes"]).alias("__take"))
     whole = F.col("__take.taken") == F.col("__size")
     cut = F.when(whole, F.col(text)).otherwise(first_words(F.col(text), F.col("__take.taken").cast("int")))

@@ -253,3 +253,16 @@ def test_every_query_is_registered():
     assert set(queries.QUERIES) | {"pipeline"} <= set(E.queries())
     assert set(queries.ORACLES) <= set(E.oracle_sql())
     assert [f"op{i}_" in " ".join(queries.QUERIES) for i in range(1, 11)] == [True] * 10
+
+
+def test_texts_of_the_mix_are_shuffled_twice(spark):
+    """For numbering and join together, and into the mix's order; before, numbering and join each shuffled them."""
+    docs = spark.createDataFrame([(i, f"word {i} " * (1 + i % 5), "ab"[i % 2]) for i in range(40)], "doc_id long, text string, source string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = mixing.mixed_texts(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line and "__same" in line]
+    assert len(dealt) == 1, dealt  # the places beside them are dealt by a grouping expression
