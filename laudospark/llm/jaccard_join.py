@@ -11,7 +11,7 @@ n-grams are shared; each class is compared with the hub that most of its n-grams
 similar. Classes with the same hub, similar or not, are a region, and only classes with different labels are compared
 further: within a region those outside of its largest label with all of it, block by block; across regions those that
 meet early enough in both prefixes: what two sets have in common lies from their first common n-gram on, so its places
-in both bound the overlap. So most of a group of thousands of near copies costs one comparison each, and
+in both bound the overlap, and so do the bits of a signature in which two sets differ. So most of a group of thousands of near copies costs one comparison each, and
 no link between labels is missed. Components come from all links in the end.
 
 N-grams and classes are 64-bit hashes of the words and of the whole set.
@@ -33,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import remove_folder
 from .common import checkpointed, ship, written
 
 N = 5
 THRESHOLD = 75  # per cent
-CELLS = 1 << 10
 #: Fragments of the rare n-grams, equal ranges of hashes; the frequent ones are one more.
 FRAGMENTS = 8
 #: Fragments whose overlaps are counted first; pairs that they rule out are not looked at further.
@@ -51,6 +51,8 @@ FREQUENT_BITS = 24
 BLOOM_BITS = (16, 27)
 #: Common n-grams of two prefixes, in the global order, that are looked for when classes meet across regions.
 FIRST = 2
+#: Columns of the bits by which the least difference of two sets is told.
+ODD = ("odd_0", "odd_1")
 #: N-grams that one bucket of the counting and meeting steps holds on average, and that a task sends at once.
 BUCKET_GRAMS = 1_000_000
 SEND_GRAMS = 400_000
@@ -137,29 +139,26 @@ def prefix_length(n: int, threshold: int = THRESHOLD) -> int:
 
 def marked(bitmap: np.ndarray, grams: np.ndarray) -> np.ndarray:
     at = grams & np.uint64(8 * len(bitmap) - 1)
-    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def combined(rows: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], np.ndarray], join: Callable, size: int, dtype: str) -> np.ndarray:
-    """One array of fixed size from one per partition, combined cell by cell in chunks that are dealt over tasks."""
+def odd_bits(grams: np.ndarray) -> tuple[int, int]:
+    """Of 128 ranges of a hash, which ones hold an odd number of the n-grams, as two numbers.
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = make(batches)
-        chunks = [i for i in range(0, size, CELLS) if whole[i : i + CELLS].any()]
-        for at in range(0, len(chunks), 64):
-            part = chunks[at : at + 64]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([whole[i : i + CELLS].tobytes() for i in part], pa.binary())], names=["chunk", "cells"])
-
-    def meet(frame: pd.DataFrame) -> pd.DataFrame:
-        total = np.frombuffer(frame["cells"].iloc[0], dtype)
-        for more in frame["cells"].iloc[1:]:
-            total = join(total, np.frombuffer(more, dtype))
-        return pd.DataFrame({"chunk": frame["chunk"].iloc[:1], "cells": [total.tobytes()]})
-
-    out = np.zeros(size, dtype)
-    found = rows.mapInArrow(local, "chunk long, cells binary").groupBy("chunk").applyInPandas(meet, "chunk long, cells binary").toArrow()
-    for at, cells in zip(found["chunk"].to_pylist(), found["cells"].to_pylist()):
-        out[at : at + CELLS] = np.frombuffer(cells, dtype)
+    Each n-gram that only one of two sets has changes one bit, so two sets differ by as many n-grams as bits at least.
+    """
+    odd = np.bincount((grams >> np.uint64(24) & np.uint64(127)).astype(np.int64), minlength=128) & 1
+    return tuple(np.packbits(odd.astype(np.uint8)).view(np.int64).tolist())
+
+
+def bitmap_of(positions: DataFrame, bits: int) -> np.ndarray:
+    """The bitmap of so many bits in which the numbers of the one column ``at`` are set, combined within tasks first."""
+    at = F.col("at") + 1  # the functions count from 1
+    chunks = positions.groupBy(F.bitmap_bucket_number(at).alias("chunk")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("cells")).toArrow()
+    out = np.zeros(bits // 8, np.uint8)
+    for chunk, cells in zip(chunks["chunk"].to_pylist(), chunks["cells"].to_pylist()):
+        part = out[(chunk - 1) * len(cells) :][: len(cells)]
+        part[:] = np.frombuffer(cells, np.uint8)[: len(part)]
     return out
 
 
@@ -169,6 +168,12 @@ def release(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table of ``written`` that nothing reads any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        remove_folder(table.sparkSession, folder)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``v``, ``label``: the smallest vertex of each one's component, by passing on minima and jumping along labels."""
     both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -237,16 +242,8 @@ def frequent_bitmap(texts: DataFrame, n: int, threshold: int, buckets: int) -> n
         values, times = np.unique(s, return_counts=True)
         return pa.table({"s": pa.array(values[times >= FREQUENT].view(np.int64))})
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        out = np.zeros(1 << FREQUENT_BITS, bool)
-        for batch in batches:
-            s = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            out[(s & np.uint64(len(out) - 1)).astype(np.int64)] = True
-        return np.packbits(out)
-
-    # Written, so that no task needs two Python workers at once.
-    found = written(bucketed(texts, grams_of, buckets).groupBy("bucket").applyInArrow(frequent, "s long"), "ngram-frequent")
-    return combined(found, mark, np.bitwise_or, (1 << FREQUENT_BITS) // 8, "uint8")
+    found = bucketed(texts, grams_of, buckets).groupBy("bucket").applyInArrow(frequent, "s long")
+    return bitmap_of(found.select(F.col("s").bitwiseAND((1 << FREQUENT_BITS) - 1).alias("at")), 1 << FREQUENT_BITS)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, threshold: int = THRESHOLD) -> DataFrame:
@@ -259,6 +256,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     buckets = int(np.clip(words // 6 // 3 // BUCKET_GRAMS, 2 * partitions, 1 << 20))
 
     bitmap = spark.sparkContext.broadcast(frequent_bitmap(texts, n, threshold, buckets))
+    release(spark)
 
     def prefix(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rare and the frequent n-grams of a set's prefix."""
@@ -270,21 +268,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            sizes, names, hot, last = [], [], [], []
+            sizes, names, hot, last, odd = [], [], [], [], []
             for t in batch.column("text"):
                 grams = ngram_set(t.as_py(), n)
                 name = class_of(grams) if len(grams) else None
                 sizes.append(len(grams))
                 names.append(name)
-                own, rest = ((), ()) if name is None or name in seen else prefix(grams)
+                new = name is not None and name not in seen
+                own, rest = prefix(grams) if new else ((), ())
+                odd.append(odd_bits(grams) if new else (None, None))
                 hot.append(rest.view(np.int64) if len(rest) else None)
                 last.append((int(rest[-1]) >> 2) + (1 << 62) if len(rest) else int(own[-1]) >> 2 if len(own) else None)
                 seen.add(name)
             columns = [batch.column("key"), pa.array(sizes, pa.int32()), pa.array(names, pa.int64()), pa.array(hot, pa.list_(pa.int64())), pa.array(last, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "cls", "hot", "last"])
+            columns += [pa.array([x[i] for x in odd], pa.int64()) for i in range(2)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "cls", "hot", "last", *ODD])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    rows = written(rows.mapInArrow(sets, "key long, n int, cls long, hot array<long>, last long"), "ngram-sets")
+    rows = written(rows.mapInArrow(sets, "key long, n int, cls long, hot array<long>, last long, " + ", ".join(f"{c} long" for c in ODD)), "ngram-sets")
 
     def rare_of(t: str, seen: set) -> tuple | None:
         grams = ngram_set(t, n)
@@ -298,14 +299,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     met = written(met, "ngram-meetings")
     release(spark)
     # The place in the order where each prefix ends says what of two sets has been compared when their meetings are known.
-    ends = rows.where("last is not null").groupBy("cls", "n").agg(F.max("last").alias("last"))
+    ends = rows.where("last is not null").groupBy("cls", "n").agg(*[F.max(c).alias(c) for c in ("last", *ODD)])
     shared = met.groupBy("cls", "n").agg(F.count("*").cast("int").alias("met")).join(ends, ["cls", "n"])
     shared = shared.withColumn("likely", 2 * F.col("met") >= least_shared("n", "n", threshold))
     segments = fragments(texts, shared.where("likely").select("cls"), bitmap, n)
     # Place among the n-grams that the class shares with any other, in the global order: hashes are unsigned there.
     rank = F.row_number().over(Window.partitionBy("cls", "n").orderBy("frequent", F.col("s") < 0, "s"))
-    met = met.join(shared, ["cls", "n"]).select("s", "cls", "n", "likely", "met", rank.alias("rank"), "last", (F.col("met") / F.col("n")).alias("share"))
+    meetings = met
+    met = met.join(shared, ["cls", "n"]).select("s", "cls", "n", "likely", "met", rank.alias("rank"), "last", (F.col("met") / F.col("n")).alias("share"), *ODD)
     met = written(met, "ngram-shares")
+    discard(meetings)
     release(spark)
 
     likely = met.where("likely")
@@ -317,21 +320,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     best = named.groupBy("cls", "n").agg(F.max(F.struct("votes", "hub", "hub_n")).alias("x"))
     star = written(best.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("x.hub").alias("b"), F.col("x.hub_n").alias("nb")), "ngram-star")
     edges = written(linked(star, segments, threshold), "ngram-edges")
-    labels = written(named_by(edges), "ngram-labels")
-    regions = written(named_by(star).withColumnRenamed("label", "region"), "ngram-regions")
-    edges = edges.unionByName(within(regions, labels, segments, threshold))
+    regions = written(named_by(star, edges), "ngram-regions")
+    edges = edges.unionByName(within(regions, segments, threshold))
+    discard(segments)
+    release(spark)
 
     # What meets across regions. A pair is counted under the n-grams that may be among its first ``FIRST`` common ones.
-    placed = place(met, regions.withColumnRenamed("region", "label"))
+    placed = place(met, regions.select("v", F.col("region").alias("label")))
+    discard(met)
     counted = placed.groupBy("s", "label").agg(F.count("*").alias("m"))
     main = counted.groupBy("s").agg(F.max(F.struct("m", "label")).alias("x"), F.count("*").alias("labels")).where("labels > 1").select("s", F.col("x.label").alias("main"))
-    names = lambda x: [F.col(c).alias(f"{d}{x}") for c, d in (("cls", ""), ("n", "n"), ("met", "met_"), ("rank", "rank_"), ("last", "last_"), ("label", "l"))]
+    names = lambda x: [F.col(c).alias(f"{d}{x}") for c, d in (("cls", ""), ("n", "n"), ("met", "met_"), ("rank", "rank_"), ("last", "last_"), ("label", "l"), *[(c, f"{c}_") for c in ODD])]
     left, right = placed.join(main, "s").where("label <> main").select("s", "main", *names("a")), placed.select("s", *names("b"))
     across = left.join(right, "s").where("la <> lb and (lb = main or a < b)")
     ends = (("na", "last_a"), ("nb", "last_b"))
     # What may be common after this n-gram, of the prefixes and of the sets.
     later, rest = [F.least(*[F.col(f"{most}{x}") - F.col(f"rank_{x}") for x in "ab"]) for most in ("met_", "n")]
     across = across.where(possible(*ends, F.least("met_a", "met_b", later + FIRST), threshold)).where(reached(rest + FIRST, "na", "nb", threshold))
+    differ = sum(F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in ODD)
+    across = across.where(reached(F.floor((F.col("na") + F.col("nb") - differ) / 2), "na", "nb", threshold))
     first, sides = F.col("a") < F.col("b"), ["a", "na", "last_a", "b", "nb", "last_b"]
     across = across.select(*[F.when(first, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in zip(sides, [*sides[3:], *sides[:3]])], later.alias("later"), rest.alias("rest"))
     across = across.groupBy(*sides).agg(F.count("*").alias("shared"), F.min("later").alias("later"), F.min("rest").alias("rest"))
@@ -354,18 +361,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     return rows.select("key", "n", "cls").join(final, "cls", "left").select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
 
 
-def named_by(pairs: DataFrame) -> DataFrame:
-    """``v``, ``label``: each class of the pairs with its hub's hub, its hub, or itself."""
-    own = pairs.select(F.col("a").alias("v"), F.col("b").alias("label"))
-    hubs = pairs.select(F.col("b").alias("v")).distinct().join(own, "v", "left_anti").select("v", F.col("v").alias("label"))
-    further = own.select(F.col("v").alias("label"), F.col("label").alias("next"))
-    return own.join(further, "label", "left").select("v", F.coalesce("next", "label").alias("label")).unionByName(hubs)
+def named_by(star: DataFrame, edges: DataFrame) -> DataFrame:
+    """``v``, ``n``, ``region``, ``label`` of the classes of the star: the hub's hub, the hub, or the class itself; for the
+    label only as far as they are linked."""
+    own = star.join(edges.withColumn("is_linked", F.lit(True)), ["a", "b"], "left")
+    own = own.select(F.col("a").alias("v"), F.col("na").alias("n"), F.col("b").alias("hub"), F.coalesce("is_linked", F.lit(False)).alias("is_linked"))
+    hubs = star.groupBy(F.col("b").alias("v")).agg(F.first("nb").alias("n")).join(own, "v", "left_anti").select("v", "n", F.col("v").alias("region"), F.col("v").alias("label"))
+    further = own.select(F.col("v").alias("hub"), F.col("hub").alias("next"), F.when(F.col("is_linked"), F.col("hub")).alias("next_linked"))
+    label = F.when(F.col("is_linked"), F.coalesce("next_linked", "hub")).otherwise(F.col("v"))
+    return own.join(further, "hub", "left").select("v", "n", F.coalesce("next", "hub").alias("region"), label.alias("label")).unionByName(hubs)
 
 
 def place(met: DataFrame, labels: DataFrame) -> DataFrame:
     """Meetings with the component that each class is in so far."""
     placed = met.join(labels.withColumnRenamed("v", "cls"), "cls", "left")
-    return written(placed.select("s", "cls", "n", "met", "rank", "last", F.coalesce("label", "cls").alias("label")), "ngram-placed")
+    return written(placed.select("s", "cls", "n", "met", "rank", "last", *ODD, F.coalesce("label", "cls").alias("label")), "ngram-placed")
 
 
 def least_shared(a: str, b: str, threshold: int) -> Column:
@@ -423,27 +433,21 @@ def meet_frequent(rows: DataFrame) -> DataFrame:
 
 
 def fragments(texts: DataFrame, classes: DataFrame, bitmap, n: int) -> DataFrame:
-    """``cls``, ``fragment``, ``grams`` of the classes. A Bloom filter of bounded size keeps most others from the shuffle."""
+    """``cls``, ``fragment``, ``grams`` of the classes, and how many n-grams are in the ``early`` fragments; the first
+    fragment is there even if it is empty. A Bloom filter of bounded size keeps most others from the shuffle."""
     spark = texts.sparkSession
     wanted = written(classes.distinct(), "ngram-wanted")
     low, high = BLOOM_BITS
     bits = int(np.clip(int(16 * max(1, wanted.count())).bit_length(), low, high))
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        out = np.zeros(1 << bits, bool)
-        for batch in batches:
-            at = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            out[(at & np.uint64((1 << bits) - 1)).astype(np.int64)] = True
-            out[(at >> np.uint64(64 - bits)).astype(np.int64)] = True
-        return np.packbits(out)
-
-    bloom = spark.sparkContext.broadcast(combined(wanted, mark, np.bitwise_or, (1 << bits) // 8, "uint8"))
+    places = F.array(F.col("cls").bitwiseAND((1 << bits) - 1), F.shiftrightunsigned("cls", 64 - bits))
+    bloom = spark.sparkContext.broadcast(bitmap_of(wanted.select(F.explode(places).alias("at")), 1 << bits))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        has = lambda at: bloom.value[at >> 3] >> (7 - (at & 7)) & 1
+        has = lambda at: bloom.value[at >> 3] >> (at & 7) & 1
         for batch in batches:
-            names, places, grams_of = [], [], []
+            names, places, grams_of, early = [], [], [], []
             for t in batch.column(0):
                 grams = ngram_set(t.as_py(), n)
                 if not len(grams):
@@ -457,13 +461,15 @@ def fragments(texts: DataFrame, classes: DataFrame, bitmap, n: int) -> DataFrame
                 order = np.argsort(part, kind="stable")
                 ends = np.searchsorted(part[order], np.arange(FRAGMENTS + 2))
                 for f in range(FRAGMENTS + 1):
-                    if ends[f] < ends[f + 1]:
+                    if ends[f] < ends[f + 1] or not f:
+                        early.append(int(ends[EARLY]))
                         names.append(name)
                         places.append(f)
                         grams_of.append(grams[order[ends[f] : ends[f + 1]]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(places, pa.int32()), pa.array(grams_of, pa.list_(pa.int64()))], names=["cls", "fragment", "grams"])
+            columns = [pa.array(names, pa.int64()), pa.array(places, pa.int32()), pa.array(grams_of, pa.list_(pa.int64())), pa.array(early, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["cls", "fragment", "grams", "early"])
 
-    found = texts.mapInArrow(cut, "cls long, fragment int, grams array<long>")
+    found = texts.mapInArrow(cut, "cls long, fragment int, grams array<long>, early int")
     return written(found.join(wanted, "cls", "left_semi").dropDuplicates(["cls", "fragment"]), "ngram-fragments")
 
 
@@ -473,24 +479,18 @@ def linked(pairs: DataFrame, segments: DataFrame, threshold: int) -> DataFrame:
     The first fragments are counted for all pairs, the others only for those that these leave possible.
     """
 
-    def counted(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-        a = segments.select(F.col("cls").alias("a"), "fragment", F.col("grams").alias("ga"))
-        b = segments.select(F.col("cls").alias("b"), "fragment", F.col("grams").alias("gb"))
-        overlap = F.size(F.array_intersect("ga", "gb")).alias("both")
-        partial = pairs.join(a, "a").join(b, ["b", "fragment"]).select(*pairs.columns, overlap)
-        return partial.groupBy(*pairs.columns).agg(F.sum("both").alias("both"))
-
-    early = segments.where(F.col("fragment") < EARLY)
-    sizes = early.groupBy("cls").agg(F.sum(F.size("grams")).alias("i"))
     names = ["a", "na", "b", "nb"]
-    first = pairs.select(*names).join(counted(pairs.select(*names), early).withColumnRenamed("both", "first"), names, "left")
-    for side in "ab":
-        first = first.join(sizes.select(F.col("cls").alias(side), F.col("i").alias(f"i{side}")), side, "left")
-    first = first.select(*names, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("first", "ia", "ib")])
+
+    def counted(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+        a, b = (segments.select(F.col("cls").alias(x), "fragment", F.col("grams").alias(f"g{x}"), F.col("early").alias(f"i{x}")) for x in "ab")
+        partial = pairs.select(*names).join(a, "a").join(b, ["b", "fragment"]).select(*names, "ia", "ib", F.size(F.array_intersect("ga", "gb")).alias("both"))
+        return partial.groupBy(*names).agg(F.sum("both").alias("both"), F.first("ia").alias("ia"), F.first("ib").alias("ib"))
+
+    first = counted(pairs, segments.where(F.col("fragment") < EARLY)).withColumnRenamed("both", "first")
     most = F.col("first") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
     left = first.where(100 * most >= threshold * (F.col("na") + F.col("nb") - most)).select(*names, "first")
     left = written(left, "ngram-possible")
-    total = left.join(counted(left.select(*names), segments.where(F.col("fragment") >= EARLY)), names, "left")
+    total = left.join(counted(left, segments.where(F.col("fragment") >= EARLY)), names, "left")
     both = F.col("first") + F.coalesce("both", F.lit(0))
     return total.where(100 * both >= threshold * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
@@ -523,15 +523,13 @@ def compared(left: pd.DataFrame, right: pd.DataFrame, threshold: int) -> pd.Data
     return links.groupby(["a", "label"], as_index=False)["b"].min()[["a", "b"]]
 
 
-def within(regions: DataFrame, labels: DataFrame, segments: DataFrame, threshold: int) -> DataFrame:
+def within(regions: DataFrame, segments: DataFrame, threshold: int) -> DataFrame:
     """Links inside regions between different labels: classes outside a region's largest label against all of it.
 
     Small regions are compared pair by pair. Of larger ones both sides are dealt into blocks of about ``BLOCK`` classes; a
     class goes to as many blocks as the other side has.
     """
-    sizes = segments.groupBy("cls").agg(F.sum(F.size("grams")).cast("int").alias("n"))
-    members = regions.withColumnRenamed("v", "cls").join(labels.withColumnRenamed("v", "cls"), "cls", "left").join(sizes, "cls")
-    members = members.select("cls", "n", "region", F.coalesce("label", "cls").alias("label"))
+    members = regions.select(F.col("v").alias("cls"), "n", "region", "label")
     counted = members.groupBy("region", "label").agg(F.count("*").alias("m"))
     counted = counted.groupBy("region").agg(F.max(F.struct("m", "label")).alias("x"), F.sum("m").alias("all")).where(F.col("all") > F.col("x.m"))
     blocks = counted.select("region", "all", F.col("x.label").alias("main"), F.ceil((F.col("all") - F.col("x.m")) / BLOCK).alias("rows"), F.ceil(F.col("all") / BLOCK).alias("columns"))
@@ -542,7 +540,7 @@ def within(regions: DataFrame, labels: DataFrame, segments: DataFrame, threshold
     other = few.select("region", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
     pairs = one.join(other, "region").where("la <> lb and (lb = main or a < b)").where(alike("na", "nb", threshold)).select("a", "na", "b", "nb")
 
-    many = members.where(F.col("all") > PAIRWISE).join(segments, "cls")
+    many = members.where(F.col("all") > PAIRWISE).join(segments.where(F.size("grams") > 0).drop("early"), "cls")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     key, kept = ["region", "row", "column"], ["cls", "label", "fragment", "grams"]
     left = many.where("label <> main").select("region", F.pmod(F.xxhash64("cls"), "rows").alias("row"), every("columns").alias("column"), *kept)

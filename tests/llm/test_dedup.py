@@ -145,3 +145,25 @@ def test_long_texts_are_hashed_in_parts(monkeypatch):
     assert (jaccard_join.ngram_set(text) == whole).all()
     assert len(whole) == len({tuple(text.split()[k : k + 5]) for k in range(4996)})
     assert F is not None
+
+
+def test_sets_that_differ_too_much_are_not_compared_across_regions(spark, monkeypatch):
+    rnd = random.Random(9)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    passages = [[word() for _ in range(9)] for _ in range(24)]
+    rows = [(i, " ".join(w for p in rnd.sample(passages, 6) for w in [*p, word()])) for i in range(150)]
+    met, written = [], jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 6)
+    monkeypatch.setattr(jaccard_join, "written", lambda df, name: (out := written(df, name), name == "ngram-across" and met.append(out.count()))[0])
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard_join.near_duplicates(frame(spark, rows)).collect())
+    assert got == sorted((d, n, c) for d, n, c in brute_components(rows))
+    assert met == [0]
+
+
+def test_odd_bits_bound_the_difference():
+    rnd = random.Random(3)
+    for _ in range(200):
+        a, b = ({rnd.randrange(1 << 64) for _ in range(rnd.randint(1, 90))} for _ in range(2))
+        a |= set(rnd.sample(sorted(b), len(b) // 2))
+        bits = [jaccard_join.odd_bits(jaccard_join.np.array(sorted(x), "u8")) for x in (a, b)]
+        assert sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(*bits)) <= len(a ^ b)
