@@ -319,7 +319,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     named = named.groupBy("cls", "n", "hub", "hub_n").agg(F.count("*").alias("votes")).where(2 * F.col("votes") >= least_shared("n", "hub_n", threshold))
     best = named.groupBy("cls", "n").agg(F.max(F.struct("votes", "hub", "hub_n")).alias("x"))
     star = written(best.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("x.hub").alias("b"), F.col("x.hub_n").alias("nb")), "ngram-star")
+    release(spark)
     edges = written(linked(star, segments, threshold), "ngram-edges")
+    release(spark)
     regions = written(named_by(star, edges), "ngram-regions")
     edges = edges.unionByName(within(regions, segments, threshold))
     discard(segments)
@@ -328,6 +330,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     # What meets across regions. A pair is counted under the n-grams that may be among its first ``FIRST`` common ones.
     placed = place(met, regions.select("v", F.col("region").alias("label")))
     discard(met)
+    release(spark)
     counted = placed.groupBy("s", "label").agg(F.count("*").alias("m"))
     main = counted.groupBy("s").agg(F.max(F.struct("m", "label")).alias("x"), F.count("*").alias("labels")).where("labels > 1").select("s", F.col("x.label").alias("main"))
     names = lambda x: [F.col(c).alias(f"{d}{x}") for c, d in (("cls", ""), ("n", "n"), ("met", "met_"), ("rank", "rank_"), ("last", "last_"), ("label", "l"), *[(c, f"{c}_") for c in ODD])]
@@ -490,6 +493,7 @@ def linked(pairs: DataFrame, segments: DataFrame, threshold: int) -> DataFrame:
     most = F.col("first") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
     left = first.where(100 * most >= threshold * (F.col("na") + F.col("nb") - most)).select(*names, "first")
     left = written(left, "ngram-possible")
+    release(pairs.sparkSession)
     total = left.join(counted(left, segments.where(F.col("fragment") >= EARLY)), names, "left")
     both = F.col("first") + F.coalesce("both", F.lit(0))
     return total.where(100 * both >= threshold * (F.col("na") + F.col("nb") - both)).select("a", "b")

@@ -1,12 +1,14 @@
 """Exact and near duplicates against brute force."""
 
+import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from laudospark.llm import exact_dedup, jaccard_join
-from laudospark.llm.common import LOWER, UPPER
+from laudospark.llm.common import LOWER, UPPER, shared_folder
 
 FOLD = str.maketrans(UPPER, LOWER)
 SCHEMA = "doc_id long, text string, lang string, id long, row long, body string, cls long, n int"
@@ -152,12 +154,16 @@ def test_sets_that_differ_too_much_are_not_compared_across_regions(spark, monkey
     word = lambda: f"w{rnd.randrange(10**6)}"
     passages = [[word() for _ in range(9)] for _ in range(24)]
     rows = [(i, " ".join(w for p in rnd.sample(passages, 6) for w in [*p, word()])) for i in range(150)]
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
     met, written = [], jaccard_join.written
     monkeypatch.setattr(jaccard_join, "FREQUENT", 6)
     monkeypatch.setattr(jaccard_join, "written", lambda df, name: (out := written(df, name), name == "ngram-across" and met.append(out.count()))[0])
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard_join.near_duplicates(frame(spark, rows)).collect())
     assert got == sorted((d, n, c) for d, n, c in brute_components(rows))
     assert met == [0]
+    left = {re.sub("-[0-9a-f]+$", "", name) for name in set(os.listdir(folder)) - before}
+    assert "llm-ngram-sets" in left and not left & {"llm-ngram-meetings", "llm-ngram-shares"}
 
 
 def test_odd_bits_bound_the_difference():
