@@ -162,3 +162,41 @@ def test_forms_longer_than_their_surroundings(spark):
     t = spark.createDataFrame(texts, "k int, text string")
     got = {tuple(r) for r in T.form_hits(t, spark.createDataFrame([(x,) for x in forms], "form string"), "k").collect()}
     assert got == {(k, x) for k, text in texts for x in forms if x in text} and len(got) > 6
+
+
+@pytest.mark.parametrize("by", [("kind",), ()])
+def test_slices_of_texts_have_the_same_hits(spark, monkeypatch, by):
+    """Before, the places of all texts were shuffled at once; hits are now written slice by slice, those without a key too."""
+    monkeypatch.setattr(T, "SLICE", 2000)
+    written = []
+    plain = T.stored
+    monkeypatch.setattr(T, "stored", lambda df, name: written.append(name) or plain(df, name))
+    texts, forms = made(2)
+    texts.append((None, "x", "abc e zzz nowhere"))
+    t = spark.createDataFrame(texts, "k int, kind string, text string")
+    f = spark.createDataFrame(forms, "kind string, form string")
+    got = T.form_hits(t, f.select(*by, "form"), "k", by=by).collect()
+    assert len(got) == len({tuple(r) for r in got}) and written.count("hits") >= 2
+    if by:
+        assert {(r.k, r.kind, r.form) for r in got} == by_force(texts, forms)
+    else:
+        assert {(r.k, r.form) for r in got} == {(k, f) for k, _, f in by_force([(k, 0, t) for k, _, t in texts], [(0, f) for _, f in forms])}
+
+
+def test_forms_of_two_parts_of_words_are_filed_once(spark):
+    """Before, such a form was filed under every word that its rarer part may belong to."""
+    words = [a + b + "e" for a in "abcdefgh" for b in "klmnopqr"] + ["th" + a + b for a in "abcdefgh" for b in "klmnopqr"]
+    texts = spark.createDataFrame([(i, f"{w} {words[-i]}, {w}") for i, w in enumerate(words)], "k int, text string")
+    forms = spark.createDataFrame([("e th",), ("e, t",), ("ke tha",)], "form string")
+    assert T.form_hits(texts, forms, "k").count() == sum(f in t for _, t in texts.collect() for f in ("e th", "e, t", "ke tha")) > 60
+    vocabulary = texts.select(F.explode(F.split("text", ",? ")).alias("word")).groupBy("word").agg(F.count("*").alias("texts"))
+    assert T.anchored(forms, vocabulary, []).count() == 3
+
+
+def test_only_places_under_which_a_form_is_filed_are_shuffled(spark):
+    """Before, each word of a text was shuffled up to three times with the words around it."""
+    texts = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(3000)))], "k int, __low string")
+    filed = T.filed_under(F.lit(">"), F.lit("w7"), F.lit(" "), F.lit("w8$"))
+    rows = spark.range(1).select(filed.alias("word"))
+    places = T.text_places(texts, "k", [], T.sieve(rows, "word")).collect()
+    assert "w6 w7 w8 w9 " in {r["__near"].strip() + " " for r in places} and len(places) < 10
