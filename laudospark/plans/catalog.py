@@ -57,6 +57,16 @@ def text(c: str) -> Column:
     return F.col(c).cast("string").alias(c)
 
 
+def texts_in(df: DataFrame, document: str, paths: list[str]) -> tuple[DataFrame, list[Column]]:
+    """The rows and the values of a stored document as text, each named by the last part of its path; the document is read once for all."""
+    groups: dict[str, list[str]] = {}
+    for path in paths:
+        top, _, field = path.partition(".")
+        groups.setdefault(top, []).extend([field] if field else [])
+    schema = ", ".join(f"{top} struct<{', '.join(f'{f}: string' for f in fields)}>" if fields else f"{top} string" for top, fields in groups.items())
+    return compute_once(df, "__read", F.from_json(document, schema)), [F.col(f"__read.{p}").alias(p.rpartition(".")[2]) for p in paths]
+
+
 def split_reports(spark: SparkSession, sf: str) -> DataFrame:
     return H.split_header(load(spark, sf, "reports"))
 
@@ -132,11 +142,9 @@ def report_results_fixed(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def result_struct(spark: SparkSession, sf: str) -> DataFrame:
     rows = pipeline(spark, sf)
-    doc = F.col("document")
     fields = ["patient_token", "exam_date", "exam_type", "exam_label", "raw_text_length", "safe_text_snippet", "low_confidence", "was_raster_engine_used", "entities_found.lateralidade"]
-    return rows.select("report_id", "status", writers.result_document(rows).alias("document")).select(
-        "report_id", "status", *[F.get_json_object(doc, f"$.{f}").alias(f.rpartition(".")[2]) for f in fields]
-    )
+    stored, values = texts_in(rows.select("report_id", "status", writers.result_document(rows).alias("document")), "document", fields)
+    return stored.select("report_id", "status", *values)
 
 
 @query
@@ -145,10 +153,10 @@ def result_struct_full(spark: SparkSession, sf: str) -> DataFrame:
     answers = load(spark, sf, "llm_answers").select("report_id", cases.parse_llm_output(F.col("answer")).alias("analysis"))
     rows = run_pipeline(load(spark, sf, "reports").join(answers, "report_id", "left"), with_patient_data=True)
     stored = rows.select("report_id", "status", writers.result_document(rows).alias("document"))
-    at = lambda path: F.get_json_object("document", f"$.{path}")
-    patient = [at(f"patient_data.{f}").alias(f) for f in ("nome", "data_nascimento", "idade", "sexo", "cargo_funcao")]
-    told = [at(f"clinical_interpretation.{f}").alias(f) for f in ("is_valid_exam", "summary", "succinct_insight", "error")]
-    return stored.select("report_id", "status", *patient, *told)
+    patient = [f"patient_data.{f}" for f in ("nome", "data_nascimento", "idade", "sexo", "cargo_funcao")]
+    told = [f"clinical_interpretation.{f}" for f in ("is_valid_exam", "summary", "succinct_insight", "error")]
+    stored, values = texts_in(stored, "document", [*patient, *told])
+    return stored.select("report_id", "status", *values)
 
 
 @query

@@ -41,3 +41,10 @@ def test_query_equals_oracle(spark, con, name):
     rel = con.sql(ORACLES[name])
     assert sorted(df.columns) == sorted(rel.columns)
     assert rows_of(df.columns, df.collect()) == rows_of(rel.columns, rel.fetchall())
+
+
+@pytest.mark.parametrize("name", ["result_struct", "result_struct_full"])
+def test_stored_documents_are_read_once(spark, name):
+    """Before, the document was read again for each of nine fields."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(StructField(patient_") == 1 and "get_json_object(document" not in plan
