@@ -61,8 +61,8 @@ def kb_term_hits_by_index(
     wanted = terms.filter(F.col("peso").isin(*weights))
     named = F.array_distinct(F.transform(F.array_append(F.col("variantes"), F.col("termo")), F.lower))
     forms = wanted.select("exam_type", "termo", "peso", F.explode(named).alias("form"))
-    hits = form_hits(reports, forms.select("exam_type", "form"), key, text, by=("exam_type",))
-    return hits.join(forms, ["exam_type", "form"]).select(key, "exam_type", "termo", "peso").distinct()
+    terms_of = lambda hits: hits.select(key, "exam_type", F.explode("__named").alias("n")).select(key, "exam_type", "n.*").distinct()
+    return form_hits(reports, forms, key, text, by=("exam_type",), fold=terms_of)
 
 
 def compound_diagnoses(
